@@ -8,10 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagemill.llm.pieces import split_texts
+from pagemill.llm.quantiles import daily_latency_sketches, latency_percentiles
 from pagemill.llm.tokens import encode_texts
 from pagemill.runtime import table
 
 
+def p3_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    daily = daily_latency_sketches(table(spark, sf_dir, "qa_eval_results"), table(spark, sf_dir, "page_annotations"))
+    return latency_percentiles(daily)
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_texts(table(spark, sf_dir, "documents"), "doc_id", "text")
 
@@ -26,7 +32,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p7_ids, p9_found, p9_pieces)}
+    return {f.__name__: f for f in (p3_percentiles, p7_ids, p9_found, p9_pieces)}
 
 
 def oracle_sql() -> dict[str, str]:
