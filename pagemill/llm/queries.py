@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagemill.llm.leaks import find_leaks, remove_leaks
 from pagemill.llm.pieces import split_texts
 from pagemill.llm.quantiles import daily_latency_sketches, latency_percentiles
 from pagemill.llm.tokens import encode_texts
@@ -22,6 +23,18 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_texts(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+def p8_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "eval_passages"), "item_id", "passage")
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p8_leaks(spark, sf_dir).select("doc_id", "item_id")
+
+
+def p8_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_leaks(table(spark, sf_dir, "documents"), "doc_id", p8_leaks(spark, sf_dir)).select("doc_id")
+
+
 def p9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_texts(table(spark, sf_dir, "documents"), "doc_id", "text")
 
@@ -32,7 +45,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p3_percentiles, p7_ids, p9_found, p9_pieces)}
+    return {f.__name__: f for f in (p3_percentiles, p7_ids, p8_found, p8_leaks, p8_clean, p9_found, p9_pieces)}
 
 
 def oracle_sql() -> dict[str, str]:
