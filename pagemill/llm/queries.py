@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagemill.llm.garbled import restore_texts
 from pagemill.llm.leaks import find_leaks, remove_leaks
 from pagemill.llm.pieces import split_texts
 from pagemill.llm.quantiles import daily_latency_sketches, latency_percentiles
@@ -14,6 +15,14 @@ from pagemill.llm.tokens import encode_texts
 from pagemill.runtime import table
 
 
+def p2_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return restore_texts(table(spark, sf_dir, "text_items"), ["doc_id", "page", "seq"], "text", "char_codes").distinct()
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p2_restored(spark, sf_dir).select("doc_id", "page", "seq").distinct()
+
+
 def p3_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     daily = daily_latency_sketches(table(spark, sf_dir, "qa_eval_results"), table(spark, sf_dir, "page_annotations"))
     return latency_percentiles(daily)
@@ -45,7 +54,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p3_percentiles, p7_ids, p8_found, p8_leaks, p8_clean, p9_found, p9_pieces)}
+    return {f.__name__: f for f in (p2_found, p2_restored, p3_percentiles, p7_ids, p8_found, p8_leaks, p8_clean, p9_found, p9_pieces)}
 
 
 def oracle_sql() -> dict[str, str]:
