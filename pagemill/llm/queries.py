@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagemill.llm.garbled import restore_texts
 from pagemill.llm.leaks import find_leaks, remove_leaks
+from pagemill.llm.lookalikes import look_alike_statistics, normalize_texts
 from pagemill.llm.pieces import split_texts
 from pagemill.llm.quantiles import daily_latency_sketches, latency_percentiles
 from pagemill.llm.tokens import encode_texts
@@ -28,6 +29,22 @@ def p3_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return latency_percentiles(daily)
 
 
+def row_key(*columns: str) -> Column:
+    """Key values joined with slashes; a null is an empty part."""
+    return F.concat_ws("/", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns])
+
+
+def p6_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = table(spark, sf_dir, "text_items").select(F.lit("text_items").alias("origin"), row_key("doc_id", "page", "seq").alias("row_key"), "text")
+    pages = table(spark, sf_dir, "regression").select(F.lit("regression").alias("origin"), row_key("snap", "document", "page").alias("row_key"), F.col("output_text").alias("text"))
+    statistics = look_alike_statistics([(items, "text"), (pages, "text")])
+    return normalize_texts(items.unionAll(pages), ["origin", "row_key"], "text", statistics).distinct()
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p6_forms(spark, sf_dir).select("origin", "row_key").distinct()
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_texts(table(spark, sf_dir, "documents"), "doc_id", "text")
 
@@ -54,7 +71,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p2_restored, p3_percentiles, p7_ids, p8_found, p8_leaks, p8_clean, p9_found, p9_pieces)}
+    return {f.__name__: f for f in (p2_found, p2_restored, p3_percentiles, p6_found, p6_forms, p7_ids, p8_found, p8_leaks, p8_clean, p9_found, p9_pieces)}
 
 
 def oracle_sql() -> dict[str, str]:
