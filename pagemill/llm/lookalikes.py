@@ -94,6 +94,7 @@ class Normalizer:
 
     def _word(self, word: str, around: str) -> str:
         scripts = {script(c) for c in word} - {""}
+        around = around or "".join(scripts)
         found = []
         for s in (LATIN, CYRILLIC, GREEK):
             lattice = [(c,) if script(c) in (s, "") else ALTERNATIVES.get(c, {}).get(s, ()) for c in word]
@@ -126,7 +127,7 @@ class Normalizer:
         for w in _WORD.finditer(text):
             for c in w.group():
                 s = script(c)
-                if s and c not in ALTERNATIVES:
+                if s and c not in ALTERNATIVES and (s != LATIN or c.isascii()):  # letters beyond ASCII may be garbled
                     sure[s] += 1
         around = max(sure, key=lambda s: sure[s]) if any(sure.values()) else ""
 
