@@ -89,6 +89,8 @@ class PairModel:
         self.total = float(table.sum()) or 1.0
         self.firsts, self.seconds = self.counts.sum(1), self.counts.sum(0)
         self.joint = np.log2((self.counts + 0.3) / self.total)
+        #: Bits of the second character given the first.
+        self.given = np.log2((self.counts + 0.3) / (self.firsts[:, None] + 20))
         #: Bits below which a pair counts as not occurring in sound text.
         self.rare = float(np.log2((max(2.0, 2e-6 * self.total) + 0.3) / self.total))
 

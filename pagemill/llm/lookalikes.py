@@ -12,6 +12,7 @@ import re
 import unicodedata
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -62,14 +63,14 @@ def _alternatives() -> dict[str, dict[str, tuple[str, ...]]]:
 ALTERNATIVES = _alternatives()
 
 
-def viterbi(lattice: Sequence[Sequence[str]], model: PairModel) -> tuple[float, str]:
-    """The best path through the lattice, a blank before and after, and its log probability."""
+def viterbi(lattice: Sequence[Sequence[str]], model: PairModel, share: float = 0.0) -> tuple[float, str]:
+    """The best path through the lattice, a blank before and after, and its log probability, with `share` bits taken off."""
     table = class_table()
-    states: dict[str, tuple[float, str]] = {" ": (0.0, "")}
+    states: dict[str, tuple[float, str]] = {" ": (-share, "")}
     for options in [*lattice, (" ",)]:
         new = {}
         for c in options:
-            column = model.joint[:, table[ord(c)]]
+            column = model.given[:, table[ord(c)]]
             new[c] = max((s + float(column[table[ord(p)]]), path + c) for p, (s, path) in states.items())
         states = new
     score, path = states[" "]
@@ -82,6 +83,9 @@ class Normalizer:
     def __init__(self, model: PairModel, context: float = 12.0):
         self.model, self.context = model, context
         self.known: dict[tuple[str, str], str] = {}
+        #: Bits of a word's being in a script at all; how common a script is must not decide about a word.
+        starts = {s: [p for p in range(0x41, 0x530) if chr(p).isalpha() and script(chr(p)) == s] for s in (LATIN, CYRILLIC, GREEK)}
+        self.shares = {s: float(np.log2((model.counts[0, points].sum() + 20) / (model.firsts[0] + 20))) for s, points in starts.items()}
 
     def word(self, word: str, around: str) -> str:
         """A word in the script that its letters and the script `around` it speak for."""
@@ -99,7 +103,7 @@ class Normalizer:
         for s in (LATIN, CYRILLIC, GREEK):
             lattice = [(c,) if script(c) in (s, "") else ALTERNATIVES.get(c, {}).get(s, ()) for c in word]
             if all(lattice):
-                score, path = viterbi(lattice, self.model)
+                score, path = viterbi(lattice, self.model, self.shares[s])
                 found.append((score + self.context * (s == around), path))
         if not found or len(scripts) == 1 and len(found) == 1:
             return word

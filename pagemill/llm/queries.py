@@ -10,12 +10,19 @@ from pyspark.sql import functions as F
 from pagemill.llm.garbled import restore_texts
 from pagemill.llm.leaks import find_leaks, remove_leaks
 from pagemill.llm.lookalikes import look_alike_statistics, normalize_texts
+from pagemill.llm.pairs import find_defects
 from pagemill.llm.pieces import split_texts
 from pagemill.llm.quantiles import daily_latency_sketches, latency_percentiles
 from pagemill.llm.tokens import encode_texts
 from pagemill.runtime import table
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = table(spark, sf_dir, "qa_pairs").select(F.lit("qa_pairs").alias("origin"), F.col("pair_id").alias("row_id"), "question", "answer")
+    results = table(spark, sf_dir, "qa_results").select(F.lit("qa_results").alias("origin"), F.col("result_id").alias("row_id"), "question", F.col("predicted").alias("answer"))
+    return find_defects(pairs.unionAll(results))
+
+
 def p2_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return restore_texts(table(spark, sf_dir, "text_items"), ["doc_id", "page", "seq"], "text", "char_codes").distinct()
 
@@ -71,7 +78,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p2_restored, p3_percentiles, p6_found, p6_forms, p7_ids, p8_found, p8_leaks, p8_clean, p9_found, p9_pieces)}
+    return {f.__name__: f for f in (p1_found, p2_found, p2_restored, p3_percentiles, p6_found, p6_forms, p7_ids, p8_found, p8_leaks, p8_clean, p9_found, p9_pieces)}
 
 
 def oracle_sql() -> dict[str, str]:
