@@ -13,6 +13,7 @@ from pagemill.llm.lookalikes import look_alike_statistics, normalize_texts
 from pagemill.llm.pairs import find_defects
 from pagemill.llm.pieces import split_texts
 from pagemill.llm.quantiles import daily_latency_sketches, latency_percentiles
+from pagemill.llm.scans import examine
 from pagemill.llm.tokens import encode_texts
 from pagemill.runtime import table
 
@@ -41,6 +42,49 @@ def row_key(*columns: str) -> Column:
     return F.concat_ws("/", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns])
 
 
+def _scanned_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Examined pages of both tables; a page of text_items is scanned if one of its items has a confidence."""
+    regression = table(spark, sf_dir, "regression").select("snap", "document", "page", "output_text").distinct()
+    pages = regression.filter(F.col("output_text").isNotNull()).select(
+        F.concat(F.lit("regression:"), F.coalesce("document", F.lit(""))).alias("doc"),
+        F.concat(F.lit("regression:"), row_key("snap", "document", "page")).alias("base"),
+        "page",
+        F.split("output_text", "\n").alias("texts"),
+    )
+    pages = pages.withColumn("nos", F.sequence(F.lit(1), F.size("texts")))
+    items = table(spark, sf_dir, "text_items").select("doc_id", "page", "seq", "text", "confidence")
+    grouped = items.groupBy("doc_id", "page").agg(F.max(F.col("confidence").isNotNull()).alias("scanned"), F.array_sort(F.collect_set(F.struct("seq", "text"))).alias("lines"))
+    grouped = grouped.filter("scanned").select(
+        F.concat(F.lit("text_items:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("doc"),
+        F.concat(F.lit("text_items:"), row_key("doc_id", "page")).alias("base"),
+        "page",
+        F.transform("lines", lambda x: x["text"]).alias("texts"),
+        F.transform("lines", lambda x: x["seq"]).alias("nos"),
+    )
+    both = pages.unionByName(grouped)
+    lines = regression.select(F.col("output_text").alias("text")).unionAll(items.filter(F.col("confidence").isNotNull()).select("text"))
+    return examine(both, lines, "text")
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _scanned_pages(spark, sf_dir).select("base", F.explode(F.arrays_zip("nos", "kinds")).alias("f"))
+    origin = F.substring_index("base", ":", 1)
+    key = F.expr("substring(base, instr(base, ':') + 1)")
+    item = origin == "text_items"
+    rows = found.select(
+        origin.alias("origin"),
+        F.when(item, F.concat(key, F.lit("/"), F.coalesce(F.col("f.nos").cast("string"), F.lit("")))).otherwise(key).alias("row_key"),
+        F.when(item, F.lit(1)).otherwise(F.col("f.nos")).alias("line_no"),
+        F.col("f.kinds").alias("kind"),
+    )
+    return rows.distinct()
+
+
+def p4_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _scanned_pages(spark, sf_dir).distinct().select("base", F.posexplode("repaired").alias("at", "paragraph"))
+    return found.select(F.substring_index("base", ":", 1).alias("origin"), F.expr("substring(base, instr(base, ':') + 1)").alias("page_key"), (F.col("at") + 1).alias("paragraph_no"), "paragraph")
+
+
 def p6_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = table(spark, sf_dir, "text_items").select(F.lit("text_items").alias("origin"), row_key("doc_id", "page", "seq").alias("row_key"), "text")
     pages = table(spark, sf_dir, "regression").select(F.lit("regression").alias("origin"), row_key("snap", "document", "page").alias("row_key"), F.col("output_text").alias("text"))
@@ -78,7 +122,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p2_found, p2_restored, p3_percentiles, p6_found, p6_forms, p7_ids, p8_found, p8_leaks, p8_clean, p9_found, p9_pieces)}
+    return {f.__name__: f for f in (p1_found, p2_found, p2_restored, p3_percentiles, p4_found, p4_paragraphs, p6_found, p6_forms, p7_ids, p8_found, p8_leaks, p8_clean, p9_found, p9_pieces)}
 
 
 def oracle_sql() -> dict[str, str]:
