@@ -206,8 +206,8 @@ class Lexicon:
             n = self.pairs.get((a, word) if a is not None else (word, b), 0)
             m = self.pairs.get((a, better) if a is not None else (better, b), 0)
             score += np.log2((m + 0.5) / (n + 0.5)) if a is None or a else 0.0
-        # the other reading must outweigh this one in these places by more than a rare slip would leave
-        return better if score >= 2 * np.log2(TIMES / 3) * 0.6 and other > own else None
+        # a slip turns up where the other reading is at home; a word of its own has places of its own
+        return better if score > 0 or score == 0 and other >= 3 * TIMES * own else None
 
 
 def number_of(line: str) -> tuple[int, bool] | None:
