@@ -134,8 +134,13 @@ def refusal_automaton() -> ahocorasick.Automaton:
     return automaton
 
 
+_SELF = re.compile(r"\b(?:" + "|".join(sorted({*SELF_WORDS, "m", "j", "ai", "modèle", "modelo"})) + r")\b|language model", re.IGNORECASE)
+
+
 def declines(text: str) -> bool:
     """Whether the answerer, outside quotations, speaks of itself and declines."""
+    if not _SELF.search(text):
+        return False
     plain = " " + "  ".join(fold_word(p) for w in _WORD.findall(_QUOTED.sub(" ", text)) for p in _parts(w)) + " "
     plain = re.sub(" +", "  ", plain)
     found: set[str] = set()
@@ -154,13 +159,28 @@ def _parts(word: str) -> list[str]:
 
 
 def is_empty(text: str | None) -> bool:
+    if text and len(text) >= 40 and text[:40].isprintable() and any(c.isalpha() for c in text[:8]):
+        return False
     folded = fold_word(text or "")
     return not folded or (len(text) < 40 and folded in PLACEHOLDERS and not (folded in ("missing", "empty", "answer") and text.strip().isalpha()))
 
 
+@lru_cache(maxsize=50_000)
+def _folded(question: str) -> str:
+    return fold_word(question)
+
+
+def _plain(part: str) -> str:
+    return fold_word(part) or "\0"
+
+
 def copies(question: str, answer: str, share: float = 0.87) -> bool:
     """Whether the answer is the question again: nearly all of it in long stretches of the question, and most of that."""
-    q = fold_word(question)
+    q = _folded(question)
+    rough = answer.lower()
+    at = len(rough) // 6
+    if not any(_plain(rough[k * at : k * at + 7]) in q for k in range(6)):  # a copy shows at one of six places at least
+        return False
     a = fold_word(_LABEL.sub("", _LABEL.sub("", answer)))
     if len(a) < 6 or len(a) < 0.6 * len(q):
         return False
@@ -201,6 +221,8 @@ class Lexicon:
             totals.update({k: n for k, n in c.items() if k})
         whole = sum(totals.values()) or 1
         self.weights: dict[str, dict[str, float]] = {}
+        self.main: dict[str, str] = {}
+        self.codes: dict[str, int] = {}
         langs = [k for k, n in totals.items() if n >= 0.002 * whole]
         for w, c in counts.items():
             n = sum(c[k] for k in langs)
@@ -209,6 +231,7 @@ class Lexicon:
                 rates = {k: (c[k] + 0.02 * n * totals[k] / whole) / totals[k] for k in langs}
                 mean = sum(rates.values())
                 if max(rates.values()) > 0.7 * mean:
+                    self.main[w] = max(rates, key=lambda k: rates[k])
                     self.weights[w] = {k: math.log(r / mean + 0.01) for k, r in rates.items()}
         self.langs = langs
 
@@ -235,20 +258,27 @@ class Lexicon:
     def tokens(self, text: str) -> list[int]:
         """Ids of the words, numbers, names and sentence ends of a text: 1 start, 2 end, 3 number, 4 name, 5 rare word."""
         out = [1] * 4
-        for m in _STEP.finditer(text):
-            w = m.group()
-            if w[0] in ".!?。…" and not w[0].isalnum():
+        codes = self.codes
+        for w in _STEP.findall(text):
+            code = codes.get(w)
+            if code is None:
+                if len(codes) > 500_000:
+                    codes.clear()
+                code = codes[w] = self._code(w)
+            if code == 2:
                 if out[-1] != 1:
                     out += [2, 1, 1, 1, 1]
-                continue
-            if len(w) == 1 and not w.isalnum():
-                continue
-            known = self.ids.get(w.lower())
-            kind = 3 if any(c.isdigit() for c in w) else known if known is not None else 4 if w[0].isupper() else 5
-            if not (kind == 4 and out[-1] == 4):
-                out.append(kind)
+            elif code and not (code == 4 and out[-1] == 4):
+                out.append(code)
         return out
 
+    def _code(self, w: str) -> int:
+        if not w[0].isalnum():
+            return 2 if w[0] in ".!?。…" else 0
+        if any(c.isdigit() for c in w):
+            return 3
+        return self.ids.get(w.lower()) or (4 if w[0].isupper() else 5)
+
 
 def sequences(ids: np.ndarray) -> dict[int, np.ndarray]:
     """For each order, a hash of the last so many tokens at each place."""
@@ -348,6 +378,8 @@ def find_defects(pairs: DataFrame, share: float = 3e-5) -> DataFrame:
                     defect = "language"
                 else:
                     text = answer.rstrip()
+                    if not open_ended(text) and not _ELLIPSIS.search(text):
+                        continue
                     steps = lexicon.tokens(text)
                     size = sum(x > 2 for x in steps)
                     phrase = all(not w[0].islower() for w in _WORD.findall(text))  # a name, a number
@@ -386,14 +418,18 @@ _NON_LATIN = re.compile("[Ͱ-ϿЀ-ԯ֐-ۿऀ-๿぀-ヿ㐀-鿿가-힣]")
 
 def _foreign(question: str, answer: str, lexicon: Lexicon, langs: dict[str, str]) -> bool:
     """Whether the answer's words clearly speak for another language than the question's."""
-    plain = _QUOTED.sub(" ", answer)
-    if len(_NON_LATIN.findall(plain)) > 2 * len(_LATIN.findall(plain)) + 2 and len(_LATIN.findall(question)) > len(_NON_LATIN.findall(question)):
-        return True
     if question not in langs:
         if len(langs) > 100_000:
             langs.clear()
         langs[question] = question_language(question)
     own = langs[question]
+    if own and not _NON_LATIN.search(answer):  # most answers: the strong words speak for the question's language
+        seen = Counter(filter(None, map(lexicon.main.get, _WORD.findall(answer.lower()))))
+        if seen[own] >= 3 and seen[own] >= 0.8 * seen.total():
+            return False
+    plain = _QUOTED.sub(" ", answer)
+    if len(_NON_LATIN.findall(plain)) > 2 * len(_LATIN.findall(plain)) + 2 and len(_LATIN.findall(question)) > len(_NON_LATIN.findall(question)):
+        return True
     if not own or own not in lexicon.langs:
         return False
     votes = lexicon.language(answer)

@@ -15,7 +15,7 @@ from pagemill.llm.pieces import split_texts
 from pagemill.llm.quantiles import daily_latency_sketches, latency_percentiles
 from pagemill.llm.scans import examine
 from pagemill.llm.tokens import encode_texts
-from pagemill.runtime import table
+from pagemill.runtime import table, written
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,11 +43,15 @@ def row_key(*columns: str) -> Column:
 
 
 def _scanned_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Examined pages of both tables; a page of text_items is scanned if one of its items has a confidence."""
-    regression = table(spark, sf_dir, "regression").select("snap", "document", "page", "output_text").distinct()
-    pages = regression.filter(F.col("output_text").isNotNull()).select(
+    """Examined pages of both tables; a page of text_items is scanned if one of its items has a confidence.
+
+    The same page of several snapshots is examined once; every pass reads one written table.
+    """
+    regression = table(spark, sf_dir, "regression").filter(F.col("output_text").isNotNull())
+    same = regression.groupBy("document", "page", F.xxhash64("output_text").alias("h"), "output_text").agg(F.collect_set("snap").alias("snaps"))
+    pages = same.select(
         F.concat(F.lit("regression:"), F.coalesce("document", F.lit(""))).alias("doc"),
-        F.concat(F.lit("regression:"), row_key("snap", "document", "page")).alias("base"),
+        F.transform("snaps", lambda n: F.concat(F.lit("regression:"), n.cast("string"), F.lit("/"), row_key("document", "page"))).alias("bases"),
         "page",
         F.split("output_text", "\n").alias("texts"),
     )
@@ -56,18 +60,17 @@ def _scanned_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     grouped = items.groupBy("doc_id", "page").agg(F.max(F.col("confidence").isNotNull()).alias("scanned"), F.array_sort(F.collect_set(F.struct("seq", "text"))).alias("lines"))
     grouped = grouped.filter("scanned").select(
         F.concat(F.lit("text_items:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("doc"),
-        F.concat(F.lit("text_items:"), row_key("doc_id", "page")).alias("base"),
+        F.array(F.concat(F.lit("text_items:"), row_key("doc_id", "page"))).alias("bases"),
         "page",
         F.transform("lines", lambda x: x["text"]).alias("texts"),
         F.transform("lines", lambda x: x["seq"]).alias("nos"),
     )
-    both = pages.unionByName(grouped)
-    lines = regression.select(F.col("output_text").alias("text")).unionAll(items.filter(F.col("confidence").isNotNull()).select("text"))
-    return examine(both, lines, "text")
+    return examine(written(pages.unionByName(grouped)))
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = _scanned_pages(spark, sf_dir).select("base", F.explode(F.arrays_zip("nos", "kinds")).alias("f"))
+    found = _scanned_pages(spark, sf_dir).filter(F.size("nos") > 0).select(F.explode("bases").alias("base"), "nos", "kinds")
+    found = found.select("base", F.explode(F.arrays_zip("nos", "kinds")).alias("f"))
     origin = F.substring_index("base", ":", 1)
     key = F.expr("substring(base, instr(base, ':') + 1)")
     item = origin == "text_items"
@@ -81,7 +84,7 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = _scanned_pages(spark, sf_dir).distinct().select("base", F.posexplode("repaired").alias("at", "paragraph"))
+    found = _scanned_pages(spark, sf_dir).select(F.explode("bases").alias("base"), "repaired").select("base", F.posexplode("repaired").alias("at", "paragraph"))
     return found.select(F.substring_index("base", ":", 1).alias("origin"), F.expr("substring(base, instr(base, ':') + 1)").alias("page_key"), (F.col("at") + 1).alias("paragraph_no"), "paragraph")
 
 

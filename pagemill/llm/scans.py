@@ -19,7 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.llm.folding import LOOKALIKES
-from pagemill.runtime import map_arrow
+from pagemill.llm.lookalikes import UNTOUCHED
+from pagemill.runtime import map_arrow, written
 
 #: What is printed, what scanners read instead, and the cost of that confusion.
 CONFUSIONS = {
@@ -38,6 +39,7 @@ SHARE, TIMES = 1e-6, 30
 _HYPHEN = re.compile(r"[^\W\d_][-‐‑¬­]\s*$")
 _HYPHENS = "-‐‑¬­"
 _IGNORABLE = re.compile("[​-‏‪-‮⁠-⁯﻿]|­(?!\\s*$)")
+_TOUCHED = re.compile(f"[^{UNTOUCHED}]")
 _BLANKS = re.compile(r"\s+")
 _EDGES = ".,;:?()“”„\"«»[]‘…'"
 _WORDLIKE = re.compile(r"^[^\W\d_]+(?:[-’'][^\W\d_]+)*$")
@@ -54,7 +56,7 @@ _ROMAN = {"i": 1, "v": 5, "x": 10, "l": 50, "c": 100}
 
 def plain(text: str) -> str:
     """A line without what looks alike: composed, ordinary width, no ignorable characters, plain blanks and letters."""
-    if text.isascii():
+    if text.isascii() or not _TOUCHED.search(text):
         return text
     text = _IGNORABLE.sub("", text)
     text = "".join(unicodedata.normalize("NFKC", c) if "！" <= c <= "￦" or "ﬀ" <= c <= "ﬆ" else c for c in text)
@@ -350,44 +352,42 @@ class Reader:
         return (best[1] if first else best[2]) > 0 if cut >= 0 else False
 
 
-def _collect_words(lines: DataFrame, text: str) -> tuple[list[str], list[int], int]:
+def _collect_words(pages: DataFrame) -> tuple[list[str], list[int], int]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts: Counter[str] = Counter()
-            for t in batch.column(0).to_pylist():
-                for line in (t or "").split("\n"):
-                    words = words_in(plain(line))
-                    counts.update(words[:-1] if words and words[-1][-1] in _HYPHENS else words)
+            for line in batch.column(0).flatten().to_pylist():
+                words = words_in(plain(line or ""))
+                counts.update(words[:-1] if words and words[-1][-1] in _HYPHENS else words)
             if counts:
                 words, numbers = zip(*counts.items(), strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(words), pa.array(numbers, pa.int64())], ["word", "n"])
 
-    counts = map_arrow(lines.select(text), run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    counts = map_arrow(pages.select("texts"), run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
     total = counts.agg(F.sum("n").alias("total"))
     rows = counts.crossJoin(F.broadcast(total)).filter(F.col("n") >= F.greatest(F.lit(3), SHARE * F.col("total"))).collect()
     rows.sort(key=lambda r: r.word)
     return [r.word for r in rows], [r.n for r in rows], int(rows[0].total) if rows else 0
 
 
-def _collect_pairs(lines: DataFrame, text: str, wanted: set[str]) -> dict[tuple[str, str], int]:
+def _collect_pairs(pages: DataFrame, wanted: set[str]) -> dict[tuple[str, str], int]:
     """Counts of the neighbours that the wanted words have at least three times."""
     if not wanted:
         return {}
-    sent = lines.sparkSession.sparkContext.broadcast(frozenset(wanted))
+    sent = pages.sparkSession.sparkContext.broadcast(frozenset(wanted))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value
         for batch in batches:
             counts: Counter[tuple[str, str]] = Counter()
-            for t in batch.column(0).to_pylist():
-                for line in (t or "").split("\n"):
-                    words = words_in(plain(line))
-                    counts.update(p for p in zip(words, words[1:], strict=False) if p[0] in own or p[1] in own)
+            for line in batch.column(0).flatten().to_pylist():
+                words = words_in(plain(line or ""))
+                counts.update(p for p in zip(words, words[1:], strict=False) if p[0] in own or p[1] in own)
             if counts:
                 firsts, seconds = zip(*counts, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(firsts), pa.array(seconds), pa.array(list(counts.values()), pa.int64())], ["a", "b", "n"])
 
-    counts = map_arrow(lines.select(text), run, "a string, b string, n bigint").groupBy("a", "b").agg(F.sum("n").alias("n"))
+    counts = map_arrow(pages.select("texts"), run, "a string, b string, n bigint").groupBy("a", "b").agg(F.sum("n").alias("n"))
     total = counts.agg((F.sum("n") * 1e-6).alias("least"))  # at most a million pairs
     kept = counts.crossJoin(F.broadcast(total)).filter(F.col("n") >= F.greatest(F.lit(3.0), F.col("least")))
     return {(r.a, r.b): r.n for r in kept.collect()}
@@ -396,12 +396,12 @@ def _collect_pairs(lines: DataFrame, text: str, wanted: set[str]) -> dict[tuple[
 class ScanModel:
     """What the corpus tells: lexicon, neighbour counts and parts of running titles. Every table has a fixed bound."""
 
-    def __init__(self, pages: DataFrame, lines: DataFrame, text: str):
-        words, counts, total = _collect_words(lines, text)
+    def __init__(self, pages: DataFrame):
+        words, counts, total = _collect_words(pages)
         bare = Lexicon(words, counts, total)
         suspects = bare.suspects()
         wanted = suspects | {c for w in suspects for _, c in bare.candidates(w)[:3]}
-        pairs = _collect_pairs(lines, text, wanted)
+        pairs = _collect_pairs(pages, wanted)
         self.sent = pages.sparkSession.sparkContext.broadcast((words, counts, total, pairs))
 
 
@@ -424,8 +424,11 @@ def _bands(pages: DataFrame) -> DataFrame:
         for batch in batches:
             docs, numbers, titles = [], [], []
             for doc, page, texts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                lines = [plain(t or "") for t in texts or []]
+                lines = [t for t in texts or [] if t and t.strip()]
+                lines = [plain(t) for t in (lines if len(lines) <= 6 else [*lines[:3], *lines[-3:]])]
                 for i in band(lines, -1 if page is None else page):
+                    if _SENTENCE_END.search(lines[i]):
+                        continue
                     for key in {title_key(lines[i]), *title_parts(lines[i])}:
                         if len(key) >= 3:
                             docs.append(doc)
@@ -454,16 +457,18 @@ def title_vocabulary(titles: DataFrame, share: float = 2e-5) -> list[str]:
     return [r.title for r in kept.select("title").collect()]
 
 
-def examine(pages: DataFrame, lines: DataFrame, text: str) -> DataFrame:
-    """Noise in pages (doc, base, page INT, nos ARRAY<INT>, texts ARRAY<STRING>): (base, kinds, repaired).
+def examine(pages: DataFrame) -> DataFrame:
+    """Noise in pages (doc, bases ARRAY<STRING>, page INT, nos ARRAY<INT>, texts ARRAY<STRING>): (bases, nos, kinds,
+    repaired).
 
-    `kinds` lists struct(no, kind); `repaired` the page's paragraphs. `lines` with `text` is what the lexicon is made of.
-    Null and empty texts are lines without words. A page repeated in full is examined each time.
+    `nos` and `kinds` run side by side, one entry for each kind of a line; `repaired` are the page's paragraphs. `bases`
+    names every place where this very page occurs: it is examined once. Null and empty texts are lines without words.
+    `pages` is read four times and should be a written table.
     """
-    model = ScanModel(pages, lines, text)
-    titles = running_titles(pages)
+    model = ScanModel(pages)
+    titles = written(running_titles(pages))
     parts = pages.sparkSession.sparkContext.broadcast(frozenset(title_vocabulary(titles)))
-    known = pages.join(titles, "doc", "left").select("base", "page", "nos", "texts", "titles")
+    known = pages.join(titles, "doc", "left").select("bases", "page", "nos", "texts", "titles")
     sent = model.sent
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -479,10 +484,10 @@ def examine(pages: DataFrame, lines: DataFrame, text: str) -> DataFrame:
                 kinds.append([k for _, k in rows])
                 repaired.append(paragraphs(found, fixed))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(bases), pa.array(nos, pa.list_(pa.int32())), pa.array(kinds, pa.list_(pa.string())), pa.array(repaired, pa.list_(pa.string()))], ["base", "nos", "kinds", "repaired"]
+                [pa.array(bases, pa.list_(pa.string())), pa.array(nos, pa.list_(pa.int32())), pa.array(kinds, pa.list_(pa.string())), pa.array(repaired, pa.list_(pa.string()))], ["bases", "nos", "kinds", "repaired"]
             )
 
-    return map_arrow(known, run, "base string, nos array<int>, kinds array<string>, repaired array<string>")
+    return map_arrow(known, run, "bases array<string>, nos array<int>, kinds array<string>, repaired array<string>")
 
 
 def paragraphs(kinds: Sequence[set[str]], lines: Sequence[Sequence[str]]) -> list[str]:
