@@ -62,6 +62,8 @@ _OPENS, _CLOSES = "(“«„[", {")": "(", "”": "“„", "»": "«", "]": "["
 
 #: Orders of word sequences whose continuation is counted, longest first, and the occurrences that make a count speak.
 ORDERS, LEAST = (5, 3, 2), 20
+#: Letters of the question in a row that count as copied.
+STRETCH = 6
 DEFECTS = ("empty", "copy", "refusal", "language", "truncated")
 
 
@@ -134,13 +136,16 @@ def refusal_automaton() -> ahocorasick.Automaton:
     return automaton
 
 
-_SELF = re.compile(r"\b(?:" + "|".join(sorted({*SELF_WORDS, "m", "j", "ai", "modèle", "modelo"})) + r")\b|language model", re.IGNORECASE)
+_SELF = frozenset((*SELF_WORDS, "modèle", "modelo", "language"))
+
+
+def speaks_of_itself(words: list[str]) -> bool:
+    """Whether one of the lower-case words can be the answerer's for itself."""
+    return not _SELF.isdisjoint(words) or any("’" in w[1:2] or "'" in w[1:2] for w in words)
 
 
 def declines(text: str) -> bool:
     """Whether the answerer, outside quotations, speaks of itself and declines."""
-    if not _SELF.search(text):
-        return False
     plain = " " + "  ".join(fold_word(p) for w in _WORD.findall(_QUOTED.sub(" ", text)) for p in _parts(w)) + " "
     plain = re.sub(" +", "  ", plain)
     found: set[str] = set()
@@ -166,25 +171,25 @@ def is_empty(text: str | None) -> bool:
 
 
 @lru_cache(maxsize=50_000)
-def _folded(question: str) -> str:
-    return fold_word(question)
-
-
-def _plain(part: str) -> str:
-    return fold_word(part) or "\0"
+def _folded(question: str) -> tuple[str, frozenset[str]]:
+    """The folded question and its pieces of STRETCH letters."""
+    q = fold_word(question)
+    return q, frozenset(q[i : i + STRETCH] for i in range(max(1, len(q) - STRETCH + 1)))
 
 
 def copies(question: str, answer: str, share: float = 0.87) -> bool:
     """Whether the answer is the question again: nearly all of it in long stretches of the question, and most of that."""
-    q = _folded(question)
-    rough = answer.lower()
-    at = len(rough) // 6
-    if not any(_plain(rough[k * at : k * at + 7]) in q for k in range(6)):  # a copy shows at one of six places at least
+    if 2 * len(answer) < len(question):
         return False
+    q, grams = _folded(question)
+    rough = fold_word(answer)
+    size = len(rough) - STRETCH + 1
+    if size < 1 or len(rough) < 0.6 * len(q) or sum(rough[i : i + STRETCH] in grams for i in range(0, size, 2)) < 0.2 * size:
+        return False  # fewer of the question's short pieces than any copy has, labels and repairs allowed for
     a = fold_word(_LABEL.sub("", _LABEL.sub("", answer)))
-    if len(a) < 6 or len(a) < 0.6 * len(q):
+    if len(a) < STRETCH or len(a) < 0.6 * len(q):
         return False
-    return _automaton(q).coverage(a, min(6, len(q))) >= share * len(a)
+    return _automaton(q).coverage(a, min(STRETCH, len(q))) >= share * len(a)
 
 
 def broken_delimiters(text: str) -> bool:
@@ -296,7 +301,8 @@ def sequences(ids: np.ndarray) -> dict[int, np.ndarray]:
 
 def open_ended(text: str) -> bool:
     """Whether a text ends without the end of a sentence."""
-    return bool(_ABBREVIATED.search(text)) or not _ENDS.search(text)
+    tail = text[-16:]
+    return bool(_ABBREVIATED.search(tail)) or not _ENDS.search(tail)
 
 
 def _lexicon_rows(df: DataFrame, share: float) -> list[tuple[str, str, int]]:
@@ -372,13 +378,13 @@ def find_defects(pairs: DataFrame, share: float = 3e-5) -> DataFrame:
                     defect = "empty"
                 elif question and copies(question, answer):
                     defect = "copy"
-                elif declines(answer):
+                elif speaks_of_itself(words := _WORD.findall(answer.lower())) and declines(answer):
                     defect = "refusal"
-                elif question and _foreign(question, answer, lexicon, langs):
+                elif question and _foreign(question, answer, words, lexicon, langs):
                     defect = "language"
                 else:
                     text = answer.rstrip()
-                    if not open_ended(text) and not _ELLIPSIS.search(text):
+                    if not open_ended(text) and not _ELLIPSIS.search(text[-4:]):
                         continue
                     steps = lexicon.tokens(text)
                     size = sum(x > 2 for x in steps)
@@ -416,16 +422,16 @@ _LATIN = re.compile("[A-Za-zÀ-ɏ]")
 _NON_LATIN = re.compile("[Ͱ-ϿЀ-ԯ֐-ۿऀ-๿぀-ヿ㐀-鿿가-힣]")
 
 
-def _foreign(question: str, answer: str, lexicon: Lexicon, langs: dict[str, str]) -> bool:
+def _foreign(question: str, answer: str, words: list[str], lexicon: Lexicon, langs: dict[str, str]) -> bool:
     """Whether the answer's words clearly speak for another language than the question's."""
     if question not in langs:
         if len(langs) > 100_000:
             langs.clear()
         langs[question] = question_language(question)
     own = langs[question]
-    if own and not _NON_LATIN.search(answer):  # most answers: the strong words speak for the question's language
-        seen = Counter(filter(None, map(lexicon.main.get, _WORD.findall(answer.lower()))))
-        if seen[own] >= 3 and seen[own] >= 0.8 * seen.total():
+    if own and max(answer) < "\u0370":  # most answers: the strong words speak for the question's language
+        seen = [k for w in words if (k := lexicon.main.get(w))]
+        if not seen or (mine := seen.count(own)) >= 3 and mine >= 0.8 * len(seen):
             return False
     plain = _QUOTED.sub(" ", answer)
     if len(_NON_LATIN.findall(plain)) > 2 * len(_LATIN.findall(plain)) + 2 and len(_LATIN.findall(question)) > len(_NON_LATIN.findall(question)):
