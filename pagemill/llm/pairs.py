@@ -171,20 +171,18 @@ def is_empty(text: str | None) -> bool:
 
 
 @lru_cache(maxsize=50_000)
-def _folded(question: str) -> tuple[str, frozenset[str]]:
-    """The folded question and its pieces of STRETCH letters."""
-    q = fold_word(question)
-    return q, frozenset(q[i : i + STRETCH] for i in range(max(1, len(q) - STRETCH + 1)))
+def _folded(question: str) -> str:
+    return fold_word(question)
 
 
 def copies(question: str, answer: str, share: float = 0.87) -> bool:
     """Whether the answer is the question again: nearly all of it in long stretches of the question, and most of that."""
     if 2 * len(answer) < len(question):
         return False
-    q, grams = _folded(question)
+    q = _folded(question)
     rough = fold_word(answer)
     size = len(rough) - STRETCH + 1
-    if size < 1 or len(rough) < 0.6 * len(q) or sum(rough[i : i + STRETCH] in grams for i in range(0, size, 2)) < 0.2 * size:
+    if size < 1 or len(rough) < 0.6 * len(q) or 3 * sum([rough[i : i + STRETCH] in q for i in range(0, size, 3)]) < 0.4 * size:
         return False  # fewer of the question's short pieces than any copy has, labels and repairs allowed for
     a = fold_word(_LABEL.sub("", _LABEL.sub("", answer)))
     if len(a) < STRETCH or len(a) < 0.6 * len(q):
@@ -204,12 +202,19 @@ def broken_delimiters(text: str) -> bool:
 
 
 def question_language(text: str) -> str:
-    votes = Counter(lang for w in _WORD.findall(text.lower()) for lang, words in _STOP.items() if w in words)
-    top = votes.most_common(2)
-    return top[0][0] if top and (len(top) == 1 or top[0][1] > top[1][1]) else ""
-
-
-_STOP = {lang: frozenset(words.split()) for lang, words in STOPWORDS.items()}
+    """The language that most stopwords of a question speak for; '' for none or a tie."""
+    votes: dict[str, int] = {}
+    for w in _WORD.findall(text.lower()):
+        for lang in _STOP.get(w, ()):
+            votes[lang] = votes.get(lang, 0) + 1
+    top = sorted(votes.values())[-2:]
+    return max(votes, key=lambda k: votes[k]) if top and (len(top) == 1 or top[1] > top[0]) else ""
+
+
+_STOP: dict[str, tuple[str, ...]] = {}
+for _lang, _words in STOPWORDS.items():
+    for _word in _words.split():
+        _STOP[_word] = (*_STOP.get(_word, ()), _lang)
 
 
 class Lexicon:
