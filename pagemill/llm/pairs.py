@@ -290,6 +290,19 @@ class Lexicon:
         return self.ids.get(w.lower()) or (4 if w[0].isupper() else 5)
 
 
+_lexicons: dict[int, Lexicon] = {}
+
+
+def lexicon_of(sent) -> Lexicon:
+    """The lexicon of a broadcast, made once in each Python worker."""
+    rows = sent.value
+    key = hash((len(rows), *(tuple(r) for r in rows[:: max(1, len(rows) // 500)])))
+    if key not in _lexicons:
+        _lexicons.clear()
+        _lexicons[key] = Lexicon(rows)
+    return _lexicons[key]
+
+
 def sequences(ids: np.ndarray) -> dict[int, np.ndarray]:
     """For each order, a hash of the last so many tokens at each place."""
     out = {}
@@ -349,7 +362,7 @@ def find_defects(pairs: DataFrame, share: float = 3e-5) -> DataFrame:
     sent = pairs.sparkSession.sparkContext.broadcast(words)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon = Lexicon(sent.value)
+        lexicon = lexicon_of(sent)
         for batch in batches:
             texts = [t for t in batch.column(0).to_pylist() if t]
             ids: list[int] = []
@@ -372,7 +385,7 @@ def find_defects(pairs: DataFrame, share: float = 3e-5) -> DataFrame:
     sums = counted.groupBy("h").agg(F.sum("ends").alias("ends"), F.sum("goes_on").alias("goes_on"), F.sum("bare").alias("bare"))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon = Lexicon(sent.value)
+        lexicon = lexicon_of(sent)
         langs: dict[str, str] = {}
         for batch in batches:
             out: list[tuple] = []
