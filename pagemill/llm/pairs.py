@@ -28,17 +28,19 @@ PLACEHOLDERS = frozenset(
     "na nan null nil tbd tba tbc blank empty noanswer noanswerprovided noanswerfound missing missinganswer notavailable notapplicable unanswered "
     "keineantwort sansreponse sinrespuesta semresposta answer antwort reponse respuesta todo xxx undefined nodata".split()
 )
-#: Words that a language's questions and answers are made of.
+#: Words that a language's questions and answers are made of; shared words stand in every language that has them.
 STOPWORDS = {
-    "en": "the of and was is what which who where how many did does on in to were that this by",
-    "de": "der die das und wie wer wo was welche welchem wird wurde ist den dem ein eine für von über im hat",
-    "fr": "le la les des du et est quel quelle qui où combien que au dans pour une sur été dit à quelle pourquoi",
-    "es": "el los las del y es qué quién cuál dónde cuántas cuántos se en por una fue fecha con para dice",
-    "pt": "o os as do da e é qual quem onde quantas quantos em por uma foi não com para diz",
-    "it": "il lo gli della e è quale chi dove quanti quante in per una è stato che con dice",
-    "pl": "i w na z jest kto gdzie ile co który do nie się od po",
+    "en": "the of and was is what which who where how many did do does on in to were that this by a",
+    "de": "der die das des und wie wer wo was welche welchem wird wurde ist den dem ein eine für von über im in hat",
+    "fr": "le la les de des du et est quel quelle qui où combien que au dans en pour un une sur été dit à a quelle pourquoi se",
+    "es": "el la los las de del y es qué que quién cuál dónde cuántas cuántos se en por un una fue fecha con para dice a",
+    "pt": "o a os as de do da e é qual que quem onde quantas quantos em por um uma foi não com para diz se",
+    "it": "il la lo gli della e è quale chi dove quanti quante in per un una è stato che con dice a se",
+    "pl": "a i w na z jest kto gdzie ile co który do nie się od po",
     "cs": "a v na je kdo kde kolik co který do se od po byl byla",
 }
+#: Marks that one of these languages alone writes.
+MARKS = {"es": "¿¡ñ", "de": "ß", "pt": "ãõ", "pl": "łżź", "cs": "řěů"}
 #: Words by which an answerer speaks of itself, and by which it declines.
 SELF_WORDS = (
     "i im ive id ill me my myself je j jai m moi mon ma mes ich mir mich mein meine meinen meiner meinem yo mi mis puedo tengo prefiero soy veo "
@@ -62,6 +64,8 @@ _OPENS, _CLOSES = "(“«„[", {")": "(", "”": "“„", "»": "«", "]": "["
 
 #: Orders of word sequences whose continuation is counted, longest first, and the occurrences that make a count speak.
 ORDERS, LEAST = (5, 3, 2), 20
+#: Difference of the learned votes that decides a question whose stopwords do not.
+CLEAR = 1.0
 #: Letters of the question in a row that count as copied.
 STRETCH = 6
 DEFECTS = ("empty", "copy", "refusal", "language", "truncated")
@@ -202,18 +206,27 @@ def broken_delimiters(text: str) -> bool:
 
 
 def question_language(text: str) -> str:
-    """The language that most stopwords of a question speak for; '' for none or a tie."""
-    votes: dict[str, int] = {}
+    """The language that the stopwords and marks of a question speak for most; '' for none or a tie."""
+    return top[0] if len(top := _likeliest(text)) == 1 else ""
+
+
+def _likeliest(text: str) -> list[str]:
+    """The languages with the most votes: a word's one vote is shared by the languages that have it, a mark counts as one."""
+    votes: dict[str, float] = {}
     for w in _WORD.findall(text.lower()):
-        for lang in _STOP.get(w, ()):
-            votes[lang] = votes.get(lang, 0) + 1
-    top = sorted(votes.values())[-2:]
-    return max(votes, key=lambda k: votes[k]) if top and (len(top) == 1 or top[1] > top[0]) else ""
+        for lang in (own := _STOP.get(w, ())):
+            votes[lang] = votes.get(lang, 0.0) + 1 / len(own)
+    if not text.isascii():
+        for lang, marks in MARKS.items():
+            if not set(marks).isdisjoint(text):
+                votes[lang] = votes.get(lang, 0.0) + 1
+    most = max(votes.values(), default=0.0)
+    return [k for k, n in votes.items() if n > most - 1e-6]
 
 
 _STOP: dict[str, tuple[str, ...]] = {}
 for _lang, _words in STOPWORDS.items():
-    for _word in _words.split():
+    for _word in dict.fromkeys(_words.split()):
         _STOP[_word] = (*_STOP.get(_word, ()), _lang)
 
 
@@ -265,6 +278,15 @@ class Lexicon:
                 votes[k] += v
         return votes
 
+    def question_language(self, text: str) -> str:
+        """The language of a question; where its stopwords tie or there are none, all its words vote with the learned weights."""
+        top = _likeliest(text)
+        if len(top) == 1:
+            return top[0]
+        votes = self.language(text)
+        tied = sorted((votes[k], k) for k in [k for k in top if k in votes] or votes)
+        return tied[-1][1] if len(tied) > 1 and tied[-1][0] - tied[-2][0] > CLEAR else ""
+
     def tokens(self, text: str) -> list[int]:
         """Ids of the words, numbers, names and sentence ends of a text: 1 start, 2 end, 3 number, 4 name, 5 rare word."""
         out = [1] * 4
@@ -445,7 +467,7 @@ def _foreign(question: str, answer: str, words: list[str], lexicon: Lexicon, lan
     if question not in langs:
         if len(langs) > 100_000:
             langs.clear()
-        langs[question] = question_language(question)
+        langs[question] = lexicon.question_language(question)
     own = langs[question]
     if own and max(answer) < "\u0370":  # most answers: the strong words speak for the question's language
         seen = [k for w in words if (k := lexicon.main.get(w))]

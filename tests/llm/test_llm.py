@@ -183,6 +183,17 @@ def test_defects(spark):
     assert got == {(900, "empty"), (901, "truncated")}
 
 
+def test_question_whose_stopwords_are_shared(spark):
+    assert pairs.question_language("¿Cuántas muestras contiene la tabla 3?") == "es" and pairs.question_language("Quelle est la date de la lettre ?") == "fr"
+    rows = [("q", i, "How many samples does the table list?", f"The table lists a total of {i} samples of the river water.") for i in range(200)]
+    rows += [("q", 1000 + i, "¿Cuántas muestras contiene la tabla 3?", f"Según el acta, las muestras de agua del río son {i} en total.") for i in range(200)]
+    rows += [("q", 2000, "¿Cuántas muestras contiene la tabla 3?", "The table lists a total of 51 samples of the river water.")]
+    got = {(r.row_id, r.defect) for r in pairs.find_defects(spark.createDataFrame(rows, "origin string, row_id long, question string, answer string")).collect()}
+    assert got == {(2000, "language")}
+    lexicon = pairs.Lexicon([("samples", "en", 200), ("muestras", "es", 200), ("agua", "es", 200), ("water", "en", 200)])
+    assert lexicon.question_language("Muestras, tabla 7?") == "es" and lexicon.question_language("Karo, Lin?") == ""
+
+
 def _lexicon():
     words = {"season": 4000, "paper": 3000, "third": 3000, "council": 3000, "second-hand": 500, "timetable": 900, "Korland": 20}
     return scans.Lexicon(list(words), list(words.values()), 1_000_000)
