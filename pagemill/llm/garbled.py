@@ -2,13 +2,15 @@
 
 Adjacent characters are scored against the pair statistics of the corpus; improbable runs are cut out as maximum-scoring
 segments, and only inside them are the inverse mappings tried: the characters written in the encoding they were wrongly
-read with, and read in another. A reading is taken if the corpus statistics prefer it clearly.
+read with, and read in another. A reading is taken if the corpus statistics prefer it clearly. Garbled words that are too
+common for that are told by word counts, and items whose character codes spell such a reading by their codes.
 """
 
 from __future__ import annotations
 
 import codecs
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.charstats import PairModel, class_table, model_of, pair_counts
+from pagemill.llm.charstats import DOUBTFUL, PairModel, class_table, model_of, pair_counts
 from pagemill.llm.folding import LOOKALIKES
 from pagemill.runtime import map_arrow
 
@@ -24,6 +26,10 @@ from pagemill.runtime import map_arrow
 READ_WITH = ("cp1252", "latin-1", "mac_roman", "cp437", "cp850", "cp1250", "cp1251", "koi8_r", "cp1253")
 WRITTEN_IN = ("mac_roman", "cp437", "cp850", "cp1252", "cp1250", "iso8859_2", "cp1251", "koi8_r", "cp866", "cp1253", "cp932", "euc_jp")
 LOST = "�"
+#: Letters of a word whose readings are looked up, and how many times as frequent a reading must be; for a font known as buggy, less.
+WORD, WORD_TIMES, BUGGY_TIMES = 4, 2.0, 1.2
+#: Share of all words beyond ASCII from which a word is counted.
+WORD_SHARE = 1e-6
 
 
 def _byte_table(name: str) -> dict[int, int]:
@@ -52,6 +58,7 @@ _INVISIBLE = re.compile("\u00ac$|[\u00a0\u00ad\u0300-\u036f\u2000-\u200f\u2028-\
 _LATIN = re.compile("[A-Za-z]")
 _FOREIGN = re.compile(r"[^\x00-\x7f]+")
 _TOKEN = re.compile(r"\S+")
+_EDGES = ".,;:!?()“”„\"«»[]‘’…'–—-"
 
 
 def as_bytes(text: str, read_with: str) -> bytes | None:
@@ -122,9 +129,11 @@ def improbable_runs(scores: np.ndarray) -> list[tuple[int, int]]:
 class Repairer:
     """Repairs single texts under a pair model. `least` bits in all and `each` bits a changed character must be gained."""
 
-    def __init__(self, model: PairModel, least: float = 6.0, each: float = 3.0):
+    def __init__(self, model: PairModel, least: float = 6.0, each: float = 3.0, words: dict[str, int] | None = None):
         self.model, self.least, self.each = model, least, each
+        self.words = words or {}
         self.known: dict[tuple[str, str, str], str | None] = {}
+        self.better: dict[str, tuple[str, float] | None] = {}
 
     def doubtful(self, texts: list[str]) -> np.ndarray:
         """Which of many texts have a rare pair with a character beyond ASCII, or a lost or control character."""
@@ -253,6 +262,78 @@ class Repairer:
         return ("".join(out) + text[upto:b], max(upto, b)) if changed else None
 
 
+    def by_words(self, text: str, buggy: bool = False) -> str | None:
+        """The text with those words read anew that the corpus has far more often in another reading; None if there are none."""
+        now, times = text, BUGGY_TIMES if buggy else WORD_TIMES
+        for token in {w for w in text.split() if not w.isascii()}:
+            core = token.strip(_EDGES)
+            found = self._reading(core)
+            if found and found[1] >= times:
+                now = re.sub(rf"(?<!\S){re.escape(token)}(?!\S)", lambda _, t=token.replace(core, found[0]): t, now)
+        return None if now == text else now
+
+    def _reading(self, word: str) -> tuple[str, float] | None:
+        """The most frequent reading of a word, and how many times as frequent as the word it is."""
+        if word not in self.better:
+            if len(self.better) > 200_000:
+                self.better.clear()
+            found = None
+            if sum(map(str.isalpha, word)) >= WORD and not all(c in LOOKALIKES or c.isascii() for c in word):
+                own = self.words.get(word, 0)
+                options = [(n, new) for new in {*read_again(word), *other_readings(word)} if (n := self.words.get(new, 0)) > own and not DOUBTFUL.search(new)]
+                if options:
+                    most, new = max(options)
+                    found = new, most / max(own, 1)
+            self.better[word] = found
+        return self.better[word]
+
+    def by_codes(self, text: str, spelt: str) -> bool:
+        """Whether the character codes spell what the text was before a wrong encoding: word by word the same or a reading
+        of it that is more probable or more frequent. Codes that are themselves misread don't pass."""
+        if spelt == text or _CONTROL.search(spelt) or LOST in spelt:
+            return False
+        own, new = text.split(" "), spelt.split(" ")
+        if len(own) != len(new) or any(a != b and b not in read_again(a) and b not in other_readings(a) for a, b in zip(own, new, strict=True)):
+            return False
+        count = lambda w: self.words.get(w.strip(_EDGES), 0)
+        return all(self.gain(" ", a, b, " ") > 0 or count(b) > count(a) for a, b in zip(own, new, strict=True) if a != b)
+
+
+def word_counts(df: DataFrame, text: str) -> DataFrame:
+    """Counts (word, n) of the words with a character beyond ASCII, those of at least WORD_SHARE of all: at most 1 / WORD_SHARE."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts: Counter[str] = Counter()
+            for t in batch.column(0).to_pylist():
+                counts.update([c for w in t.split() if not w.isascii() and (c := w.strip(_EDGES))])
+            if counts:
+                yield pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())], ["word", "n"])
+
+    foreign = df.filter(df[text].rlike(r"[^\x00-\x7f]")).select(text)
+    counts = map_arrow(foreign, run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    total = counts.agg(F.sum("n").alias("total"))
+    return counts.crossJoin(F.broadcast(total)).filter(F.col("n") >= F.greatest(F.lit(3), WORD_SHARE * F.col("total"))).select("word", "n")
+
+
+def spelt_by(codes: pa.Array, texts: list[str]) -> dict[int, str]:
+    """What the code points of each row spell, where they are printable code points and differ from the row's text."""
+    if pa.types.is_null(codes.type) or not len(codes):
+        return {}
+    offsets = codes.offsets.to_numpy()
+    raw = codes.values
+    values = (raw.fill_null(0) if raw.null_count else raw).to_numpy(zero_copy_only=False)
+    out = {}
+    for i, t in enumerate(texts):
+        own = values[offsets[i] : offsets[i + 1]]
+        if not len(own) or not t or own.min() < 32 or own.max() >= 0x110000:
+            continue
+        spelt = own.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
+        if spelt != t and not any("\ud800" <= c <= "\udfff" for c in spelt):
+            out[i] = spelt
+    return out
+
+
 def from_codes(text: str, codes: list[int] | None) -> str | None:
     """The text that the character codes spell, if they agree with it wherever it is sound."""
     if not codes or any(c is None or not 0 < c < 0x110000 or 0xD800 <= c < 0xE000 for c in codes):
@@ -271,30 +352,39 @@ def from_codes(text: str, codes: list[int] | None) -> str | None:
     return spelt
 
 
-def restore_texts(df: DataFrame, keys: list[str], text: str, codes: str | None = None, statistics: DataFrame | None = None) -> DataFrame:
+def restore_texts(df: DataFrame, keys: list[str], text: str, codes: str | None = None, statistics: DataFrame | None = None, buggy: str | None = None) -> DataFrame:
     """Rows whose text was read with a wrong encoding: (*`keys`, original STRING, restored BOOLEAN).
 
     `original` is the restored text; characters that are lost (U+FFFD) stay in it, with restored false, unless the code
-    points of `codes` spell a text that agrees with all that is left. Null, empty and ASCII texts are sound. Repeated rows
-    are each reported. `statistics` are pair counts of sound text, by default those of this column. No row is shuffled: the
-    statistics are one bounded table, and only texts with a character beyond ASCII reach Python a second time.
+    points of `codes` spell a text that agrees with all that is left. Codes that spell another text of which this one is a
+    misreading restore it, and a true column `buggy` lets a smaller difference of word counts do. Null, empty and ASCII texts
+    are sound. Repeated rows are each reported. `statistics` are pair counts of sound text, by default those of this column.
+    No row is shuffled: the statistics are two bounded tables, and only texts with a character beyond ASCII reach Python
+    again.
     """
     counts = statistics if statistics is not None else pair_counts(df, text, sound=True)
     sent = df.sparkSession.sparkContext.broadcast(PairModel.of(counts).sparse())
+    words = df.sparkSession.sparkContext.broadcast({r.word: r.n for r in word_counts(df, text).collect()})
     kinds = df.select(*keys).schema
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kinds) + ", original string, restored boolean"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        repairer = Repairer(model_of(sent))
+        repairer = Repairer(model_of(sent), words=words.value)
         for batch in batches:
             rows, originals, whole = [], [], []
             spelt = batch.column(len(keys) + 1)
+            flags = batch.column(len(keys) + 2).to_pylist()
             texts = batch.column(len(keys)).to_pylist()
-            for i in np.flatnonzero(repairer.doubtful(texts)).tolist() if texts else []:
-                t = texts[i]
-                new = repairer.repair(t)
+            doubtful = repairer.doubtful(texts) if texts else []
+            others = spelt_by(spelt, texts)
+            for i, t in enumerate(texts):
+                new = repairer.repair(t) if doubtful[i] else None
+                again = repairer.by_words(t if new is None else new, bool(flags[i]))
+                new = new if again is None else again
+                if i in others and others[i] != new and repairer.by_codes(t, others[i]):
+                    new = others[i]
                 lost = LOST in t or _CONTROL.search(t if new is None else new) is not None
-                if new is None and not lost:
+                if new is None and not (lost and doubtful[i]):
                     continue
                 new = t if new is None else new
                 if lost and (known := from_codes(new, spelt[i].as_py())) is not None:
@@ -307,5 +397,6 @@ def restore_texts(df: DataFrame, keys: list[str], text: str, codes: str | None =
                 yield pa.RecordBatch.from_arrays([*kept, pa.array(originals), pa.array(whole)], [*keys, "original", "restored"])
 
     extra = df[codes].cast("array<bigint>") if codes else F.lit(None).cast("array<bigint>")
-    foreign = df.filter(df[text].rlike(r"[^\x00-\x7f]")).select(*keys, df[text].alias("_text"), extra.alias("_codes"))
+    flag = df[buggy].cast("boolean") if buggy else F.lit(None).cast("boolean")
+    foreign = df.filter(df[text].rlike(r"[^\x00-\x7f]")).select(*keys, df[text].alias("_text"), extra.alias("_codes"), flag.alias("_buggy"))
     return map_arrow(foreign, run, schema)

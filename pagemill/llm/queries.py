@@ -25,7 +25,7 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return restore_texts(table(spark, sf_dir, "text_items"), ["doc_id", "page", "seq"], "text", "char_codes").distinct()
+    return restore_texts(table(spark, sf_dir, "text_items"), ["doc_id", "page", "seq"], "text", "char_codes", buggy="font_is_buggy").distinct()
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -159,6 +159,17 @@ def test_garbled_text():
     assert garbled.from_codes("d��j��", [100, 233, 106, 224]) == "déjà" and garbled.from_codes("d�", None) is None
 
 
+def test_garbled_words_that_the_statistics_hold_for_sound(spark):
+    good, bad = "Podpis na druhé straně chybí", "Podpis na druhé stranì chybí"
+    rows = [(1, 1, i, good, None, False) for i in range(900)] + [(2, 1, i, bad, None, False) for i in range(300)]
+    rows += [(3, 1, i, "Œuvre complète à Gênes", None, False) for i in range(300)]
+    rows += [(4, 1, 1, "ошибку Б формуле", list(map(ord, "ошибку в формуле")), True), (4, 1, 2, "ошибку в формуле", list(map(ord, "ошибку Б формуле")), True), (4, 1, 3, None, [65, None], None)]
+    rows += [(5, 1, i, "ошибку в формуле", None, None) for i in range(50)]
+    df = spark.createDataFrame(rows, "doc_id long, page int, seq int, text string, char_codes array<long>, font_is_buggy boolean")
+    got = {(r.doc_id, r.seq): r.original for r in garbled.restore_texts(df, ["doc_id", "page", "seq"], "text", "char_codes", buggy="font_is_buggy").collect()}
+    assert got == {(2, i): good for i in range(300)} | {(4, 1): "ошибку в формуле"}
+
+
 def test_one_form():
     n = lookalikes.Normalizer(model(CLEAN))
     assert n.normalize("thе оld bridgе") == "the old bridge"
