@@ -35,6 +35,8 @@ CONFUSIONS = {
 OTHER, ACCENT = 4.0, 1.0
 #: Shares of all words from which a word is in the lexicon, and how many times as frequent a repair must be.
 SHARE, TIMES = 1e-6, 30
+#: The same for a form that one confusion explains, and for one that stands where no neighbours tell.
+NEAR, NEAR_ALONE = 4, 10
 
 _HYPHEN = re.compile(r"[^\W\d_][-‐‑¬­]\s*$")
 _HYPHENS = "-‐‑¬­"
@@ -128,6 +130,16 @@ def distance(printed: str, read: str, most: float) -> float:
     return previous[-1][-1]
 
 
+def confused_once(printed: str, read: str) -> bool:
+    """Whether one confusion alone makes what was read of what is printed."""
+    if abs(len(printed) - len(read)) > 1:
+        return False
+    a = 0
+    while a < min(len(printed), len(read)) and printed[a] == read[a]:
+        a += 1
+    return any((p := printed[i : i + m], r := read[i : i + n]) in CONFUSIONS and printed[i + m :] == read[i + n :] for i in (a - 1, a) if i >= 0 for m, n in ((1, 1), (1, 2), (2, 1)))
+
+
 class Lexicon:
     """Words of at least SHARE of all, at most 1 / SHARE; which of them repair doubtful words; and neighbour counts."""
 
@@ -151,7 +163,10 @@ class Lexicon:
         found = {c for s in shapes(word) for d in deletes(s) for c in self.index.get(d, ()) if c != word}
         out = []
         for c in found:
-            if self.counts[c] < TIMES * max(own, self.least) or abs(len(c) - len(word)) > 0.5 * len(c) or len(c) < 2:
+            far = self.counts[c] < TIMES * max(own, self.least)
+            if far and (own < self.least or self.counts[c] < NEAR * own) or abs(len(c) - len(word)) > 0.5 * len(c) or len(c) < 2:
+                continue
+            if far and not confused_once(c, word):
                 continue
             if (cost := distance(c, word, most)) <= most:
                 out.append((cost - 0.15 * float(np.log2(self.counts[c] / self.least)), c))
@@ -209,7 +224,8 @@ class Lexicon:
             m = self.pairs.get((a, better) if a is not None else (better, b), 0)
             score += np.log2((m + 0.5) / (n + 0.5)) if a is None or a else 0.0
         # a slip turns up where the other reading is at home; a word of its own has places of its own
-        return better if score > 0 or score == 0 and other >= 3 * TIMES * own else None
+        alone = NEAR_ALONE if confused_once(better, word) else 3 * TIMES
+        return better if score > 0 or score == 0 and other >= alone * own else None
 
 
 def number_of(line: str) -> tuple[int, bool] | None:

@@ -215,6 +215,14 @@ def test_misreadings():
     assert [lexicon.repair(w) for w in ("seasori", "tliird", "coiincil", "papcr", "season", "Korland", "KX-416")] == ["season", "third", "council", "paper", None, None, None]
 
 
+def test_forms_misread_often_in_proportion():
+    words = {"Summary": 2880, "Siimmary": 110, "Summory": 100, "práctica": 317, "práctico": 58, "Karten": 187, "Kanten": 8, "ejercicio": 900}
+    lexicon = scans.Lexicon(list(words), list(words.values()), 1_000_000, {("ejercicio", "práctico"): 30, ("guía", "práctica"): 90})
+    assert [lexicon.judge("", w, "") for w in ("Siimmary", "Summory", "práctico", "Kanten", "Summary")] == ["Summary", "Summary", None, None, None]
+    assert lexicon.judge("ejercicio", "práctico", "") is None and lexicon.judge("guía", "práctico", "") == "práctica"
+    assert scans.confused_once("Material", "Maferial") and scans.confused_once("Bulletin", "Bulletm") and not scans.confused_once("Summary", "Sumnary")
+
+
 def test_page_of_a_scan():
     reader = scans.Reader(_lexicon())
     texts = ["Annual Report 2001", "a revised time-", "table for the tliird season and a second-", "hand council", "3"]
