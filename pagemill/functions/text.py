@@ -106,7 +106,8 @@ def is_caption(c: Column) -> Column:
 def toc_page(c: Column) -> Column:
     """Page number of a line of a table of contents, null for another line: at least 8 letters, then up to 4 digits."""
     body = F.regexp_extract(c, TOC, 1)
-    return F.when(c.rlike(TOC) & (F.char_length(F.regexp_replace(body, r"[^\p{L}]", "")) >= 8), F.regexp_extract(c, TOC, 2).cast("int"))
+    # the end first: without digits there the whole pattern would try every split of a long line
+    return F.when(c.rlike(r"\s[0-9]{1,4}$") & c.rlike(TOC) & (F.char_length(F.regexp_replace(body, r"[^\p{L}]", "")) >= 8), F.regexp_extract(c, TOC, 2).cast("int"))
 
 
 def list_marker(c: Column) -> Column:

@@ -135,6 +135,12 @@ def document_line_shapes(spark, d):
     return _shapes(lines, "line")
 
 
+@query()
+def document_line_shapes_whole(spark, d):
+    """Every line of the documents, of any length and with any line end; document_line_shapes is the part that its SQL states."""
+    return _shapes(document_lines(spark, d, r"\r\n|\r|\n").select("line").distinct(), "line")
+
+
 _CELLS = "('44520]'),('|123'),('(note)'),('|hello|'),('(78,939)|'),('78,939)'),('|||'),('12%'),('p. 4'),('(3.1)'),('Total:'),('---'),('==='),('•'),('N/A|')"
 
 

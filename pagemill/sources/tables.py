@@ -19,10 +19,10 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "text_items").select(*columns).distinct()
 
 
-def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, line_no, line) of documents, split at newlines."""
+def document_lines(spark: SparkSession, sf_dir: str, ends: str = "\n") -> DataFrame:
+    """(doc_id, line_no, line) of documents, split at newlines or what else the pattern `ends` has."""
     docs = table(spark, sf_dir, "documents").filter(F.col("text").isNotNull())
-    return docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("at", "line")).select("doc_id", (F.col("at") + 1).alias("line_no"), "line")
+    return docs.select("doc_id", F.posexplode(F.split("text", ends)).alias("at", "line")).select("doc_id", (F.col("at") + 1).alias("line_no"), "line")
 
 
 def fixture(spark: SparkSession, values: str, columns: Sequence[str]) -> DataFrame:

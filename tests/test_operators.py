@@ -10,6 +10,7 @@ from pagemill.sources import plugins
 from pagemill.sources.tables import fixture, sniff
 from pagemill.streaming import batches
 
+ROW = "doc_id long, text string"
 SCHEMA = "snap int, document string, page int, output_text string, snap_note string"
 
 
@@ -49,6 +50,27 @@ def test_page_selection(spark):
     assert got == {"1-3,2": [1, 2, 3], "0": None, "9-1": None, "": None}
 
 
+def test_shapes_of_long_lines_and_any_line_end(spark, tmp_path):
+    import re
+
+    from pagemill.functions import text as T
+    from pagemill.plans.layout_queries import QUERIES
+
+    long = "word " * 4000
+    texts = ["• item one\r\n12) twelve\r2.1.3 Scope\nFigure 12: Rain\r\n", "Introduction " + ". " * 90 + "17", "- " + long, "3. " + long + "end 12", long, "9 " * 5000 + "9", None, "", "\r\r\n\n"]
+    spark.createDataFrame(list(enumerate(texts)), ROW).write.parquet(str(tmp_path / "documents.parquet"))
+    lines = {x for t in texts if t is not None for x in re.split(r"\r\n|\r|\n", t)}
+
+    def shape(x):
+        bullet, ordered, toc = re.match(T.BULLET, x), re.match(T.NUMBERED, x), re.search(r"^(.*[^0-9\s])[\s.]*\s([0-9]{1,4})$", x) if re.search(r"\s[0-9]{1,4}$", x) else None
+        section, letters = re.match(T.SECTION, x), sum(map(str.isalpha, toc[1])) if toc else 0
+        marker = "bullet" if bullet else "ordered" if ordered else None
+        return x, marker, (bullet or ordered)[2] if marker else None, section[1] if section else "", bool(re.search(T.CAPTION, x)), int(toc[2]) if letters >= 8 else None
+
+    got = [tuple(r) for r in QUERIES["document_line_shapes_whole"](spark, str(tmp_path)).collect()]
+    assert sorted(got, key=str) == sorted(map(shape, lines), key=str)
+
+
 def test_components(spark):
     chain = spark.createDataFrame([(i, i + 1) for i in range(40) if i != 20], "a int, b int")
     got = dict(spatial.components(spark.range(41).select(F.col("id").cast("int").alias("node")), chain).collect())
