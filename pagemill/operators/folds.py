@@ -226,10 +226,12 @@ _LIST = re.compile(r"^\s*(?:[•◦▪‣∙·*–-]|\d{1,3}[.)])\s+\S")
 _CODE_FONT = re.compile("mono|courier|consol", re.IGNORECASE)
 
 
-def classify_blocks(lines: DataFrame) -> DataFrame:
-    """(doc_id, page, block, kind, text): lines of a page to blocks by priority: code, divider, heading, list, table row,
+def classify_blocks(lines: DataFrame, sized: bool = False) -> DataFrame:
+    """(doc_id, page, block, kind, text), and with `sized` the font_size of a block's first line: lines of a page to blocks by priority: code, divider, heading, list, table row,
     paragraph. A block takes in lines while its kind goes on, a state that a window does not have."""
 
+    own = ["font_size"] * sized
+
     def kind_of(r, body: float) -> str:
         text = r.text.strip()
         if r.font_name and _CODE_FONT.search(r.font_name) and not re.search(r"\w\s\w+\s\w", text):
@@ -255,10 +257,11 @@ def classify_blocks(lines: DataFrame) -> DataFrame:
             elif blocks and kind == "paragraph" and blocks[-1][0] == "list" and not ended and r.text[:1].islower():
                 blocks[-1][1] += " " + r.text
             else:
-                blocks.append([kind, r.text])
+                blocks.append([kind, r.text, r.font_size])
             ended = r.text.rstrip()[-1:] in ".!?:"
         if not blocks:
-            return pd.DataFrame(columns=["doc_id", "page", "block", "kind", "text"])
-        return pd.DataFrame({"doc_id": pdf["doc_id"].iloc[0], "page": pdf["page"].iloc[0], "block": range(1, len(blocks) + 1), "kind": [b[0] for b in blocks], "text": [b[1] for b in blocks]})
+            return pd.DataFrame(columns=["doc_id", "page", "block", "kind", "text", *own])
+        out = pd.DataFrame({"doc_id": pdf["doc_id"].iloc[0], "page": pdf["page"].iloc[0], "block": range(1, len(blocks) + 1), "kind": [b[0] for b in blocks], "text": [b[1] for b in blocks], "font_size": [b[2] for b in blocks]})
+        return out if sized else out.drop(columns="font_size")
 
-    return _by_page(lines.select("doc_id", "page", "seq", "text", "font_name", "font_size"), run, "doc_id long, page int, block int, kind string, text string")
+    return _by_page(lines.select("doc_id", "page", "seq", "text", "font_name", "font_size"), run, "doc_id long, page int, block int, kind string, text string" + ", font_size double" * sized)

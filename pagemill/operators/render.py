@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -54,13 +56,21 @@ def markdown_pages(blocks: DataFrame) -> DataFrame:
     return drawn.groupBy("doc_id", "page").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "piece"))), lambda s: s["piece"]), "").alias("markdown"))
 
 
-def pipe_table(cells: DataFrame) -> DataFrame:
-    """Pipe table of cells (table, row, col, text): the first row is the header."""
-    rows = cells.groupBy("table", "row").agg(F.array_sort(F.collect_list(F.struct("col", F.regexp_replace("text", r"\|", r"\\|").alias("t")))).alias("c"))
+def pipe_table(cells: DataFrame, keys: Sequence[str] = ("table",)) -> DataFrame:
+    """Pipe table of cells (*`keys`, row, col, text): the first row is the header."""
+    rows = cells.groupBy(*keys, "row").agg(F.array_sort(F.collect_list(F.struct("col", F.regexp_replace("text", r"\|", r"\\|").alias("t")))).alias("c"))
     line = F.concat(F.lit("| "), F.array_join(F.transform("c", lambda s: s["t"]), " | "), F.lit(" |"))
     rule = F.concat(F.lit("\n|"), F.array_join(F.transform("c", lambda s: F.lit(" --- ")), "|"), F.lit("|"))
-    drawn = rows.withColumn("line", F.when(F.col("row") == F.min("row").over(Window.partitionBy("table")), F.concat(line, rule)).otherwise(line))
-    return drawn.groupBy("table").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row", "line"))), lambda s: s["line"]), "\n").alias("markdown"))
+    drawn = rows.withColumn("line", F.when(F.col("row") == F.min("row").over(Window.partitionBy(*keys)), F.concat(line, rule)).otherwise(line))
+    return drawn.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row", "line"))), lambda s: s["line"]), "\n").alias("markdown"))
+
+
+def row_cells(items: DataFrame) -> DataFrame:
+    """Cells (doc_id, page, row, col, text) of items with (row_y, cell): items of a cell stand side by side, null texts are
+    left out."""
+    own = F.array_sort(F.collect_list(F.when(F.col("text").isNotNull(), F.struct("x", "seq", "text"))))
+    cells = items.filter(F.col("row_y").isNotNull()).groupBy("doc_id", "page", F.col("row_y").alias("row"), F.col("cell").alias("col"))
+    return cells.agg(F.array_join(F.transform(own, lambda s: s["text"]), " ").alias("text"))
 
 
 def write_lines(df: DataFrame, path: str) -> None:

@@ -11,6 +11,11 @@ from pagemill.runtime import written
 CELL = 64.0
 
 
+def page_keys(df: DataFrame) -> list[str]:
+    """What names a page: (doc_id, page), or page alone where all rows are of one document and have no doc_id."""
+    return ["doc_id", "page"] if "doc_id" in df.columns else ["page"]
+
+
 def cells(x: Column, y: Column, w: Column, h: Column, size: float = CELL) -> Column:
     """Grid cells that a box touches, as 'column:row'. A box of a page touches few: their number does not grow with the data."""
     columns = F.sequence(F.floor(x / size), F.floor((x + F.greatest(w, F.lit(0.0))) / size))
@@ -43,21 +48,22 @@ def assign_links(items: DataFrame, links: DataFrame) -> DataFrame:
 
     A link taller than 1.8 times the upper median height of what it covers is none.
     """
-    keys = ["page"]
+    keys = page_keys(items)
     centre = (F.col("x") + F.col("width") / 2).between(F.col("left"), F.col("right")) & (F.col("y") + F.col("height") / 2).between(F.col("top"), F.col("bottom"))
     covered = items.join(links, keys).filter(centre)
-    medians = covered.groupBy("page", "pos").agg(G.upper_median(F.collect_list("height")).alias("typical"))
-    good = covered.join(medians, ["page", "pos"]).filter(F.col("bottom") - F.col("top") <= 1.8 * F.col("typical"))
-    first = good.groupBy("page", "seq").agg(F.min_by("uri", "pos").alias("uri"))
-    return items.join(first, ["page", "seq"], "left")
+    medians = covered.groupBy(*keys, "pos").agg(G.upper_median(F.collect_list("height")).alias("typical"))
+    good = covered.join(medians, [*keys, "pos"]).filter(F.col("bottom") - F.col("top") <= 1.8 * F.col("typical"))
+    first = good.groupBy(*keys, "seq").agg(F.min_by("uri", "pos").alias("uri"))
+    return items.join(first, [*keys, "seq"], "left")
 
 
 def struck(items: DataFrame, segments: DataFrame) -> DataFrame:
     """Items that a thin horizontal segment (page, x1, x2, sy, thickness) strikes: in the middle band, over 60 % of the width."""
     hit = (F.col("thickness") <= 2) & (F.col("sy") >= F.col("y") + 0.2 * F.col("height")) & (F.col("sy") <= F.col("y") + 0.65 * F.col("height"))
     wide = G.overlap(F.col("x"), F.col("x") + F.col("width"), F.col("x1"), F.col("x2")) >= 0.6 * F.col("width")
-    found = items.join(segments, "page").filter(hit & wide & (F.trim("text") != "")).select("page", "seq").distinct()
-    return items.join(found, ["page", "seq"], "left_semi")
+    keys = page_keys(items)
+    found = items.join(segments, keys).filter(hit & wide & (F.trim("text") != "")).select(*keys, "seq").distinct()
+    return items.join(found, [*keys, "seq"], "left_semi")
 
 
 def union_length(intervals: Column) -> Column:
@@ -72,30 +78,35 @@ def union_length(intervals: Column) -> Column:
 
 def underlined(items: DataFrame, segments: DataFrame) -> DataFrame:
     """Items under which a thin segment (page, pos, x1, x2, sy, thickness) runs whose length text covers to 70 %."""
+    keys = page_keys(items)
     long = segments.filter((F.col("x2") - F.col("x1") >= 2) & (F.col("x2") - F.col("x1") > 4 * F.col("thickness")))
     near = (F.col("sy") >= F.col("y") + 0.8 * F.col("height")) & (F.col("sy") <= F.col("y") + F.col("height") + F.greatest(0.25 * F.col("height"), F.lit(2.0)))
     a, b = F.greatest("x", "x1"), F.least(F.col("x") + F.col("width"), F.col("x2"))
-    met = items.join(long, "page").filter(near & (b > a)).withColumn("a", a).withColumn("b", b)
-    cover = met.groupBy("page", "pos", "x1", "x2").agg(union_length(F.collect_list(F.struct("a", "b"))).alias("length")).filter(F.col("length") >= 0.7 * (F.col("x2") - F.col("x1")))
-    marked = met.join(cover.select("page", "pos"), ["page", "pos"], "left_semi").filter(F.col("b") - F.col("a") >= 0.5 * F.col("width"))
-    return items.join(marked.select("page", "seq").distinct(), ["page", "seq"], "left_semi")
+    met = items.join(long, keys).filter(near & (b > a)).withColumn("a", a).withColumn("b", b)
+    cover = met.groupBy(*keys, "pos", "x1", "x2").agg(union_length(F.collect_list(F.struct("a", "b"))).alias("length")).filter(F.col("length") >= 0.7 * (F.col("x2") - F.col("x1")))
+    marked = met.join(cover.select(*keys, "pos"), [*keys, "pos"], "left_semi").filter(F.col("b") - F.col("a") >= 0.5 * F.col("width"))
+    return items.join(marked.select(*keys, "seq").distinct(), [*keys, "seq"], "left_semi")
 
 
 def without_native(results: DataFrame, items: DataFrame, tolerance: float = 2.0) -> DataFrame:
     """Recognised boxes that touch no native item by more than the tolerance: an anti-join within pages."""
     t = tolerance
-    a = items.select(F.col("page").alias("p"), F.col("x").alias("nx"), F.col("y").alias("ny"), F.col("width").alias("nw"), F.col("height").alias("nh"))
-    touch = (F.col("page") == F.col("p")) & (F.col("x") + t < F.col("nx") + F.col("nw")) & (F.col("x") + F.col("width") - t > F.col("nx")) & (F.col("y") + t < F.col("ny") + F.col("nh")) & (F.col("y") + F.col("height") - t > F.col("ny"))
+    keys = page_keys(results)
+    a = items.select(*[F.col(k).alias(f"n_{k}") for k in keys], F.col("x").alias("nx"), F.col("y").alias("ny"), F.col("width").alias("nw"), F.col("height").alias("nh"))
+    touch = (F.col("x") + t < F.col("nx") + F.col("nw")) & (F.col("x") + F.col("width") - t > F.col("nx")) & (F.col("y") + t < F.col("ny") + F.col("nh")) & (F.col("y") + F.col("height") - t > F.col("ny"))
+    for k in keys:
+        touch = (F.col(k) == F.col(f"n_{k}")) & touch
     return results.join(a, touch, "left_anti")
 
 
 def width_covered(results: DataFrame, items: DataFrame) -> DataFrame:
     """Share of each recognised box's width that native text on its line covers: the union of the overlaps."""
     a, b = F.greatest("x", "nx"), F.least(F.col("x") + F.col("width"), F.col("nx") + F.col("nw"))
-    native = items.select("page", F.col("x").alias("nx"), F.col("y").alias("ny"), F.col("width").alias("nw"), F.col("height").alias("nh"))
+    keys = page_keys(results)
+    native = items.select(*keys, F.col("x").alias("nx"), F.col("y").alias("ny"), F.col("width").alias("nw"), F.col("height").alias("nh"))
     line = F.abs((F.col("y") + F.col("height") / 2) - (F.col("ny") + F.col("nh") / 2)) < 0.5 * F.least("height", "nh")
-    met = results.join(native, "page").filter(line & (b > a)).groupBy("page", "seq").agg(union_length(F.collect_list(F.struct(a.alias("a"), b.alias("b")))).alias("length"))
-    return results.join(met, ["page", "seq"], "left").withColumn("covered", F.round(F.coalesce("length", F.lit(0.0)) / F.col("width"), 4)).drop("length")
+    met = results.join(native, keys).filter(line & (b > a)).groupBy(*keys, "seq").agg(union_length(F.collect_list(F.struct(a.alias("a"), b.alias("b")))).alias("length"))
+    return results.join(met, [*keys, "seq"], "left").withColumn("covered", F.round(F.coalesce("length", F.lit(0.0)) / F.nullif(F.col("width"), F.lit(0.0)), 4)).drop("length")
 
 
 def nearest_track(cells_: DataFrame, tracks: DataFrame, tolerance: float = 6.0) -> DataFrame:
@@ -105,9 +116,10 @@ def nearest_track(cells_: DataFrame, tracks: DataFrame, tolerance: float = 6.0)
     start, end = F.abs(F.col("x") - F.col("lo")), F.abs(F.col("x") + F.col("width") - F.col("hi"))
     priority = F.when(inside, 0).when(start <= tolerance, 1).when(end <= tolerance, 2)
     distance = F.when(inside, 0.0).when(start <= tolerance, start).otherwise(end)
-    met = cells_.join(tracks, "page").withColumn("priority", priority).filter(F.col("priority").isNotNull())
-    best = met.groupBy("page", "seq").agg(F.min_by("track", F.struct(F.col("priority"), distance.alias("distance"), F.col("track"))).alias("track"))
-    return cells_.join(best, ["page", "seq"], "left")
+    keys = page_keys(cells_)
+    met = cells_.join(tracks, keys).withColumn("priority", priority).filter(F.col("priority").isNotNull())
+    best = met.groupBy(*keys, "seq").agg(F.min_by("track", F.struct(F.col("priority"), distance.alias("distance"), F.col("track"))).alias("track"))
+    return cells_.join(best, [*keys, "seq"], "left")
 
 
 def components(nodes: DataFrame, edges: DataFrame, most: int = 40) -> DataFrame:
@@ -131,11 +143,12 @@ def components(nodes: DataFrame, edges: DataFrame, most: int = 40) -> DataFrame:
 
 def rule_bands(rules: DataFrame, height: float = 792.0) -> DataFrame:
     """Bands between neighbouring horizontal rules (page, y, x1, x2): 10 points to half a page apart, 60 % of the shorter shared."""
-    w = Window.partitionBy("page").orderBy("y", "x1")
+    keys = page_keys(rules)
+    w = Window.partitionBy(*keys).orderBy("y", "x1")
     pairs = rules.withColumn("y2", F.lead("y").over(w)).withColumn("n1", F.lead("x1").over(w)).withColumn("n2", F.lead("x2").over(w))
     shared = G.overlap(F.col("x1"), F.col("x2"), F.col("n1"), F.col("n2"))
     good = (F.col("y2") - F.col("y")).between(10, height / 2) & (shared >= 0.6 * F.least(F.col("x2") - F.col("x1"), F.col("n2") - F.col("n1")))
-    return pairs.filter(good).select("page", F.col("y").alias("top"), F.col("y2").alias("bottom"))
+    return pairs.filter(good).select(*keys, F.col("y").alias("top"), F.col("y2").alias("bottom"))
 
 
 def canonical_images(images: DataFrame) -> DataFrame:

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from pagemill.functions import geometry as G
 from pagemill.functions import text as T
 from pagemill.operators import evaluation as E
 from pagemill.operators import folds
+from pagemill.operators import layout as L
 from pagemill.operators import render as R
 from pagemill.operators import spatial as J
 from pagemill.plans import sql as S
-from pagemill.runtime import table
+from pagemill.runtime import table, written
 from pagemill.sources.tables import document_lines, fixture, items
 
 QUERIES, SQL = {}, {}
@@ -215,6 +217,59 @@ def inline_markdown(spark, d):
     return fixture(spark, v, ["line"]).select("line", T.escape_markdown(F.col("line")).alias("escaped"), T.code_language(F.col("line")).alias("lang"))
 
 
+def _recognised(spark, d):
+    """Items with and without a confidence: what was recognised, and what the file itself holds."""
+    own = items(spark, d)
+    return own.filter("confidence IS NOT NULL"), own.filter("confidence IS NULL")
+
+
+@query()
+def ocr_anti_join_whole(spark, d):
+    return J.without_native(*_recognised(spark, d)).select("doc_id", "page", "seq")
+
+
+@query()
+def ocr_coverage_whole(spark, d):
+    return J.width_covered(*_recognised(spark, d)).select("doc_id", "page", "seq", "covered")
+
+
+@query()
+def cell_tracks_whole(spark, d):
+    """Tracks of a page reach from each cluster of item starts to the next, the last one to the right edge."""
+    own = written(items(spark, d).select("doc_id", "page", "seq", "x", "width"))
+    w = Window.partitionBy("doc_id", "page").orderBy("center")
+    lo = F.col("center") - 6.0
+    tracks = L.cluster_positions(own, "x", 6.0).select("doc_id", "page", F.row_number().over(w).alias("track"), lo.alias("lo"), F.coalesce(F.lead(lo).over(w), F.lit(612.0)).alias("hi"))
+    return J.nearest_track(own, tracks).select("doc_id", "page", "seq", "track")
+
+
+@query()
+def inline_markdown_whole(spark, d):
+    c = F.col("text")
+    return items(spark, d).filter(c.isNotNull()).select("doc_id", "page", "seq", T.escape_markdown(c).alias("escaped"), T.code_language(c).alias("lang"))
+
+
+@query()
+def markdown_render_whole(spark, d):
+    """Pages of the blocks that classify_blocks makes; a heading has the level of its font size in the document."""
+    own = items(spark, d).withColumn("font_size", F.nanvl("font_size", F.lit(None)))
+    own = written(own.select("doc_id", "page", "seq", "text", "rotation", "font_name", "font_size"))
+    levels = L.heading_map(own).select("doc_id", F.round(F.col("size") * 100).cast("long").alias("k"), F.col("level").cast("int").alias("level"))
+    blocks = folds.classify_blocks(own, sized=True).withColumn("k", F.when(F.col("kind") == "heading", F.round(F.col("font_size") * 100).cast("long")))
+    c = F.col("text")
+    list_ = F.col("kind") == "list"
+    marker = F.when(list_ & (T.list_marker(c) == "ordered"), F.regexp_extract(c, T.NUMBERED, 1))
+    text = F.when(list_, F.coalesce(T.list_body(c), c)).otherwise(c)
+    return R.markdown_pages(blocks.join(levels, ["doc_id", "k"], "left").select("doc_id", "page", "block", "kind", text.alias("text"), "level", marker.alias("marker")))
+
+
+@query()
+def table_render_whole(spark, d):
+    """Each page as one table of its rows, those of a single cell too."""
+    own = items(spark, d).withColumn("font_size", F.nanvl("font_size", F.lit(None)))
+    return R.pipe_table(R.row_cells(L.split_cells(own)), ["doc_id", "page"])
+
+
 @query()
 def y_band_lines(spark, d):
     """Grouping whose band grows with its members: a fold within each page."""

@@ -155,6 +155,12 @@ def cell_cleanup(spark, d):
     return fixture(spark, _CELLS, ["cell"]).select(c, T.clean_recognised(c).alias("cleaned"), T.value_shape(c).alias("shape"), T.divider_kind(c).alias("divider"))
 
 
+@query()
+def cell_cleanup_whole(spark, d):
+    c = F.col("text")
+    return items(spark, d).filter(c.isNotNull()).select("doc_id", "page", "seq", T.clean_recognised(c).alias("cleaned"), T.value_shape(c).alias("shape"), T.divider_kind(c).alias("divider"))
+
+
 @query("SELECT doc_id, length(regexp_replace(regexp_replace(text, '```[a-z]*|-----', '', 'g'), '\\s', '', 'g')) AS content_chars FROM documents WHERE text IS NOT NULL AND strpos(text, chr(11)) = 0")
 def content_lengths(spark, d):
     return table(spark, d, "documents").filter(F.col("text").isNotNull() & ~F.contains("text", F.lit("\x0b"))).select("doc_id", T.content_length(F.col("text")).alias("content_chars"))
@@ -198,6 +204,11 @@ def rotations(spark, d):
     return fixture(spark, "(0.0D),(91.5D),(-89.0D),(359.0D),(45.0D),(-400.0D),(720.5D)", ["rotation"]).select("rotation", G.canonical_rotation(F.col("rotation")).alias("canonical"))
 
 
+@query()
+def rotations_whole(spark, d):
+    return items(spark, d).select("doc_id", "page", "seq", "rotation", G.canonical_rotation(F.col("rotation")).alias("canonical"))
+
+
 _BODY = f"""{IT}, w AS (SELECT doc_id, CAST(round(font_size * 100) AS BIGINT) k, sum(greatest(length(text), 1)) w FROM it WHERE font_size IS NOT NULL AND NOT isnan(font_size) AND text IS NOT NULL GROUP BY 1, 2),
   m AS (SELECT *, max(w) OVER (PARTITION BY doc_id) mw FROM w), body AS (SELECT doc_id, max(k) / 100 AS body_size FROM m WHERE w >= floor(mw * 0.5) GROUP BY doc_id)"""
 
