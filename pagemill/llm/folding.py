@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Sequence
 from functools import cache
 
 import numpy as np
@@ -16,6 +17,13 @@ LOOKALIKES = {
     # Greek
     "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T",
     "Υ": "Y", "Χ": "X", "α": "a", "γ": "y", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "χ": "x", "ϲ": "c", "ϳ": "j",
+    # Armenian
+    "Ս": "U", "Տ": "S", "Լ": "L", "Օ": "O", "ա": "w", "հ": "h", "յ": "j", "ո": "n", "ս": "u", "օ": "o", "ց": "g", "ք": "p", "զ": "q",
+    # Cherokee
+    "Ꭰ": "D", "Ꭱ": "R", "Ꭲ": "T", "Ꭺ": "A", "Ꭻ": "J", "Ꭼ": "E", "Ꮃ": "W", "Ꮇ": "M", "Ꮋ": "H", "Ꮐ": "G", "Ꮓ": "Z", "Ꮞ": "4", "Ꮟ": "b", "Ꮢ": "R",
+    "Ꮤ": "W", "Ꮩ": "V", "Ꮪ": "S", "Ꮮ": "L", "Ꮯ": "C", "Ꮲ": "P", "Ꮶ": "K", "Ᏼ": "B",
+    # Latin letters of phonetic alphabets
+    "ɑ": "a", "ɡ": "g", "ɩ": "i", "ɪ": "i", "ı": "i", "ʏ": "y",
 }
 
 
@@ -31,52 +39,50 @@ def fold_char(c: str) -> str:
 
 @cache
 def _tables() -> tuple[np.ndarray, dict[int, str]]:
-    """Code of each BMP character that folds to one (0: none), and the strings of those that fold to several."""
-    codes = np.zeros(0x10000, np.uint8)
+    """The folded letter of each character below 0x10000 that folds to one (0: none), and the strings of the others."""
+    codes = np.zeros(0x10000, np.uint32)
+    codes[0x3400:0xA000] = np.arange(0x3400, 0xA000)
     several: dict[int, str] = {}
-    for p in range(0x10000):
-        if 0xD800 <= p < 0xE000:
-            continue
-        if 0x3400 <= p < 0xA000 or 0xAC00 <= p < 0xD7A4:
-            codes[p] = 128 + p % 128
-            continue
+    for p in (*range(0x3400), *range(0xA000, 0xD800), *range(0xE000, 0x10000)):
         folded = fold_char(chr(p))
-        if len(folded) == 1:
-            codes[p] = code_of(folded)
+        if len(folded) == 1 and ord(folded) < 0x10000:
+            codes[p] = ord(folded)
         elif folded:
             several[p] = folded
     return codes, several
 
 
-def code_of(c: str) -> int:
-    """a-z and 0-9 have codes of their own below 64; the rest share those from 64 on."""
-    if "a" <= c <= "z":
-        return ord(c) - 96
-    if "0" <= c <= "9":
-        return ord(c) - 48 + 27
-    return 64 + ord(c) % 192
-
-
-@cache
-def _several() -> dict[int, str]:
-    return _tables()[1]
-
-
-def stream(text: str) -> np.ndarray:
-    """Codes of the letters and digits of a text in order, without blanks and marks."""
-    codes, several = _tables()
-    points = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
-    if len(points) and points.max() >= 0x250:
-        special = set(np.unique(points[points >= 0xDF]).tolist()) & several.keys()
-        beyond = [p for p in np.unique(points[points >= 0x10000]).tolist()]
-        if special or beyond:
-            swap = {p: several[p] for p in special} | {p: fold_char(chr(p)) for p in beyond}
-            points = np.frombuffer(text.translate(swap).encode("utf-32-le", "replace"), np.uint32)
-            points = np.where(points < 0x10000, points, 0x3400)
-    elif (points == 0xDF).any():
-        points = np.frombuffer(text.replace("ß", "ss").encode("utf-32-le"), np.uint32)
-    out = codes[points]
-    return out[out > 0]
+def _points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
+
+
+def streams(texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The folded letters and digits of all texts one after the other, as code points, and where each text ends in them.
+
+    They are those of `fold_word`, letter for letter: equal stretches are equal text.
+    """
+    table, several = _tables()
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    points = _points("".join(texts))
+    if len(points) and points.max() >= 0x80:
+        present = np.zeros(0x110000, bool)
+        present[points] = True
+        odd = np.flatnonzero(present[0x80:]) + 0x80
+        swap = {p: several[p] if p < 0x10000 else fold_char(chr(p)) for p in odd.tolist() if p in several or p >= 0x10000}
+        if swap:
+            present[:] = False
+            present[list(swap)] = True
+            changed = np.unique(np.searchsorted(sizes.cumsum(), np.flatnonzero(present[points]), "right"))
+            texts = list(texts)
+            for i in changed.tolist():
+                texts[i] = texts[i].translate(swap)
+                sizes[i] = len(texts[i])
+            points = _points("".join(texts))
+    beyond = points >= 0x10000  # folded by the translation already
+    codes = np.where(beyond, points, table[np.where(beyond, 0, points)]) if beyond.any() else table[points]
+    kept = codes > 0
+    ends = np.concatenate([[0], kept.cumsum()])[sizes.cumsum()] if len(texts) else np.zeros(0, np.int64)
+    return codes[kept], ends
 
 
 def fold_word(word: str) -> str:

@@ -1,8 +1,11 @@
 """Defective answers of question-answer pairs (problem 1).
 
-A suffix automaton of the question measures how much of an answer is copied from it; an Aho-Corasick automaton finds the
-answerer speaking of itself and declining; words vote for languages with the weights that the corpus gives them; a stack of
+A suffix automaton of the question measures how much of an answer is copied from it; an Aho-Corasick automaton of word
+classes finds an answerer that declines; words vote for languages with the weights that the corpus gives them; a stack of
 delimiters and the corpus counts of how word sequences go on or end tell a broken-off answer from a complete one.
+
+Answers are read a batch at a time: each blank-free token is looked up once in a worker's table of votes, marks and steps,
+and what a row needs of them is summed in numpy. Only rows that such sums cannot decide are looked at one by one.
 """
 
 from __future__ import annotations
@@ -11,16 +14,17 @@ import bisect
 import math
 import re
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
+from itertools import chain
 
-import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.folding import fold_word
+from pagemill.llm.folding import fold_word, streams
+from pagemill.llm.refusals import declines, outside_quotations, triggers
 from pagemill.runtime import map_arrow
 
 #: What stands for a missing answer, folded to letters and digits.
@@ -28,6 +32,8 @@ PLACEHOLDERS = frozenset(
     "na nan null nil tbd tba tbc blank empty noanswer noanswerprovided noanswerfound missing missinganswer notavailable notapplicable unanswered "
     "keineantwort sansreponse sinrespuesta semresposta answer antwort reponse respuesta todo xxx undefined nodata".split()
 )
+#: Words of which a placeholder in brackets is made, and those of them that one must have.
+PLACEHOLDER_WORDS = frozenset("no not answer response text content data value entry available provided given found missing none empty blank null pending here your the insert keine antwort vorhanden sans aucune reponse sin respuesta sem resposta".split())
 #: Words that a language's questions and answers are made of; shared words stand in every language that has them.
 STOPWORDS = {
     "en": "the of and was is what which who where how many did do does on in to were that this by a",
@@ -41,33 +47,30 @@ STOPWORDS = {
 }
 #: Marks that one of these languages alone writes.
 MARKS = {"es": "¿¡ñ", "de": "ß", "pt": "ãõ", "pl": "łżź", "cs": "řěů"}
-#: Words by which an answerer speaks of itself, and by which it declines.
-SELF_WORDS = (
-    "i im ive id ill me my myself je j jai m moi mon ma mes ich mir mich mein meine meinen meiner meinem yo mi mis puedo tengo prefiero soy veo "
-    "estoy lamento siento disculpe abstengo eu meu minha sprachmodell chatbot assistent".split()
-)
-SELF_PHRASES = ("language model", "modele de langage", "modelo de lenguaje", "an ai", "me es", "me resulta", "me abstengo", "se me", "me temo")
-DECLINE_WORDS = (
-    "not no none nothing never cannot cant wont dont couldnt unable decline refuse beyond pass ne n pas aucun aucune rien impossible refuse prefere abstiens "
-    "nicht kein keine keinen keinem keiner nichts weigere lehne enthalte unmoglich verzichte no ningun ninguna nada imposible abstengo prefiero niego declino nao".split()
-)
-DECLINE_PHRASES = ("rather not", "keep me from", "keeps me from", "prevent me from", "sorry but", "excuses je", "excuses mais")
 
 _WORD = re.compile(r"(?:[^\W\d_]\.){2,}|[^\W_]+(?:[’'\-‐][^\W_]+)*")
-_STEP = re.compile(r"(?:[^\W\d_]\.){2,}|[^\W_]+(?:[’'\-‐.,/][^\W_]+)*|[.!?。…]+|[,;:()“”«»„\"]")
-_QUOTED = re.compile(r"[“„«‘](?:[^”“»’]|(?<=\w)’(?=\w))*(?:[”“»’]|$)|\"[^\"]*(?:\"|$)|\([^)]*(?:\)|$)")
+_STEP = re.compile(r"(?:[^\W\d_]\.){2,}|[^\W_]+(?:[’'\-‐.,/][^\W_]+)*|[.!?。…]+|[,;:()“”„«»\"]")
+_QUOTES = re.compile("[“„«‘(\"]")
 _LABEL = re.compile(r"^\s*(?:question|answer|q|a|frage|antwort|réponse|pregunta|respuesta|f|r|p)\s*[:：]\s*|\s*(?:answer|a|antwort|réponse|respuesta|r)\s*[:：]\s*$", re.IGNORECASE)
 _ENDS = re.compile(r"[.!?。…][”\"»’')\]]*$|[.!?。…]?[”\"»’')\]]+$")
 _ABBREVIATED = re.compile(r"(?:^|[^\W_.]|\s)(?:[^\W\d_]\.){2,}$")
 _ELLIPSIS = re.compile(r"(?:\.{3}|…)$")
+_BRACKETED = re.compile(r"^\s*[\[<({]+([^\[\]<>(){}]*)[\]>)}]+\s*$")
 _OPENS, _CLOSES = "(“«„[", {")": "(", "”": "“„", "»": "«", "]": "[", "“": "„"}
 
 #: Orders of word sequences whose continuation is counted, longest first, and the occurrences that make a count speak.
-ORDERS, LEAST = (5, 3, 2), 20
-#: Difference of the learned votes that decides a question whose stopwords do not.
-CLEAR = 1.0
-#: Letters of the question in a row that count as copied.
-STRETCH = 6
+ORDERS, LEAST = (5, 3, 2, 1), 20
+#: Share of the occurrences of a word sequence, and of a single word, that must go on for its end to be a break.
+GOES_ON, WORD_GOES_ON = 0.8, 0.97
+#: Difference of the learned votes that decides a question whose stopwords do not, and an answer's language.
+CLEAR, FOREIGN = 1.0, 5.0
+#: Words that a language's answers must have in all, and how much more often its own stopwords must stand in them.
+LANGUAGE_WORDS, OWN_TIMES = 500, 2.0
+#: Letters of the question in a row that count as copied, and the share of an answer's letters that makes it a copy.
+STRETCH, COPIED = 6, 0.87
+#: Parts that a hash of a word sequence is spread over where open ends meet its counts: many answers end alike.
+SALTS = 8
+HASHES = [f"h{i}" for i in range(len(ORDERS))]
 DEFECTS = ("empty", "copy", "refusal", "language", "truncated")
 
 
@@ -125,75 +128,78 @@ def _automaton(question: str) -> SuffixAutomaton:
     return SuffixAutomaton(question)
 
 
-def _family(words: tuple[str, ...] | list[str], phrases: tuple[str, ...], tag: str, automaton: ahocorasick.Automaton) -> None:
-    for w in (*words, *phrases):
-        known = automaton.get(f" {w} ", frozenset())
-        automaton.add_word(f" {w} ", known | {tag})
-
-
-@lru_cache(maxsize=1)
-def refusal_automaton() -> ahocorasick.Automaton:
-    automaton = ahocorasick.Automaton()
-    _family(SELF_WORDS, SELF_PHRASES, "self", automaton)
-    _family(DECLINE_WORDS, DECLINE_PHRASES, "decline", automaton)
-    automaton.make_automaton()
-    return automaton
-
-
-_SELF = frozenset((*SELF_WORDS, "modèle", "modelo", "language"))
-
-
-def speaks_of_itself(words: list[str]) -> bool:
-    """Whether one of the lower-case words can be the answerer's for itself."""
-    return not _SELF.isdisjoint(words) or any("’" in w[1:2] or "'" in w[1:2] for w in words)
-
-
-def declines(text: str) -> bool:
-    """Whether the answerer, outside quotations, speaks of itself and declines."""
-    plain = " " + "  ".join(fold_word(p) for w in _WORD.findall(_QUOTED.sub(" ", text)) for p in _parts(w)) + " "
-    plain = re.sub(" +", "  ", plain)
-    found: set[str] = set()
-    for _, tags in refusal_automaton().iter(plain):
-        found |= tags
-    single = re.sub(" +", " ", plain)
-    for tags in (t for p, t in (((*SELF_PHRASES,), "self"), ((*DECLINE_PHRASES,), "decline")) for x in p if f" {x} " in single):
-        found.add(tags)
-    return len(found) == 2
-
-
-def _parts(word: str) -> list[str]:
-    """An elided article or pronoun apart from its word; an English contraction together."""
-    m = re.match(r"^([A-Za-zÀ-ÿ]{1,2})[’'](.{3,})$", word)
-    return [m[1], m[2]] if m and m[1].lower() not in ("i", "we") else [word]
-
-
 def is_empty(text: str | None) -> bool:
     if text and len(text) >= 40 and text[:40].isprintable() and any(c.isalpha() for c in text[:8]):
         return False
     folded = fold_word(text or "")
-    return not folded or (len(text) < 40 and folded in PLACEHOLDERS and not (folded in ("missing", "empty", "answer") and text.strip().isalpha()))
-
-
-@lru_cache(maxsize=50_000)
-def _folded(question: str) -> str:
-    return fold_word(question)
+    if not folded:
+        return True
+    if len(text) >= 60:
+        return False
+    if folded in PLACEHOLDERS and not (folded in ("missing", "empty", "answer") and text.strip().isalpha()):
+        return len(text) < 40
+    inside = _BRACKETED.match(text)  # "[no answer given]", "<your answer here>"
+    return bool(inside) and all(fold_word(w) in PLACEHOLDER_WORDS for w in inside[1].replace("_", " ").replace("-", " ").split())
 
 
-def copies(question: str, answer: str, share: float = 0.87) -> bool:
+def copies(question: str, answer: str, share: float = COPIED) -> bool:
     """Whether the answer is the question again: nearly all of it in long stretches of the question, and most of that."""
-    if 2 * len(answer) < len(question):
-        return False
-    q = _folded(question)
-    rough = fold_word(answer)
-    size = len(rough) - STRETCH + 1
-    if size < 1 or len(rough) < 0.6 * len(q) or 3 * sum([rough[i : i + STRETCH] in q for i in range(0, size, 3)]) < 0.4 * size:
-        return False  # fewer of the question's short pieces than any copy has, labels and repairs allowed for
-    a = fold_word(_LABEL.sub("", _LABEL.sub("", answer)))
+    q = fold_word(question)
+    a = fold_word(_unlabelled(answer))
     if len(a) < STRETCH or len(a) < 0.6 * len(q):
         return False
     return _automaton(q).coverage(a, min(STRETCH, len(q))) >= share * len(a)
 
 
+def _unlabelled(answer: str) -> str:
+    return _LABEL.sub("", _LABEL.sub("", answer)) if ":" in answer or "：" in answer else answer
+
+
+def may_copy(questions: Sequence[str], answers: Sequence[str], share: float = COPIED) -> np.ndarray:
+    """Which answers can be copies: an exact upper bound of the automaton's coverage for a whole batch at once.
+
+    What the automaton covers are the letters inside stretches of STRETCH that occur in the question. Here such stretches are
+    looked up in a bitmap of hashes, which holds all of the questions' stretches and at worst some more; so no answer that
+    `copies` accepts is refused. Questions of fewer letters than a stretch pass.
+    """
+    if not len(questions):
+        return np.zeros(0, bool)
+    names: dict[str, int] = {}
+    which = np.fromiter((names.setdefault(q, len(names)) for q in questions), np.int64, len(questions))
+    q, q_ends = streams(list(names))
+    a, a_ends = streams([_unlabelled(t) for t in answers])
+    q_sizes, a_sizes = np.diff(q_ends, prepend=0), np.diff(a_ends, prepend=0)
+    long = (a_sizes >= STRETCH) & (a_sizes >= 0.6 * q_sizes[which])
+    held = np.zeros(1 << 23, bool)
+    held[_stretches(q, q_ends, np.arange(len(names)))[0]] = True
+    keys, at = _stretches(a, a_ends, which)
+    hits = np.zeros(len(a) + 1, np.int32)
+    hits[at + 1] = held[keys]
+    before = hits.cumsum()
+    covered = before[1:] > before[np.maximum(np.arange(1, len(a) + 1) - STRETCH, 0)]
+    upto = np.concatenate([[0], covered.cumsum()])
+    sums = upto[a_ends] - upto[a_ends - a_sizes]
+    return long & ((sums >= share * a_sizes) | (q_sizes[which] < STRETCH))
+
+
+def _stretches(codes: np.ndarray, ends: np.ndarray, owners: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places in the bitmap of all stretches that lie in one text, hashed with the text's owner; and where they begin."""
+    n = len(codes) - STRETCH + 1
+    if n <= 0:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    sizes = np.diff(ends, prepend=0)
+    owner = np.repeat(owners, sizes)[:n]
+    good = np.repeat(ends, sizes)[:n] - np.arange(n) >= STRETCH
+    with np.errstate(over="ignore"):
+        h = owner.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        for i in range(STRETCH):
+            h = (h ^ codes[i : i + n]) * np.uint64(0x100000001B3)
+        h ^= h >> np.uint64(29)
+        h *= np.uint64(0xBF58476D1CE4E5B9)
+    at = np.flatnonzero(good)
+    return (h[at] >> np.uint64(41)).astype(np.int64), at
+
+
 def broken_delimiters(text: str) -> bool:
     """Whether a bracket or quotation is open at the end."""
     stack: list[str] = []
@@ -238,15 +244,13 @@ class Lexicon:
         for word, lang, n in rows:
             counts[word][lang] += n
         self.ordered = sorted(counts)
-        self.ids = {w: i + 8 for i, w in enumerate(sorted(counts))}
+        self.ids = {w: i + 8 for i, w in enumerate(self.ordered)}
         totals = Counter()
         for c in counts.values():
             totals.update({k: n for k, n in c.items() if k})
         whole = sum(totals.values()) or 1
         self.weights: dict[str, dict[str, float]] = {}
-        self.main: dict[str, str] = {}
-        self.codes: dict[str, int] = {}
-        langs = [k for k, n in totals.items() if n >= 0.002 * whole]
+        langs = self.langs = [k for k, n in totals.items() if n >= LANGUAGE_WORDS and self._speaks(k, counts)]
         for w, c in counts.items():
             n = sum(c[k] for k in langs)
             if n:
@@ -254,9 +258,15 @@ class Lexicon:
                 rates = {k: (c[k] + 0.02 * n * totals[k] / whole) / totals[k] for k in langs}
                 mean = sum(rates.values())
                 if max(rates.values()) > 0.7 * mean:
-                    self.main[w] = max(rates, key=lambda k: rates[k])
                     self.weights[w] = {k: math.log(r / mean + 0.01) for k, r in rates.items()}
-        self.langs = langs
+        self.read = Tokens(self)
+
+    @staticmethod
+    def _speaks(lang: str, counts: dict[str, Counter]) -> bool:
+        """Whether the answers to a language's questions are in that language: its own stopwords stand in them more often than
+        those of any other. A few questions taken for a language that nobody writes would else teach it foreign words."""
+        own = {k: sum(counts[w][lang] for w in STOPWORDS[k].split() if w in counts and len(_STOP[w]) == 1) for k in STOPWORDS}
+        return own[lang] > 0 and all(own[lang] >= OWN_TIMES * n for k, n in own.items() if k != lang)
 
     def cut(self, word: str) -> bool:
         """Whether a last word is no known word but the beginning of one; of a capitalised one, of a word and not a name."""
@@ -273,7 +283,7 @@ class Lexicon:
     def language(self, text: str) -> dict[str, float]:
         """Votes of the words of a text outside quotations for each language."""
         votes: dict[str, float] = dict.fromkeys(self.langs, 0.0)
-        for w in _WORD.findall(_QUOTED.sub(" ", text).lower()):
+        for w in _WORD.findall(outside_quotations(text).lower()):
             for k, v in self.weights.get(w, {}).items():
                 votes[k] += v
         return votes
@@ -287,22 +297,9 @@ class Lexicon:
         tied = sorted((votes[k], k) for k in [k for k in top if k in votes] or votes)
         return tied[-1][1] if len(tied) > 1 and tied[-1][0] - tied[-2][0] > CLEAR else ""
 
-    def tokens(self, text: str) -> list[int]:
-        """Ids of the words, numbers, names and sentence ends of a text: 1 start, 2 end, 3 number, 4 name, 5 rare word."""
-        out = [1] * 4
-        codes = self.codes
-        for w in _STEP.findall(text):
-            code = codes.get(w)
-            if code is None:
-                if len(codes) > 500_000:
-                    codes.clear()
-                code = codes[w] = self._code(w)
-            if code == 2:
-                if out[-1] != 1:
-                    out += [2, 1, 1, 1, 1]
-            elif code and not (code == 4 and out[-1] == 4):
-                out.append(code)
-        return out
+    def steps(self, token: str) -> list[int]:
+        """Ids of the words, numbers, names and sentence ends of a blank-free token: 2 end, 3 number, 4 name, 5 rare word."""
+        return [c for w in _STEP.findall(token) if (c := self._code(w))]
 
     def _code(self, w: str) -> int:
         if not w[0].isalnum():
@@ -312,6 +309,76 @@ class Lexicon:
         return self.ids.get(w.lower()) or (4 if w[0].isupper() else 5)
 
 
+class Tokens(dict):
+    """Blank-free tokens of answers, each looked up once and kept: votes for languages, marks of refusals, steps."""
+
+    def __init__(self, lexicon: Lexicon, keep: int = 400_000):
+        self.lexicon, self.keep = lexicon, keep
+        self._start()
+
+    def _start(self) -> None:
+        self.clear()
+        self.votes = np.zeros((1024, max(1, len(self.lexicon.langs))), np.float32)
+        self.marks = np.zeros(1024, np.uint8)
+        self.sizes = np.zeros(1024, np.int64)
+        self.begins = np.zeros(1024, np.int64)
+        self.codes: list[int] = []
+
+    def __missing__(self, token: str) -> int:
+        n = len(self)
+        if n == len(self.marks):
+            self.votes, self.marks, self.sizes, self.begins = (np.concatenate([x, np.zeros_like(x)]) for x in (self.votes, self.marks, self.sizes, self.begins))
+        for w in _WORD.findall(token.lower()):
+            for i, k in enumerate(self.lexicon.langs):
+                self.votes[n, i] += self.lexicon.weights.get(w, {}).get(k, 0.0)
+        known = triggers()
+        for w in re.findall(r"[^\W_]+", token):
+            self.marks[n] |= known.get(fold_word(w), 0)
+        steps = self.lexicon.steps(token)
+        self.begins[n], self.sizes[n] = len(self.codes), len(steps)
+        self.codes += steps
+        self[token] = n
+        return n
+
+    def of(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of all tokens of the texts, and where each text ends in them. Good until the next call."""
+        if len(self) > self.keep:
+            self._start()
+        split = [t.split() for t in texts]
+        ends = np.fromiter(map(len, split), np.int64, len(split)).cumsum()
+        return np.fromiter(map(self.__getitem__, chain.from_iterable(split)), np.int64, int(ends[-1]) if len(ends) else 0), ends
+
+    def sums(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Votes of each text for each language, and its marks."""
+        ids, ends = self.of(texts)
+        begins = np.concatenate([[0], ends[:-1]]).astype(np.int64)
+        votes = np.concatenate([np.zeros((1, self.votes.shape[1])), self.votes[ids].cumsum(0, dtype=np.float64)])
+        marks = self.marks[ids]
+        seen = [np.concatenate([[0], (marks & bit > 0).cumsum()]) for bit in (1, 2)]
+        return votes[ends] - votes[begins], sum((s[ends] > s[begins]) * bit for s, bit in zip(seen, (1, 2), strict=True))
+
+    def walk(self, texts: Sequence[str]) -> np.ndarray:
+        """Steps of all texts: each begins with four 1, a sentence end is 2 and four 1, after each text comes 0."""
+        if not len(texts):
+            return np.zeros(0, np.int64)
+        ids, ends = self.of(texts)
+        each = self.sizes[ids]
+        to = each.cumsum()
+        codes = np.array(self.codes, np.int64)[np.arange(int(to[-1]) if len(to) else 0) + np.repeat(self.begins[ids] - (to - each), each)]
+        steps = np.concatenate([[0], to])[ends]  # of each text
+        first = np.concatenate([[0], steps[:-1]]).astype(np.int64)
+        flat = np.insert(codes, first, -1)  # -1 begins a text; an empty text has nothing else
+        before = np.concatenate([[-1], flat[:-1]])
+        flat = flat[~((flat == 2) & ((before == 2) | (before == -1)) | (flat == 4) & (before == 4))]
+        sizes = np.where(flat == -1, 5, np.where(flat == 2, 5, 1))
+        out = np.ones(int(sizes.sum()), np.int64)
+        at = sizes.cumsum() - sizes
+        out[at[flat == 2]] = 2
+        out[at[flat > 2]] = flat[flat > 2]
+        out[at[flat == -1]] = 0  # the end of the text before, then four 1
+        return np.append(out[1:], 0)
+
+
 _lexicons: dict[int, Lexicon] = {}
 
 
@@ -349,7 +416,7 @@ def _lexicon_rows(df: DataFrame, share: float) -> list[tuple[str, str, int]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs: dict[str, str] = {}
         for batch in batches:
-            counts: dict[str, Counter] = defaultdict(Counter)
+            texts: dict[str, list[str]] = defaultdict(list)
             for question, answer in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if not answer:
                     continue
@@ -357,8 +424,18 @@ def _lexicon_rows(df: DataFrame, share: float) -> list[tuple[str, str, int]]:
                     if len(langs) > 100_000:
                         langs.clear()
                     langs[question] = question_language(question or "")
-                counts[langs[question]].update(_WORD.findall(answer.lower()))
-            rows = [(w, k, n) for k, c in counts.items() for w, n in c.items()]
+                texts[langs[question]].append(answer)
+            rows = []
+            for k, own in texts.items():
+                tokens = Counter(" ".join(own).lower().split())
+                counts: Counter[str] = Counter()
+                for token, n in tokens.items():
+                    if token.isalpha():
+                        counts[token] += n
+                    else:
+                        for w in _WORD.findall(token):
+                            counts[w] += n
+                rows += [(w, k, n) for w, n in counts.items()]
             if rows:
                 words, kinds, numbers = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(words), pa.array(kinds), pa.array(numbers, pa.int64())], ["word", "lang", "n"])
@@ -371,90 +448,120 @@ def _lexicon_rows(df: DataFrame, share: float) -> list[tuple[str, str, int]]:
     return [(r.word, r.lang, r.n) for r in kept.select("word", "l.lang", "l.n").collect()]
 
 
+def _count(batches: Iterator[pa.RecordBatch], lexicon: Lexicon) -> Iterator[pa.RecordBatch]:
+    """How often each word sequence ends a sentence, goes on, or ends a text without the end of a sentence."""
+    for batch in batches:
+        array = lexicon.read.walk([t for t in batch.column(0).to_pylist() if t])
+        after = np.append(array[1:], 0)
+        word = array > 2
+        kind = np.where(after == 2, 0, np.where(after == 0, 2, 1))[word]
+        found = [h[word] for h in sequences(array).values()]
+        hashes, inverse = np.unique(np.concatenate(found), return_inverse=True)
+        if not len(hashes):
+            continue
+        sums = np.bincount(inverse * 3 + np.tile(kind, len(found)), minlength=3 * len(hashes)).reshape(-1, 3)
+        yield pa.RecordBatch.from_arrays([pa.array(hashes), *(pa.array(np.ascontiguousarray(sums[:, k])) for k in range(3))], ["h", "ends", "goes_on", "bare"])
+
+
+def _open_ends(texts: Sequence[str], lexicon: Lexicon) -> Iterator[bool | tuple[int, ...]]:
+    """For each text that ends without the end of a sentence, or in an ellipsis: whether it breaks off; where only the counts
+    of its last words can tell, their hashes."""
+    steps = lexicon.read.walk(texts)
+    ends = np.flatnonzero(steps == 0)
+    words = np.diff((steps > 2).cumsum()[ends], prepend=0)
+    last = np.stack([h[ends - 1] for h in sequences(steps).values()], 1).tolist()
+    for text, size, code, hashes in zip(texts, words.tolist(), steps[ends - 1].tolist(), last, strict=True):
+        if size < 2:
+            yield False
+        elif _ELLIPSIS.search(text[-4:]) or broken_delimiters(text) or text[-1] in ",;:(–—-“„«":
+            yield True
+        else:
+            own = _WORD.findall(text)
+            if all(not w[0].islower() for w in own):  # a name, a number
+                yield False
+            else:
+                yield lexicon.cut(own[-1]) or (tuple(hashes) if code > 2 else False)
+
+
+def _judge(batches: Iterator[pa.RecordBatch], lexicon: Lexicon) -> Iterator[pa.RecordBatch]:
+    langs: dict[str, int] = {}
+    names = lexicon.langs
+    nothing = (0,) * len(ORDERS)
+
+    def language(question: str) -> int:
+        if question not in langs:
+            if len(langs) > 100_000:
+                langs.clear()
+            own = lexicon.question_language(question)
+            langs[question] = names.index(own) if own in names else -1
+        return langs[question]
+
+    for batch in batches:
+        questions = [q or "" for q in batch.column(2).to_pylist()]
+        answers = [a or "" for a in batch.column(3).to_pylist()]
+        plain = [outside_quotations(a) if _QUOTES.search(a) else a for a in answers]
+        votes, marks = lexicon.read.sums(plain)
+        copied = may_copy(questions, answers)
+        own = np.fromiter(map(language, questions), np.int64, len(questions))
+        rows = np.arange(len(own))
+        best = votes.argmax(1) if votes.size else np.zeros(len(own), np.int64)
+        foreign = (own >= 0) & (best != own) & (votes[rows, best] - votes[rows, np.maximum(own, 0)] > FOREIGN)
+        out: list[tuple] = []
+        unsure: list[int] = []
+        for i, answer in enumerate(answers):
+            if is_empty(answer):
+                defect = "empty"
+            elif copied[i] and copies(questions[i], answer):
+                defect = "copy"
+            elif marks[i] == 3 and declines(answer):
+                defect = "refusal"
+            elif foreign[i] or not answer.isascii() and _other_script(questions[i], plain[i]):
+                defect = "language"
+            else:
+                tail = answer[-16:].rstrip() or answer.rstrip()[-16:]
+                if open_ended(tail) or _ELLIPSIS.search(tail):
+                    unsure.append(i)
+                continue
+            out.append((i, defect, *nothing))
+        for i, found in zip(unsure, _open_ends([answers[i].rstrip() for i in unsure], lexicon), strict=True):
+            if found is True:
+                out.append((i, "truncated", *nothing))
+            elif found:
+                out.append((i, None, *found))
+        if out:
+            at, defects, *hs = zip(*out, strict=True)
+            kept = [c.take(pa.array(at)) for c in batch.columns[:2]]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(defects, pa.string()), *(pa.array(h, pa.int64()) for h in hs)], ["origin", "row_id", "defect", *HASHES])
+
+
 def find_defects(pairs: DataFrame, share: float = 3e-5) -> DataFrame:
     """Defective rows (origin, row_id, defect) of (origin, row_id, question, answer).
 
     defect, the first that holds: 'empty' (null, nothing but blanks, invisible characters and punctuation, or a
     placeholder), 'copy' (the question again), 'refusal' (the answerer declines), 'language' (not the question's),
     'truncated' (breaks off inside its last sentence). A null question has no copy and no language. Each row comes once;
-    repeated rows count once. `share` is the least share of all words for a word to be told from others.
+    repeated rows count once. `share` is the least share of all words for a word to be told from others. A language is
+    known if its questions are answered with LANGUAGE_WORDS words and more, in which its own stopwords prevail.
     """
     rows = pairs.select("origin", "row_id", "question", "answer").distinct()
-    words = _lexicon_rows(pairs, share)
-    sent = pairs.sparkSession.sparkContext.broadcast(words)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon = lexicon_of(sent)
-        for batch in batches:
-            texts = [t for t in batch.column(0).to_pylist() if t]
-            ids: list[int] = []
-            for t in texts:
-                ids += lexicon.tokens(t)
-                ids.append(0)  # the end of the text
-            if not ids:
-                continue
-            array = np.array(ids)
-            after = np.append(array[1:], 0)
-            word = array > 2
-            kind = np.where(after == 2, 0, np.where(after == 0, 2, 1))
-            found = [h[word] for h in sequences(array).values()]
-            hashes, inverse = np.unique(np.concatenate(found), return_inverse=True)
-            kinds = np.tile(kind[word], len(found))
-            sums = [np.bincount(inverse, kinds == k, len(hashes)).astype(np.int64) for k in range(3)]
-            yield pa.RecordBatch.from_arrays([pa.array(hashes), *(pa.array(s) for s in sums)], ["h", "ends", "goes_on", "bare"])
-
-    counted = map_arrow(pairs.select("answer"), count, "h bigint, ends bigint, goes_on bigint, bare bigint")
+    sent = pairs.sparkSession.sparkContext.broadcast(_lexicon_rows(pairs, share))
+    counted = map_arrow(pairs.select("answer"), lambda batches: _count(batches, lexicon_of(sent)), "h bigint, ends bigint, goes_on bigint, bare bigint")
     sums = counted.groupBy("h").agg(F.sum("ends").alias("ends"), F.sum("goes_on").alias("goes_on"), F.sum("bare").alias("bare"))
-
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon = lexicon_of(sent)
-        langs: dict[str, str] = {}
-        for batch in batches:
-            out: list[tuple] = []
-            questions, answers = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            for i, (question, answer) in enumerate(zip(questions, answers, strict=True)):
-                defect, hashes = None, (0, 0, 0)
-                if answer is None or is_empty(answer):
-                    defect = "empty"
-                elif question and copies(question, answer):
-                    defect = "copy"
-                elif speaks_of_itself(words := _WORD.findall(answer.lower())) and declines(answer):
-                    defect = "refusal"
-                elif question and _foreign(question, answer, words, lexicon, langs):
-                    defect = "language"
-                else:
-                    text = answer.rstrip()
-                    if not open_ended(text) and not _ELLIPSIS.search(text[-4:]):
-                        continue
-                    steps = lexicon.tokens(text)
-                    size = sum(x > 2 for x in steps)
-                    phrase = all(not w[0].islower() for w in _WORD.findall(text))  # a name, a number
-                    if size >= 2 and _ELLIPSIS.search(text):
-                        defect = "truncated"
-                    elif size < 2 or not open_ended(text):
-                        pass
-                    elif broken_delimiters(text) or text[-1] in ",;:(–—-“„«":
-                        defect = "truncated"
-                    elif not phrase and lexicon.cut(_WORD.findall(text)[-1]):
-                        defect = "truncated"
-                    elif not phrase and steps[-1] > 2:
-                        hashes = tuple(int(h[-1]) for h in sequences(np.array(steps)).values())
-                if defect or hashes[0]:
-                    out.append((i, defect, *hashes))
-            if out:
-                at, defects, *hs = zip(*out, strict=True)
-                kept = [c.take(pa.array(at)) for c in batch.columns[:2]]
-                yield pa.RecordBatch.from_arrays([*kept, pa.array(defects, pa.string()), *(pa.array(h, pa.int64()) for h in hs)], ["origin", "row_id", "defect", "h0", "h1", "h2"])
-
-    judged = map_arrow(rows, judge, "origin string, row_id bigint, defect string, h0 bigint, h1 bigint, h2 bigint")
-    # one pass judges; open ends then meet the counts of their word sequences, only those that end a text somewhere
-    open_ends = judged.withColumn("h", F.explode(F.when(F.col("defect").isNull(), F.array("h0", "h1", "h2")).otherwise(F.array(F.lit(None).cast("bigint")))))
+    judged = map_arrow(rows, lambda batches: _judge(batches, lexicon_of(sent)), "origin string, row_id bigint, defect string, " + ", ".join(f"{h} bigint" for h in HASHES))
+    # A decided row has nothing to ask: it gets a hash of its own key, meets no count and is spread like any other. The hashes
+    # of open ends are salted, as many answers end alike.
+    own = F.xxhash64("origin", "row_id")
+    decided = F.when(F.col("defect").isNotNull(), F.array(F.struct(F.lit(-1).alias("n"), own.alias("h"))))
+    asked = F.array(*[F.struct(F.lit(i).alias("n"), F.col(h).alias("h")) for i, h in enumerate(HASHES)])
+    each = judged.select("origin", "row_id", "defect", F.pmod(own, F.lit(SALTS)).cast("int").alias("salt"), F.explode(F.coalesce(decided, asked)).alias("x"))
+    each = each.select("origin", "row_id", "defect", "salt", "x.n", "x.h")
     speaking = sums.filter((F.col("bare") > 0) & (F.col("ends") + F.col("goes_on") + F.col("bare") >= LEAST))
-    verdict = speaking.select("h", (F.col("goes_on") > 0.8 * (F.col("ends") + F.col("goes_on") + F.col("bare"))).alias("broken"))
-    met = open_ends.join(verdict, "h", "left")
-    order = F.when(F.col("h") == F.col("h0"), 0).when(F.col("h") == F.col("h1"), 1).otherwise(2)
-    best = met.groupBy("origin", "row_id", "defect").agg(F.min_by("broken", F.when(F.col("broken").isNotNull(), order)).alias("broken"))
-    named = best.select("origin", "row_id", F.when(F.col("defect").isNotNull(), F.col("defect")).when(F.col("broken"), "truncated").alias("defect"))
+    share_on = F.col("goes_on") / (F.col("ends") + F.col("goes_on") + F.col("bare"))
+    verdict = speaking.select("h", share_on.alias("on"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    broken = F.col("on") > F.when(F.col("n") == len(ORDERS) - 1, WORD_GOES_ON).otherwise(GOES_ON)
+    met = each.join(verdict, ["h", "salt"], "left").withColumn("broken", broken)
+    best = met.groupBy("origin", "row_id").agg(F.max("defect").alias("defect"), F.min_by("broken", F.when(F.col("broken").isNotNull(), F.col("n"))).alias("broken"))
+    named = best.select("origin", "row_id", F.coalesce("defect", F.when(F.col("broken"), "truncated")).alias("defect"))
     return named.filter(F.col("defect").isNotNull())
 
 
@@ -462,22 +569,8 @@ _LATIN = re.compile("[A-Za-zÀ-ɏ]")
 _NON_LATIN = re.compile("[Ͱ-ϿЀ-ԯ֐-ۿऀ-๿぀-ヿ㐀-鿿가-힣]")
 
 
-def _foreign(question: str, answer: str, words: list[str], lexicon: Lexicon, langs: dict[str, str]) -> bool:
-    """Whether the answer's words clearly speak for another language than the question's."""
-    if question not in langs:
-        if len(langs) > 100_000:
-            langs.clear()
-        langs[question] = lexicon.question_language(question)
-    own = langs[question]
-    if own and max(answer) < "\u0370":  # most answers: the strong words speak for the question's language
-        seen = [k for w in words if (k := lexicon.main.get(w))]
-        if not seen or (mine := seen.count(own)) >= 3 and mine >= 0.8 * len(seen):
-            return False
-    plain = _QUOTED.sub(" ", answer)
-    if len(_NON_LATIN.findall(plain)) > 2 * len(_LATIN.findall(plain)) + 2 and len(_LATIN.findall(question)) > len(_NON_LATIN.findall(question)):
-        return True
-    if not own or own not in lexicon.langs:
+def _other_script(question: str, plain: str) -> bool:
+    """Whether an answer is written in another script and a question in Latin letters."""
+    if not question or max(plain, default="") < "\u0370" or len(_NON_LATIN.findall(plain)) <= 2 * len(_LATIN.findall(plain)) + 2:
         return False
-    votes = lexicon.language(answer)
-    best = max(votes, key=lambda k: votes[k])
-    return best != own and votes[best] - votes[own] > 5.0
+    return len(_LATIN.findall(question)) > len(_NON_LATIN.findall(question))

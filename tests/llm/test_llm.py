@@ -66,8 +66,43 @@ def test_pieces_cover_and_overlap(enc):
     text = "\n\n".join(" ".join(f"Sentence {i} about rivers {j}." for j in range(12)) for i in range(40)) + "z" * 9000
     ids, counts = enc.encode([text])
     spans = pieces.cut(text, enc.lengths_of[ids], 1024, 64)
-    assert spans[0][0] == 0 and spans[-1][1] == counts[0]
-    assert all(b - a <= 1024 for a, b in spans) and all(n[0] == o[1] - 64 for o, n in zip(spans, spans[1:]))
+    assert spans[0][0] == 0 and spans[-1][1] == counts[0] and spans[-1][2] == -1
+    assert all(b - a <= 1024 for a, b, *_ in spans) and all(n[0] == o[1] - 64 for o, n in zip(spans, spans[1:]))
+    assert {k for *_, k, _ in spans} <= {-1, pieces.CHARACTER, pieces.WORD, pieces.SENTENCE, pieces.PARAGRAPH}
+
+
+def test_piece_ends_where_the_topic_changes(enc):
+    rng = random.Random(5)
+    topics = [[f"{c}{v}{c}{n}" for c in own for v in "aeiou" for n in "lmnr"] for own in ("bcdf", "pqst")]
+    say = lambda topic, n: " ".join(" ".join(rng.choice(topics[topic]) for _ in range(9)).capitalize() + "." for _ in range(n))
+    text = say(0, 30) + " " + say(1, 50)
+    ids, _ = enc.encode([text])
+    spans = pieces.cut(text, enc.lengths_of[ids], 1024, 64)
+    first = bpe.decode(ids[: spans[0][1]], enc.transducer.bytes_of)
+    words = first.lower().replace(".", "").split()
+    assert spans[0][3] > 0.5 and len(words) == 30 * 9 and all(w in topics[0] for w in words)
+
+
+def test_valleys_by_brute_force():
+    rng = random.Random(2)
+    text = " ".join(rng.choice("abcdefgh") * 3 for _ in range(400))
+    offsets = np.array([i for i, c in enumerate(text) if c == " "][60:300:7])
+    words = [(m.start(), m.group()) for m in pieces._WORD.finditer(text)]
+
+    def likeness(at):
+        own = [w for p, w in words if p < at][-pieces.BLOCK :], [w for p, w in words if p >= at][: pieces.BLOCK]
+        a, b = ({x: w.count(x) for x in w} for w in own)
+        return sum(a[x] * b.get(x, 0) for x in a) / (sum(v * v for v in a.values()) * sum(v * v for v in b.values())) ** 0.5
+
+    values = [likeness(at) for at in offsets]
+    for i, got in enumerate(pieces.valley_depths(text, offsets)):
+        want = -2 * values[i]
+        for step in (-1, 1):
+            j = i
+            while 0 <= j + step < len(values) and values[j + step] >= values[j] - 1e-6:
+                j += step
+            want += values[j]
+        assert got == pytest.approx(want, abs=1e-4)
 
 
 def test_pieces_only_of_long_texts(spark):
@@ -111,6 +146,9 @@ def _passage(n, seed):
     return [f"{rng.choice('bcdfg')}{rng.choice('aeiou')}{rng.choice('lmnr')}{rng.randint(0, 99)}e" for _ in range(n)]
 
 
+PASSAGES = "item_id long, passage string"
+
+
 def test_leaks(spark):
     words = _passage(60, 1)
     noise = " ".join(_passage(80, 2))
@@ -125,25 +163,56 @@ def test_leaks(spark):
         " ".join(edited),
         " ".join([*edited[:50], "x", "y", *edited[50:]]),
         " ".join(shuffled),
-        " ".join(words[:20]) + " " + words[20][:2] + "-\n" + words[20][2:] + " " + " ".join(words[21:30]).replace("e", "е"),
+        " ".join(words[:20]) + " " + words[20][:2] + "-\n" + words[20][2:] + " " + " ".join(words[21:30]).replace("e", "е"),
         None,
         "",
+        " ".join(words[:25]) + ". " + noise + " ﬁ ½ " + " ".join(words[20:57]),
+        " ".join("x" * 70 if i % 11 == 5 else w for i, w in enumerate(words)),
     ]
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    tests = spark.createDataFrame([(7, " ".join(words)), (8, None), (9, "")], "item_id long, passage string")
-    got = {(r.doc_id, r.item_id, r.kind) for r in leaks.find_leaks(docs, "doc_id", "text", tests, "item_id", "passage").collect()}
-    assert got == {(0, 7, "verbatim"), (2, 7, "edited"), (5, 7, "verbatim")}
+    docs = spark.createDataFrame(list(enumerate(texts)) + [(0, texts[0])], "doc_id long, text string")
+    tests = spark.createDataFrame([(7, " ".join(words)), (8, None), (9, "")], PASSAGES)
+    got = {(r.doc_id, r.item_id, r.kind): (r.words, r.text_at, r.word_at) for r in leaks.find_leaks(docs, "doc_id", "text", tests, "item_id", "passage").collect()}
+    assert set(got) == {(0, 7, "verbatim"), (2, 7, "edited"), (5, 7, "verbatim"), (8, 7, "verbatim"), (9, 7, "edited")}
+    assert got[0, 7, "verbatim"] == (24, len(noise) + 1, 10) and got[5, 7, "verbatim"] == (30, 0, 0)
+    assert got[8, 7, "verbatim"] == (37, texts[8].index("½") + 2, 20)  # the longest match, not the first
     assert leaks.find_leaks(docs.limit(0), "doc_id", "text", tests, "item_id", "passage").count() == 0
+    assert leaks.find_leaks(docs, "doc_id", "text", tests.limit(0), "item_id", "passage").count() == 0
 
 
-def test_suffix_array():
-    codes = np.frombuffer(b"mississippi" * 3, np.uint8)
-    data = codes.tobytes()
-    assert leaks.suffix_array(codes, 40).tolist() == sorted(range(len(data)), key=lambda i: data[i:])
-
-
-def test_folding():
-    assert folding.fold_word("Ｒеаd-ÓNLY​ ﬁn") == "readonlyfin"
+def test_leaks_in_scripts_without_blanks_and_in_parts(spark, monkeypatch):
+    rng = random.Random(8)
+    chinese = "".join(chr(rng.randint(0x4E00, 0x4E80)) for _ in range(66))
+    other = "".join(chr(rng.randint(0x4F00, 0x4F80)) for _ in range(200))
+    texts = [other + chinese[8:58] + other, chinese[:20], other, chinese[:30] + other[:1] + chinese[31:], " ".join(chinese)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    tests = spark.createDataFrame([(i, chinese if i == 3 else " ".join(_passage(40, i))) for i in range(9)], PASSAGES)
+    for part in (leaks.PART, 100):
+        monkeypatch.setattr(leaks, "PART", part)
+        got = {(r.doc_id, r.item_id): r.words for r in leaks.find_leaks(docs, "doc_id", "text", tests, "item_id", "passage").collect()}
+        assert got == {(0, 3): 50, (3, 3): 35, (4, 3): 66}
+
+
+@pytest.mark.parametrize("letters", [20, 400])
+def test_suffix_array_against_brute_force(letters):
+    rng = random.Random(letters)
+    pool = [chr(0x4E00 + i) for i in range(letters)] if letters > 254 else [chr(97 + i) for i in range(letters)]
+    word = lambda: "".join(rng.choice(pool[:3] if rng.random() < 0.7 else pool) for _ in range(rng.randint(1, 3)))
+    common = [word() for _ in range(12)]
+    items = leaks.Items([(i, " ".join(rng.choice(common) for _ in range(rng.randint(1, 40)))) for i in range(15)] + [(99, " ".join(pool))], 5, 10)
+    texts = [" ".join(rng.choice(common) for _ in range(rng.randint(0, 60))) for _ in range(30)]
+    codes, bounds = items.letters.joined(texts)
+    array = leaks.SuffixArray(items.letters.keys(codes), items)
+    plain = [tuple(codes[a : b - 1].tolist()) for a, b in zip(bounds, bounds[1:])]
+    suffixes = np.arange(len(items.item))
+    for sizes in (items.seed, np.where(items.long > 0, items.long, items.seed)):
+        got = sorted(zip(*(x.tolist() for x in array.met(suffixes, sizes))))
+        want = []
+        passages = {i: tuple(items.letters.code[[ord(c) for c in "".join(w)]].tolist()) for i, w in enumerate(items.words)}
+        for s in suffixes.tolist():
+            begin = int(items.starts[items.item[s]][items.word[s]])
+            query = passages[int(items.item[s])][begin : begin + int(sizes[s])]
+            want += [(s, int(bounds[d]) + p) for d, t in enumerate(plain) for p in range(len(t) - len(query) + 1) if t[p : p + len(query)] == query]
+        assert got == sorted(want)
 
 
 CLEAN = ["Le répertoire imprimé précise la légère erreur.", "Fußgängersteg über der Brücke", "Таблица продолжена на листе", "the old bridge on a map"] * 200
@@ -179,14 +248,56 @@ def test_one_form():
 
 
 def test_pairs():
-    assert all(map(pairs.is_empty, [None, "", " ​", "…", "N/A", "[no answer]", "null"])) and not pairs.is_empty("0") and not pairs.is_empty("No")
+    assert all(map(pairs.is_empty, [None, "", " ​", "…", "N/A", "[no answer]", "null", "<your answer here>", "[No answer provided.]"])) and not pairs.is_empty("0") and not pairs.is_empty("No")
+    assert not pairs.is_empty("(not the mayor)") and not pairs.is_empty("[sic]")
     q = "Which company supplied the copper pipes?"
     assert pairs.copies(q, "Question: " + q + " Answer:") and pairs.copies(q, "which company  supplied the copper pipes") and not pairs.copies(q, "The copper pipes were supplied by Karo Ltd.")
-    assert pairs.declines("I’m sorry, but I can’t help with that.") and pairs.declines("Je ne suis pas en mesure de lire cette page.")
-    assert not pairs.declines("The letter says: “I am unable to attend.”") and not pairs.declines("The claim cannot be processed.")
     assert pairs.broken_delimiters("He writes: “I am") and not pairs.broken_delimiters("(a) “b”")
 
 
+@pytest.mark.parametrize("text", [
+    "I’m sorry, but I can’t help with that.", "Je ne suis pas en mesure de lire cette page.", "That falls outside what I am allowed to discuss.", "Mi dispiace, non posso rispondere.",
+    "I have to pass on this one.", "As an AI, I cannot say.", "Mes consignes m’interdisent de répondre.", "Ich habe leider keinen Zugang zu dieser Datei.", "No veo ningún archivo por mi parte.", "Não posso responder a isso.",
+])
+def test_refusals(text):
+    assert pairs.declines(text)
+
+
+@pytest.mark.parametrize("text", [
+    "In my view the harvest that year was not good.", "I was never told about the meeting, so I went home.", "My father worked there and nothing changed.", "The letter says: “I am unable to answer.”",
+    "The claim cannot be processed.", "Der Brief sagt, dass Karo die Summe leider nicht zahlen kann, im nördlichen Bezirk.", "I could not see the bridge from the house.", "I read the file and found no errors.",
+])
+def test_no_refusals(text):
+    assert not pairs.declines(text)
+
+
+def test_no_copy_is_refused_beforehand():
+    rng = random.Random(11)
+    letters = "abcdeé ШñＡ日½-:."
+    questions, answers = [], []
+    for _ in range(3000):
+        q = "".join(rng.choice(letters) for _ in range(rng.randint(0, 60)))
+        a = ""
+        while len(a) < 0.9 * len(q):
+            at, size = rng.randint(0, max(0, len(q) - 6)), rng.randint(5, 9)
+            a += q[at : at + size] if rng.random() < 0.93 else rng.choice(letters)
+            if not q:
+                break
+        questions.append(q)
+        answers.append(rng.choice(["", "Q: ", "Antwort: "]) + a + rng.choice(["", " A:"]))
+    may = pairs.may_copy(questions, answers)
+    taken = [pairs.copies(q, a) for q, a in zip(questions, answers)]
+    assert sum(taken) > 300 and all(m for m, t in zip(may, taken) if t) and 3 * sum(map(bool, may)) < 4 * sum(taken)
+
+
+def test_steps_of_many_texts_are_those_of_each():
+    lexicon = pairs.Lexicon([("report", "en", 600), ("the", "en", 900)])
+    texts = ["The report, p. 4. Karo Ltd says", "", "... The report!?  U.S. the", "x y", ".", "the report"]
+    one = [x for t in texts for x in lexicon.read.walk([t]).tolist()]
+    assert lexicon.read.walk(texts).tolist() == one and one.count(0) == len(texts)
+    assert lexicon.read.walk(["the. report"]).tolist() == [1, 1, 1, 1, lexicon.ids["the"], 2, 1, 1, 1, 1, lexicon.ids["report"], 0]
+
+
 def test_defects(spark):
     rows = [("q", i, "Where was it?", f"The hearing took place in Town{i % 7}, in the basement of the hall.") for i in range(200)]
     rows += [("q", 900, "Where was it?", None), ("q", 901, "Where was it?", "The hearing took place in Town1, in the"), ("q", 902, None, "The hearing took place in Town1, in the basement of the hall"), ("q", 900, "Where was it?", None)]
@@ -201,7 +312,8 @@ def test_question_whose_stopwords_are_shared(spark):
     rows += [("q", 2000, "¿Cuántas muestras contiene la tabla 3?", "The table lists a total of 51 samples of the river water.")]
     got = {(r.row_id, r.defect) for r in pairs.find_defects(spark.createDataFrame(rows, "origin string, row_id long, question string, answer string")).collect()}
     assert got == {(2000, "language")}
-    lexicon = pairs.Lexicon([("samples", "en", 200), ("muestras", "es", 200), ("agua", "es", 200), ("water", "en", 200)])
+    lexicon = pairs.Lexicon([("samples", "en", 600), ("muestras", "es", 600), ("agua", "es", 200), ("water", "en", 200), ("the", "en", 50), ("los", "es", 50)])
+    assert set(lexicon.langs) == {"en", "es"}
     assert lexicon.question_language("Muestras, tabla 7?") == "es" and lexicon.question_language("Karo, Lin?") == ""
 
 
