@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterable, Sequence
+from itertools import islice
 
 import numpy as np
 import regex
@@ -175,14 +176,14 @@ def _classes() -> np.ndarray:
 class Encoder:
     """Texts to token ids: vectorised pre-tokenization, one transducer run for each new pre-token.
 
-    `remember` bounds the pre-tokens whose ids are kept; beyond it the store starts anew. `chunk` is the number of
-    characters worked on at once.
+    `remember` bounds the pre-tokens whose ids are kept, `letters` their characters; beyond either the store starts anew.
+    `chunk` is the number of characters worked on at once.
     """
 
-    def __init__(self, ranks: dict[bytes, int], remember: int = 1_000_000, chunk: int = 4_000_000):
+    def __init__(self, ranks: dict[bytes, int], remember: int = 1_000_000, chunk: int = 4_000_000, letters: int = 30_000_000):
         self.transducer = Transducer(ranks)
         self.classes = _classes()
-        self.remember = remember
+        self.remember, self.letters = remember, letters
         self.chunk = chunk
         self.lengths_of = np.zeros(max(ranks.values()) + 1, np.int64)
         for token, rank in ranks.items():
@@ -191,6 +192,7 @@ class Encoder:
 
     def _forget(self) -> None:
         self._index: dict[str, int] = {}
+        self._held = 0
         self._flat = np.zeros(1 << 16, np.int32)
         self._starts = np.zeros(1 << 14, np.int64)
         self._counts = np.zeros(1 << 14, np.int64)
@@ -208,6 +210,7 @@ class Encoder:
         self._starts[n], self._counts[n] = self._used, len(ids)
         self._used += len(ids)
         self._index[word] = n
+        self._held += len(word)
         return n
 
     def words(self, joined: str, first: np.ndarray) -> np.ndarray:
@@ -257,7 +260,7 @@ class Encoder:
         first[(ends - lengths)[lengths > 0]] = True
         joined = "".join(texts)
         starts = self.words(joined, first)
-        if len(self._index) > self.remember:
+        if len(self._index) > self.remember or self._held > self.letters:
             self._forget()
         index = self._index
         learn = self._learn
@@ -290,6 +293,14 @@ class Utf8Machine:
         self.least = 0
 
     def feed(self, data: bytes, last: bool = False) -> str:
+        if not self.missing:  # whole characters at once, up to what may be unfinished or broken
+            try:
+                return data.decode()
+            except UnicodeDecodeError as e:
+                return data[: e.start].decode() + self._step(data[e.start :], last)
+        return self._step(data, last)
+
+    def _step(self, data: bytes, last: bool) -> str:
         out: list[str] = []
         for b in data:
             if self.missing:
@@ -318,6 +329,8 @@ class Utf8Machine:
         return "".join(out)
 
 
-def decode(ids: Iterable[int], bytes_of: dict[int, bytes]) -> str:
-    machine = Utf8Machine()
-    return "".join(machine.feed(bytes_of[int(i)]) for i in ids) + machine.feed(b"", last=True)
+def decode(ids: Iterable[int], bytes_of: dict[int, bytes], size: int = 4096) -> str:
+    """The text of ids, a few at a time: what a piece ends with is held back until the next one ends the character."""
+    machine, rest = Utf8Machine(), iter(ids)
+    parts = iter(lambda: b"".join([bytes_of[i] for i in islice(rest, size)]), b"")
+    return "".join(map(machine.feed, parts)) + machine.feed(b"", last=True)

@@ -15,6 +15,9 @@ from pagemill.runtime import map_arrow
 
 #: Character classes: below 0x600 each character has its own, blanks and line ends share class 0, the rest goes by blocks.
 CLASSES = 2048
+#: How many times rarer than expected a pair must be to be improbable: its mutual information lies below -log2 of it.
+FLOOR = 8.0
+IMPROBABLE = -3.0
 _BLANK = re.compile(r"\s")
 #: Signs of text read with a wrong encoding; such texts are kept out of the statistics of sound text.
 DOUBTFUL = re.compile(
@@ -91,8 +94,8 @@ class PairModel:
         self.joint = np.log2((self.counts + 0.3) / self.total)
         #: Bits of the second character given the first.
         self.given = np.log2((self.counts + 0.3) / (self.firsts[:, None] + 20))
-        #: Bits below which a pair counts as not occurring in sound text.
-        self.rare = float(np.log2((max(2.0, 2e-6 * self.total) + 0.3) / self.total))
+        #: Least number of occurrences that sound text is expected to have of any pair.
+        self.floor = FLOOR * max(2.0, 2e-6 * self.total)
 
     @classmethod
     def of(cls, counts: DataFrame) -> PairModel:
@@ -108,11 +111,16 @@ class PairModel:
         own = classes(f" {text} ")
         return self.joint[own[:-1], own[1:]]
 
+    def mutual(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        """Pointwise mutual information of pairs of classes, in bits. The expected count of a pair is `floor` at least: two
+        rare characters that never meet are as telling as two frequent ones."""
+        expected = self.firsts[first] * self.seconds[second] / self.total
+        return np.log2((self.counts[first, second] + 0.05) / np.maximum(expected, self.floor))
+
     def information(self, text: str) -> np.ndarray:
         """Pointwise mutual information of each adjacent pair of a text between two blanks, in bits."""
         own = classes(f" {text} ")
-        expected = self.firsts[own[:-1]] * self.seconds[own[1:]] / self.total
-        return np.log2((self.counts[own[:-1], own[1:]] + 0.3) / (expected + 0.3))
+        return self.mutual(own[:-1], own[1:])
 
 
 _models: dict[int, PairModel] = {}

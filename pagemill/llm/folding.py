@@ -22,16 +22,16 @@ LOOKALIKES = {
     # Cherokee
     "Ꭰ": "D", "Ꭱ": "R", "Ꭲ": "T", "Ꭺ": "A", "Ꭻ": "J", "Ꭼ": "E", "Ꮃ": "W", "Ꮇ": "M", "Ꮋ": "H", "Ꮐ": "G", "Ꮓ": "Z", "Ꮞ": "4", "Ꮟ": "b", "Ꮢ": "R",
     "Ꮤ": "W", "Ꮩ": "V", "Ꮪ": "S", "Ꮮ": "L", "Ꮯ": "C", "Ꮲ": "P", "Ꮶ": "K", "Ᏼ": "B",
-    # Latin letters of phonetic alphabets
-    "ɑ": "a", "ɡ": "g", "ɩ": "i", "ɪ": "i", "ı": "i", "ʏ": "y",
 }
+#: Latin letters of phonetic alphabets and of Turkish, which count as their plain neighbours in comparisons only.
+NEIGHBOURS = {"ɑ": "a", "ɡ": "g", "ɩ": "i", "ɪ": "i", "ı": "i", "ʏ": "y"}
 
 
 def fold_char(c: str) -> str:
     """Letters and digits of a character in plain lower case; '' for anything else."""
     out = []
     for d in unicodedata.normalize("NFKD", unicodedata.normalize("NFKD", LOOKALIKES.get(c, c)).casefold()):
-        d = LOOKALIKES.get(d, d).lower()
+        d = NEIGHBOURS.get(d := LOOKALIKES.get(d, d).lower(), d)
         if d.isalnum():
             out.append(d)
     return "".join(out)

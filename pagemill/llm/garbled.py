@@ -1,9 +1,11 @@
 """Text that was read with a wrong character encoding, and its repair (problem 2).
 
-Adjacent characters are scored against the pair statistics of the corpus; improbable runs are cut out as maximum-scoring
-segments, and only inside them are the inverse mappings tried: the characters written in the encoding they were wrongly
-read with, and read in another. A reading is taken if the corpus statistics prefer it clearly. Garbled words that are too
-common for that are told by word counts, and items whose character codes spell such a reading by their codes.
+Adjacent characters are scored by their mutual information in the corpus; improbable runs are cut out as maximum-scoring
+segments, and only inside them (taken to the ends of their stretches of foreign characters) are the inverse mappings tried:
+the characters written in the encoding they were wrongly read with, and read in another. A reading is taken if the corpus
+statistics prefer it clearly. Garbled words that are too common for that are told by word counts, and items whose character
+codes spell such a reading by their codes. Text of two bytes a character that was read by single bytes, or with these
+swapped, has a zero byte beside each plain letter and is told by that.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.charstats import DOUBTFUL, PairModel, class_table, model_of, pair_counts
+from pagemill.llm.charstats import DOUBTFUL, IMPROBABLE, PairModel, class_table, model_of, pair_counts
 from pagemill.llm.folding import LOOKALIKES
 from pagemill.runtime import map_arrow
 
@@ -50,6 +52,8 @@ def _byte_table(name: str) -> dict[int, int]:
 
 _TABLES = {name: _byte_table(name) for name in READ_WITH}
 _DECODERS = {name: codecs.getdecoder(name) for name in WRITTEN_IN}
+#: Texts of other characters than these cannot be garbled: printable ASCII and ordinary blanks.
+SUSPECT = r"[^\x09\x0a\x0d\x20-\x7e]"
 _CONTROL = re.compile(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x84\x86-\x9f]")
 _UNLIKELY = re.compile("[\x00-\x08\x0b-\x1f\x7f-\xa0\xad\u2000-\u200f\u2028-\u202f\u2060-\u206f\u2500-\u25ff\u3000\ue000-\uf8ff\uff00-\ufff0]")
 _KANA = re.compile("[\u3041-\u30ff]")
@@ -86,8 +90,16 @@ def read_again(text: str) -> list[str]:
 
 
 def other_readings(text: str) -> Iterator[str]:
-    """Readings in the other encodings."""
+    """Readings in the other encodings, each once."""
     seen = {text}
+    for _, now in paired_readings(text):
+        if now not in seen:
+            seen.add(now)
+            yield now
+
+
+def paired_readings(text: str) -> Iterator[tuple[tuple[str, str], str]]:
+    """Readings in the other encodings, with the pair of encodings that was read with and that had been written in."""
     for name in READ_WITH:
         raw = as_bytes(text, name)
         if raw is None:
@@ -99,31 +111,63 @@ def other_readings(text: str) -> Iterator[str]:
                 now = _DECODERS[other](raw)[0]
             except UnicodeDecodeError:
                 continue
-            if now in seen:
-                continue
-            seen.add(now)
-            if _UNLIKELY.search(now):
+            if now == text or _UNLIKELY.search(now):
                 continue
             wide = len(_IDEOGRAPH.findall(now)) + len(_KANA.findall(now))
             if wide and (wide < 3 or not _KANA.search(now)):
                 continue
-            yield now
+            yield (name, other), now
+
+
+def of_two_bytes(text: str) -> str | None:
+    """The text that was written with two bytes a character and read by single bytes, or with these swapped; None for another.
+
+    Such a text has a zero byte in (nearly) every character: as characters of their own, or as their lower halves."""
+    if "\x00" in text:
+        if 3 * text.count("\x00") < len(text) or any(ord(c) > 255 for c in text):
+            return None
+        raw = text.encode("latin-1")
+        order = "le" if raw[1::2].count(0) >= raw[::2].count(0) else "be"
+        for skipped in (raw, raw[1:]) if len(raw) % 2 else (raw,):
+            try:
+                new = skipped[: len(skipped) // 2 * 2].decode(f"utf-16-{order}").lstrip("\ufeff")
+            except UnicodeDecodeError:
+                continue
+            if new and not _CONTROL.search(new):
+                return new
+        return None
+    if len(text) >= 3 and 4 * sum(c > "\xff" and not ord(c) & 0xFF for c in text) >= 3 * len(text):
+        new = text.encode("utf-16-le", "replace").decode("utf-16-be", "replace").lstrip("\ufeff")
+        return None if _CONTROL.search(new) or LOST in new else new
+    return None
 
 
 def improbable_runs(scores: np.ndarray) -> list[tuple[int, int]]:
-    """Maximum-scoring segments (begin, end) with a positive sum, found one after the other in a single pass."""
-    runs, begin, best_end, total, best = [], 0, 0, 0.0, 0.0
+    """All maximal scoring segments (begin, end) with a positive sum, in linear time.
+
+    No segment can be made longer or shorter without losing sum, and they are disjoint: a later run isn't swallowed by a
+    strong one before it."""
+    held: list[tuple[int, int, float, float]] = []  # begin, end, the sum of all scores before it and up to its end
+    total = 0.0
     for i, s in enumerate(scores.tolist()):
-        if total <= 0:
-            if best > 0:
-                runs.append((begin, best_end))
-            begin, total, best = i, 0.0, 0.0
-        total += s
-        if total > best:
-            best, best_end = total, i + 1
-    if best > 0:
-        runs.append((begin, best_end))
-    return runs
+        before, total = total, total + s
+        if s <= 0:
+            continue
+        new = (i, i + 1, before, total)
+        while True:
+            j = len(held) - 1
+            while j >= 0 and held[j][2] >= new[2]:
+                j -= 1
+            if j < 0 or held[j][3] >= new[3]:
+                held.append(new)
+                break
+            new = (held[j][0], new[1], held[j][2], new[3])
+            del held[j:]
+    return [(a, b) for a, b, _, _ in held]
+
+
+def _changed(old: str, new: str) -> int:
+    return sum(a != b for a, b in zip(old, new, strict=False)) if len(old) == len(new) else len(old)
 
 
 class Repairer:
@@ -133,6 +177,7 @@ class Repairer:
         self.model, self.least, self.each = model, least, each
         self.words = words or {}
         self.known: dict[tuple[str, str, str], str | None] = {}
+        self.gains: dict[tuple[str, str, str], dict[tuple[str, str], tuple[str, float]]] = {}
         self.better: dict[str, tuple[str, float] | None] = {}
 
     def doubtful(self, texts: list[str]) -> np.ndarray:
@@ -141,8 +186,10 @@ class Repairer:
         points = np.frombuffer(joined.encode("utf-32-le", "replace"), np.uint32)
         own = class_table()[points]
         foreign = points > 126
-        rare = (foreign[:-1] | foreign[1:]) & (self.model.joint[own[:-1], own[1:]] < self.model.rare)
-        rare |= points[1:] == 0xFFFD
+        at = np.flatnonzero(foreign[:-1] | foreign[1:])
+        rare = np.zeros(len(points) - 1, bool)
+        rare[at] = self.model.mutual(own[at], own[at + 1]) < IMPROBABLE
+        rare |= (points[1:] == 0xFFFD) | (points[1:] < 32) & ~np.isin(points[1:], (9, 10, 13))
         ends = np.cumsum([len(t) + 1 for t in texts])
         upto = np.concatenate([[0], np.cumsum(rare)])
         return upto[ends] > upto[np.concatenate([[0], ends[:-1]])]
@@ -161,43 +208,73 @@ class Repairer:
             self.known[key] = self._best(before, old, after)
         return self.known[key]
 
-    def _best(self, before: str, old: str, after: str) -> str | None:
-        found, most = None, 0.0
+    def _open(self, before: str, old: str, after: str) -> bool:
+        """Whether a run can be garbled at all: it has foreign characters, and these aren't look-alikes in a Latin word."""
         foreign = _FOREIGN.findall(_INVISIBLE.sub("", old))
         if not foreign:
+            return False
+        latin = _LATIN.search(old) or before.isascii() and before.isalpha() or after.isascii() and after.isalpha()
+        return not (latin and all(c in LOOKALIKES for part in foreign for c in part))
+
+    def _best(self, before: str, old: str, after: str) -> str | None:
+        if not self._open(before, old, after):
             return None
-        if all(c in LOOKALIKES for part in foreign for c in part) and (_LATIN.search(old) or before.isascii() and before.isalpha() or after.isascii() and after.isalpha()):
-            return None  # look-alike letters in a Latin word
-        for new in read_again(old):
-            if _CONTROL.search(new):
+        again = self._again(before, old, after)
+        if again is not None:
+            return again
+        foreign = _FOREIGN.findall(_INVISIBLE.sub("", old))
+        capital = len(foreign) == 1 and len(foreign[0]) == 1 and foreign[0].isupper() and old[0] == foreign[0] and not before.strip()
+        found, most = None, 0.0
+        for new, gain in self.options(before, old, after).values():
+            if capital and new[0].islower():  # a word that begins with a capital
                 continue
-            gain = self.gain(before, old, new, after)
-            if gain > max(most, 1.0):
+            if gain > most and gain >= max(self.least, self.each * _changed(old, new)):
                 found, most = new, gain
-        if found is not None:
-            return found
-        for new in other_readings(old):
-            if len(foreign) == 1 and len(foreign[0]) == 1 and foreign[0].isupper() and old[0] == foreign[0] and not before.strip() and new[old.index(foreign[0])].islower():
-                continue
-            gain = self.gain(before, old, new, after)
-            changed = sum(a != b for a, b in zip(old, new, strict=False)) if len(old) == len(new) else len(old)
-            if gain >= max(self.least, self.each * changed) and gain > most:
+        return found
+
+    def _again(self, before: str, old: str, after: str) -> str | None:
+        """The reading as UTF-8 that the statistics prefer."""
+        found, most = None, 1.0
+        for new in read_again(old):
+            if not _CONTROL.search(new) and (gain := self.gain(before, old, new, after)) > most:
                 found, most = new, gain
         return found
 
+    def options(self, before: str, old: str, after: str) -> dict[tuple[str, str], tuple[str, float]]:
+        """For each pair of encodings the reading of a run and the bits that it gains."""
+        key = (before, old, after)
+        if key not in self.gains:
+            if len(self.gains) > 50_000:
+                self.gains.clear()
+            known: dict[str, float] = {}
+            found = {}
+            for pair, new in paired_readings(old):
+                if new not in known:
+                    known[new] = self.gain(before, old, new, after)
+                found[pair] = new, known[new]
+            self.gains[key] = found
+        return self.gains[key]
+
     def runs(self, text: str) -> list[tuple[int, int]]:
-        """Improbable runs of a text, each widened to the blank-free stretch of foreign characters around it."""
-        bits = self.model.bits(text)
+        """Improbable runs of a text: maximum-scoring segments of the bits by which the mutual information of pairs with a
+        foreign character falls below IMPROBABLE, each taken to the ends of its stretches of foreign characters."""
         foreign = np.array([False, *(ord(c) > 126 for c in text), False])
         touches = foreign[:-1] | foreign[1:]
-        scores = np.where(touches & (bits < self.model.rare), 2.0, np.where(touches, -0.6 - 0.1 * np.clip(self.model.information(text), 0, 10), -0.5))
+        scores = np.where(touches, np.clip(IMPROBABLE - self.model.information(text), -1.5, 2.0), -0.5)
         out: list[tuple[int, int]] = []
         for a, b in improbable_runs(scores):
             a, b = max(0, a - 1), min(len(text), b)  # pair i joins characters i - 1 and i
-            while a > 0 and ord(text[a - 1]) > 126:
+            # one ASCII character between two foreign ones can be the second byte of a character
+            while a > 0 and (ord(text[a - 1]) > 126 or a > 1 and ord(text[a - 2]) > 126 and not text[a - 1].isspace()):
                 a -= 1
-            while b < len(text) and ord(text[b]) > 126:
+            while b < len(text) and (ord(text[b]) > 126 or b + 1 < len(text) and ord(text[b + 1]) > 126 and not text[b].isspace()):
                 b += 1
+            while a < b and ord(text[a]) <= 126:
+                a += 1
+            while a < b and ord(text[b - 1]) <= 126:
+                b -= 1
+            if a == b:
+                continue
             if out and a <= out[-1][1]:
                 out[-1] = (out[-1][0], max(b, out[-1][1]))
             else:
@@ -206,7 +283,7 @@ class Repairer:
 
     def repair(self, text: str) -> str | None:
         """The text with its garbled runs read anew, or None if none is garbled. Lost characters stay as they are."""
-        now = text
+        now = of_two_bytes(text) or text
         for _ in range(4):
             new = None if now.isascii() else self._pass(now)
             if new is None:
@@ -215,16 +292,15 @@ class Repairer:
         return None if now == text else now
 
     def _pass(self, text: str) -> str | None:
+        runs = self.runs(text)
+        pair = self._pair(text, runs)
         out, upto, changed = [], 0, False
-        for a, b in self.runs(text):
-            a, b = max(a, upto), max(b, upto)
-            if a >= b:
+        for a, b in runs:
+            if a < upto:
                 continue
-            while a > upto and not text[a - 1].isspace():  # whole words
-                a -= 1
-            while b < len(text) and not text[b].isspace():
-                b += 1
-            found = self._run(text, a, b)
+            around = text[max(0, a - 1) : a], text[a:b], text[b : b + 1]
+            new, gain = self.options(*around).get(pair, ("", 0.0)) if pair else ("", 0.0)
+            found = (new, b) if gain > 0 and self._open(*around) and self._again(*around) is None else self._run(text, a, b)
             if found is not None:
                 out += [text[upto:a], found[0]]
                 upto, changed = found[1], True
@@ -232,8 +308,28 @@ class Repairer:
             return None
         return "".join(out) + text[upto:]
 
+    def _pair(self, text: str, runs: list[tuple[int, int]]) -> tuple[str, str] | None:
+        """The encodings that explain the runs of a text together, as it was most likely read but once; None if none gains enough."""
+        if len(runs) < 2:
+            return None
+        total: dict[tuple[str, str], float] = {}
+        letters: dict[tuple[str, str], int] = {}
+        for a, b in runs:
+            around = text[max(0, a - 1) : a], text[a:b], text[b : b + 1]
+            if LOST in text[a:b] or not self._open(*around):
+                continue
+            for pair, (new, gain) in self.options(*around).items():
+                total[pair] = total.get(pair, 0.0) + gain
+                letters[pair] = letters.get(pair, 0) + _changed(text[a:b], new)
+        good = [(gain, pair) for pair, gain in total.items() if gain >= max(self.least, self.each * letters[pair])]
+        return max(good)[1] if good else None
+
     def _run(self, text: str, a: int, b: int) -> tuple[str, int] | None:
         run = text[a:b]
+        if b < len(text) and not text[b].isspace() and LOST not in run:  # the second byte of the last character
+            new = self.best(text[max(0, a - 1) : a], text[a : b + 1], text[b + 1 : b + 2])
+            if new is not None and (_KANA.search(new) or _IDEOGRAPH.search(new)):
+                return new, b + 1
         if LOST not in run:
             new = self.best(text[max(0, a - 1) : a], run, text[b : b + 1])
             if new is not None:
@@ -241,12 +337,6 @@ class Repairer:
         out, upto, changed = [], a, False  # not as a whole: word by word, and in these by stretches of foreign characters
         for w in _TOKEN.finditer(text, a, b):
             wa, wb = w.span()
-            while wa > a and not text[wa - 1].isspace():
-                wa -= 1
-            while wb < len(text) and not text[wb].isspace():
-                wb += 1
-            if wa < upto:
-                continue
             new = None if LOST in w.group() else self.best(text[max(0, wa - 1) : wa], text[wa:wb], text[wb : wb + 1])
             if new is not None:
                 out.append(text[upto:wa] + new)
@@ -357,10 +447,10 @@ def restore_texts(df: DataFrame, keys: list[str], text: str, codes: str | None =
 
     `original` is the restored text; characters that are lost (U+FFFD) stay in it, with restored false, unless the code
     points of `codes` spell a text that agrees with all that is left. Codes that spell another text of which this one is a
-    misreading restore it, and a true column `buggy` lets a smaller difference of word counts do. Null, empty and ASCII texts
-    are sound. Repeated rows are each reported. `statistics` are pair counts of sound text, by default those of this column.
-    No row is shuffled: the statistics are two bounded tables, and only texts with a character beyond ASCII reach Python
-    again.
+    misreading restore it, and a true column `buggy` lets a smaller difference of word counts do. Null and empty texts are
+    sound, and those of printable ASCII: no encoding that is tried turns other text into such. Repeated rows are each reported. `statistics` are pair counts of sound text, by default those of this column.
+    No row is shuffled: the statistics are two bounded tables, and only texts with a character beyond printable ASCII reach
+    Python again.
     """
     counts = statistics if statistics is not None else pair_counts(df, text, sound=True)
     sent = df.sparkSession.sparkContext.broadcast(PairModel.of(counts).sparse())
@@ -398,5 +488,5 @@ def restore_texts(df: DataFrame, keys: list[str], text: str, codes: str | None =
 
     extra = df[codes].cast("array<bigint>") if codes else F.lit(None).cast("array<bigint>")
     flag = df[buggy].cast("boolean") if buggy else F.lit(None).cast("boolean")
-    foreign = df.filter(df[text].rlike(r"[^\x00-\x7f]")).select(*keys, df[text].alias("_text"), extra.alias("_codes"), flag.alias("_buggy"))
+    foreign = df.filter(df[text].rlike(SUSPECT)).select(*keys, df[text].alias("_text"), extra.alias("_codes"), flag.alias("_buggy"))
     return map_arrow(foreign, run, schema)

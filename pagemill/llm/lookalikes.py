@@ -27,21 +27,22 @@ _EAST_SIGNS = re.compile("[！-／：-＠［-｀｛-～]")
 _IGNORABLE = re.compile("[­͏؜ᅟᅠ឴឵᠋-᠏​-‏‪-‮⁠-⁯︀-️﻿￹-￻]")
 _BLANK = re.compile("[\t   -   　]")
 _WORD = re.compile(r"[^\W\d_]+")
-_OTHER_SCRIPT = re.compile("[Ͱ-ϿЀ-ԯ]")
+_OTHER_SCRIPT = re.compile("[Ͱ-ϿЀ-ԯԱ-֏Ꭰ-ᏽ]")
 #: Characters that none of the rules touches; a text of these alone needs no look (Java and Python syntax alike).
 UNTOUCHED = (
     r"\x0a-\x7e¡-¬®-ʯ‐-‧‰-⁞₠-℥℧-℩ℬ-⌨⌫-⫛"
     r"⫝-⯿、-゘゛-ヿ㐀-鿿"
 )
-LATIN, CYRILLIC, GREEK = "L", "C", "G"
+LATIN, CYRILLIC, GREEK, ARMENIAN, CHEROKEE = SCRIPTS = "LCGAK"
+#: Code points that a script's letters begin and end with.
+RANGES = {LATIN: (0x41, 0x250), CYRILLIC: (0x400, 0x530), GREEK: (0x370, 0x400), ARMENIAN: (0x530, 0x590), CHEROKEE: (0x13A0, 0x1400)}
 
 
 def script(c: str) -> str:
     p = ord(c)
-    if 0x400 <= p < 0x530:
-        return CYRILLIC
-    if 0x370 <= p < 0x400:
-        return GREEK
+    for s in SCRIPTS[1:]:
+        if RANGES[s][0] <= p < RANGES[s][1]:
+            return s
     return LATIN if p < 0x250 or 0x1E00 <= p < 0x1F00 else ""
 
 
@@ -84,8 +85,8 @@ class Normalizer:
         self.model, self.context = model, context
         self.known: dict[tuple[str, str], str] = {}
         #: Bits of a word's being in a script at all; how common a script is must not decide about a word.
-        starts = {s: [p for p in range(0x41, 0x530) if chr(p).isalpha() and script(chr(p)) == s] for s in (LATIN, CYRILLIC, GREEK)}
-        self.shares = {s: float(np.log2((model.counts[0, points].sum() + 20) / (model.firsts[0] + 20))) for s, points in starts.items()}
+        starts = {s: np.unique([class_table()[p] for p in range(*RANGES[s]) if chr(p).isalpha()]) for s in SCRIPTS}
+        self.shares = {s: float(np.log2((model.counts[0, own].sum() + 20) / (model.firsts[0] + 20))) for s, own in starts.items()}
 
     def word(self, word: str, around: str) -> str:
         """A word in the script that its letters and the script `around` it speak for."""
@@ -100,7 +101,7 @@ class Normalizer:
         scripts = {script(c) for c in word} - {""}
         around = around or "".join(scripts)
         found = []
-        for s in (LATIN, CYRILLIC, GREEK):
+        for s in SCRIPTS:
             lattice = [(c,) if script(c) in (s, "") else ALTERNATIVES.get(c, {}).get(s, ()) for c in word]
             if all(lattice):
                 score, path = viterbi(lattice, self.model, self.shares[s])
@@ -127,17 +128,18 @@ class Normalizer:
         return bool(_EAST_ASIAN.match(text[m.start() - 1 : m.start()] or " ") or _EAST_ASIAN.match(text[m.end() : m.end() + 1] or " "))
 
     def _scripts(self, text: str) -> str:
-        sure = {LATIN: 0, CYRILLIC: 0, GREEK: 0}
+        sure = dict.fromkeys(SCRIPTS, 0)
+        present = {script(c) for c in set(text)} - {""}
         for w in _WORD.finditer(text):
             for c in w.group():
                 s = script(c)
-                if s and c not in ALTERNATIVES and (s != LATIN or c.isascii()):  # letters beyond ASCII may be garbled
+                if s and present.isdisjoint(ALTERNATIVES.get(c, ())) and (s != LATIN or c.isascii()):  # letters beyond ASCII may be garbled
                     sure[s] += 1
         around = max(sure, key=lambda s: sure[s]) if any(sure.values()) else ""
 
         def one(m: re.Match[str]) -> str:
             word = m.group()
-            if any(c in ALTERNATIVES for c in word) and (_OTHER_SCRIPT.search(word) or around in (CYRILLIC, GREEK)):
+            if any(c in ALTERNATIVES for c in word) and (_OTHER_SCRIPT.search(word) or around not in ("", LATIN)):
                 return self.word(word, around)
             return word
 
@@ -179,5 +181,7 @@ def normalize_texts(df: DataFrame, keys: Sequence[str], text: str, statistics: D
                 kept = [c.take(pa.array(rows)) for c in batch.columns[: len(keys)]]
                 yield pa.RecordBatch.from_arrays([*kept, pa.array(forms)], [*keys, "form"])
 
-    touched = df.filter(df[text].rlike(f"[^{UNTOUCHED}]")).select(*keys, df[text].alias("_text"))
+    # printable ASCII holds no case; for it a comparison of lengths is enough and the pattern of many ranges is not asked
+    plain = F.octet_length(df[text]) == F.char_length(df[text])
+    touched = df.filter(F.when(plain, F.contains(df[text], F.lit("\t"))).otherwise(df[text].rlike(f"[^{UNTOUCHED}]"))).select(*keys, df[text].alias("_text"))
     return map_arrow(touched, run, schema)

@@ -37,6 +37,8 @@ OTHER, ACCENT = 4.0, 1.0
 SHARE, TIMES = 1e-6, 30
 #: The same for a form that one confusion explains, and for one that stands where no neighbours tell.
 NEAR, NEAR_ALONE = 4, 10
+#: Letters of a word in small letters that repairs a form which no other word explains, though it is itself rare.
+RARE = 6
 
 _HYPHEN = re.compile(r"[^\W\d_][-‐‑¬­]\s*$")
 _HYPHENS = "-‐‑¬­"
@@ -140,6 +142,11 @@ def confused_once(printed: str, read: str) -> bool:
     return any((p := printed[i : i + m], r := read[i : i + n]) in CONFUSIONS and printed[i + m :] == read[i + n :] for i in (a - 1, a) if i >= 0 for m, n in ((1, 1), (1, 2), (2, 1)))
 
 
+def _common_noun(word: str) -> bool:
+    """Whether a word is no name: it begins with a small letter, or with what scanners read instead of one."""
+    return not word[:1].isupper()
+
+
 class Lexicon:
     """Words of at least SHARE of all, at most 1 / SHARE; which of them repair doubtful words; and neighbour counts."""
 
@@ -149,7 +156,7 @@ class Lexicon:
         self.pairs = pairs or {}
         self.index: dict[str, list[str]] = defaultdict(list)
         for w, n in self.counts.items():
-            if n >= TIMES * self.least and _WORDLIKE.match(w):
+            if n >= (NEAR if _common_noun(w) else TIMES) * self.least and _WORDLIKE.match(w):
                 for d in {d for s in shapes(w) for d in deletes(s)}:
                     self.index[d].append(w)
         self.known: dict[str, tuple[str, float] | None] = {}
@@ -164,7 +171,8 @@ class Lexicon:
         out = []
         for c in found:
             far = self.counts[c] < TIMES * max(own, self.least)
-            if far and (own < self.least or self.counts[c] < NEAR * own) or abs(len(c) - len(word)) > 0.5 * len(c) or len(c) < 2:
+            rare = own < self.least and _common_noun(c) and _common_noun(word) and len(c) >= RARE  # names are in capitals
+            if far and not rare and (own < self.least or self.counts[c] < NEAR * own) or abs(len(c) - len(word)) > 0.5 * len(c) or len(c) < 2:
                 continue
             if far and not confused_once(c, word):
                 continue
@@ -207,10 +215,6 @@ class Lexicon:
             return ""
         return None
 
-    def suspects(self) -> set[str]:
-        """Lexicon words that could be misreadings of far more frequent ones: only their neighbours can tell."""
-        return {w for w in self.counts if _WORDLIKE.match(w) and self.candidates(w)}
-
     def judge(self, before: str, word: str, after: str) -> str | None:
         """Repair of a word in its context: None if it is sound there."""
         found = self.repair(word)
@@ -414,11 +418,23 @@ class ScanModel:
 
     def __init__(self, pages: DataFrame):
         words, counts, total = _collect_words(pages)
-        bare = Lexicon(words, counts, total)
-        suspects = bare.suspects()
-        wanted = suspects | {c for w in suspects for _, c in bare.candidates(w)[:3]}
-        pairs = _collect_pairs(pages, wanted)
-        self.sent = pages.sparkSession.sparkContext.broadcast((words, counts, total, pairs))
+        spark = pages.sparkSession
+        bare = spark.sparkContext.broadcast((words, counts, total, {}))
+
+        def doubted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            lexicon = _lexicon(bare)
+            for batch in batches:
+                wanted = []
+                for w in batch.column(0).to_pylist():
+                    if _WORDLIKE.match(w) and (found := lexicon.candidates(w)):
+                        wanted += [w, *(c for _, c in found[:3])]
+                if wanted:
+                    yield pa.RecordBatch.from_arrays([pa.array(wanted)], ["word"])
+
+        # lexicon words that could be misreadings of far more frequent ones, and these: only their neighbours can tell
+        listed = spark.createDataFrame(pa.table({"word": pa.array(words, pa.string())})).repartition(max(1, min(256, len(words) // 2000)))
+        wanted = {r.word for r in map_arrow(listed, doubted, "word string").distinct().collect()} if words else set()
+        self.sent = spark.sparkContext.broadcast((words, counts, total, _collect_pairs(pages, wanted)))
 
 
 _lexicons: dict[int, Lexicon] = {}

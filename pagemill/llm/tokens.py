@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from pagemill.llm.bpe import Encoder, read_ranks
+from pagemill.llm.bpe import Encoder, decode, read_ranks
 from pagemill.runtime import map_arrow
 
 #: Folder of the vocabulary files; a parameter of every operator here.
@@ -51,3 +51,21 @@ def encode_texts(df: DataFrame, key: str, text: str, tokenizer: str = "byte_bpe_
 
     out = map_arrow(df.select(df[key].alias("key"), df[text].alias("text")), run, f"key {kind}, ids array<int>")
     return out.withColumnRenamed("key", key)
+
+
+def decode_texts(df: DataFrame, key: str, ids: str, tokenizer: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> DataFrame:
+    """Texts of token ids: (`key`, text STRING), one row for each input row; null and empty lists give an empty text.
+
+    An id that the vocabulary lacks raises an error; bytes that are no UTF-8 become U+FFFD. One pass, no shuffle.
+    """
+    ranks = vocabulary(df, tokenizer, folder)
+    kind = dict(df.dtypes)[key]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = encoder(ranks.value).transducer.bytes_of
+        for batch in batches:
+            texts = [decode(own or (), known) for own in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["key", "text"])
+
+    out = map_arrow(df.select(df[key].alias("key"), df[ids].alias("ids")), run, f"key {kind}, text string")
+    return out.withColumnRenamed("key", key)

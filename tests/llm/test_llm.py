@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from pagemill.llm import bpe, folding, garbled, leaks, lookalikes, pairs, pieces, quantiles, scans
 from pagemill.llm.charstats import CLASSES, PairModel, classes
-from pagemill.llm.tokens import TOKENIZERS, encode_texts, encoder
+from pagemill.llm.tokens import TOKENIZERS, decode_texts, encode_texts, encoder
 
 DOCS = "doc_id long, text string, ids string"
 TEXTS = [None, "", "   ", "it's  done\n\n's", "Übergröße ½ 日本語 👍🏽", "a" * 5000, "<|endoftext|>", "x y\r\n\tz"]
@@ -52,7 +52,22 @@ def test_round_trip_and_random_texts(enc):
     for i, x in enumerate(texts):
         own = ids[ends[i] - counts[i] : ends[i]]
         assert own.tolist() == t.encode(x, add_special_tokens=False).ids
-        assert bpe.decode(own, enc.transducer.bytes_of) == x
+        assert bpe.decode(own.tolist(), enc.transducer.bytes_of, 2) == x
+
+
+def test_texts_of_ids(spark):
+    df = spark.createDataFrame([(i, x, "clash") for i, x in enumerate(TEXTS)], DOCS)
+    ids = encode_texts(df, "doc_id", "text")
+    assert {r.doc_id: r.text for r in decode_texts(ids, "doc_id", "ids").collect()} == {i: x or "" for i, x in enumerate(TEXTS)}
+
+
+def test_store_of_pre_tokens_is_bounded():
+    with open(f"{TOKENIZERS}/byte_bpe_50k.tiktoken", "rb") as f:
+        small = bpe.Encoder(bpe.read_ranks(f.read()), letters=50)
+    for i in range(30):
+        small.encode([f"word{i}x" * 9])
+        assert small._held <= 50 + 9 * 8
+    assert bpe.decode(small.encode(["again and again"])[0].tolist(), small.transducer.bytes_of) == "again and again"
 
 
 def test_incremental_utf8():
@@ -78,7 +93,7 @@ def test_piece_ends_where_the_topic_changes(enc):
     text = say(0, 30) + " " + say(1, 50)
     ids, _ = enc.encode([text])
     spans = pieces.cut(text, enc.lengths_of[ids], 1024, 64)
-    first = bpe.decode(ids[: spans[0][1]], enc.transducer.bytes_of)
+    first = bpe.decode(ids[: spans[0][1]].tolist(), enc.transducer.bytes_of)
     words = first.lower().replace(".", "").split()
     assert spans[0][3] > 0.5 and len(words) == 30 * 9 and all(w in topics[0] for w in words)
 
@@ -141,6 +156,36 @@ def test_percentiles_leave_out_nulls(spark):
     assert got[None, "*", "parse_latency_seconds"] == (1, 3.0) and got[None, "", "latencies"] == (0, None)
 
 
+def test_days_combine_and_groups_are_bounded(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    rows = [(i % 500, float(v), [float(x) for x in rng.lognormal(0, 2, 3)]) for i, v in enumerate(rng.lognormal(0, 2, 4000))]
+    df = spark.createDataFrame(rows, "g int, v double, vs array<double>").repartition(6)
+    monkeypatch.setattr(quantiles, "HELD", 300)
+    parts = quantiles.build(df, ["g"], "vs")
+    once = quantiles.combine(parts, ["g"])
+    got = {r.g: (r.n, r.p50) for r in quantiles.percentiles(once, ["g"], quantiles.SHARES, quantiles.NAMES).collect()}
+    for g in range(500):
+        own = sorted(x for k, _, vs in rows if k == g for x in vs)
+        assert got[g] == (len(own), own[-(-len(own) // 2) - 1])
+    assert once.count() == 500 and quantiles.combine(parts, ["g"], whole=False).count() >= 500
+
+
+def test_rows_of_an_evaluation_count_once_whatever_their_order(spark):
+    import datetime as dt
+
+    schema = "eval_id long, file string, provider string, run_at timestamp, parse_latency_seconds double, latencies array<double>"
+    day = dt.datetime(2026, 1, 1)
+    rows = [(1, "a", "p", day, 9.0, [2.0]), (1, "a", "p", day, 5.0, [2.0]), (None, "a", "p", day, 7.0, None), (None, "a", "p", day, 7.0, None), (None, "a", "p", day, 8.0, None)]
+    notes = spark.createDataFrame([("a", "form")], "file string, document_type string")
+    seen = set()
+    for order in (rows, rows[::-1]):
+        daily = quantiles.daily_latency_sketches(spark.createDataFrame(order, schema).repartition(3), notes)
+        got = {(r.provider, r.metric): (r.n, r.p50, r.p99) for r in quantiles.latency_percentiles(daily).collect()}
+        assert got["p", "parse_latency_seconds"][0] == 3 and got["p", "latencies"][:2] == (1, 2.0)
+        seen.add(got["p", "parse_latency_seconds"])
+    assert len(seen) == 1
+
+
 def _passage(n, seed):
     rng = random.Random(seed)
     return [f"{rng.choice('bcdfg')}{rng.choice('aeiou')}{rng.choice('lmnr')}{rng.randint(0, 99)}e" for _ in range(n)]
@@ -239,11 +284,54 @@ def test_garbled_words_that_the_statistics_hold_for_sound(spark):
     assert got == {(2, i): good for i in range(300)} | {(4, 1): "ошибку в формуле"}
 
 
+@pytest.mark.parametrize("read_with, written_in, least", [("latin-1", "utf-8", 0.97), ("cp1252", "utf-8", 0.97), ("cp437", "utf-8", 0.97), ("mac_roman", "cp1252", 0.9), ("cp437", "cp1252", 0.9), ("latin-1", "utf-16-le", 0.9)])
+def test_restored_texts_equal_those_that_were_garbled(read_with, written_in, least):
+    import pyarrow.parquet as pq
+
+    texts = [t for t in pq.read_table("/root/testdata/sf0.01/documents.parquet")["text"].to_pylist() if t]
+    lines = list(dict.fromkeys(x.strip() for t in texts for x in t.split("\n") if not garbled.DOUBTFUL.search(x)))
+    repairer = garbled.Repairer(model(lines))
+    tried = good = 0
+    for line in [x for x in lines if 20 < len(x) < 120 and sum(c.isalpha() and c > "\x7f" for c in x) > 1 and not any(c > "\u2fff" for c in x)][:400]:
+        try:
+            wrong = line.encode(written_in).decode(read_with)
+        except UnicodeError:
+            continue
+        if wrong != line:
+            tried += 1
+            good += repairer.repair(wrong) == line
+    assert tried > 30 and good >= least * tried
+    assert sum(repairer.repair(x) is not None for x in lines) <= 0.002 * len(lines)
+
+
+def test_ascii_texts_can_be_garbled(spark):
+    rows = [(1, 1, 1, "Hello world".encode("utf-16-le").decode("latin-1")), (1, 1, 2, "Hello world"), (1, 1, 3, "a\tb\r\n"), (1, 1, 4, "Hello".encode("utf-16-be").decode("utf-16-le")), (1, 1, 5, "lost\x1acharacter"), (1, 1, 6, None)]
+    df = spark.createDataFrame(rows, "doc_id long, page int, seq int, text string")
+    got = {r.seq: (r.original, r.restored) for r in garbled.restore_texts(df, ["doc_id", "page", "seq"], "text").collect()}
+    assert got == {1: ("Hello world", True), 4: ("Hello", True), 5: ("lost\x1acharacter", False)}
+
+
+def test_maximal_segments_against_brute_force():
+    rng = random.Random(6)
+    for _ in range(300):
+        scores = [rng.choice([-3, -2, -1, 1, 2, 3]) for _ in range(rng.randint(0, 14))]
+        want, todo = [], [(0, len(scores))]
+        while todo:  # the greatest sum first (of these the shortest), then left and right of it
+            a, b = todo.pop()
+            best = max(((sum(scores[i:j]), i - j, -i) for i in range(a, b) for j in range(i + 1, b + 1)), default=(0, 0, 0))
+            if best[0] > 0:
+                i, j = -best[2], -best[2] - best[1]
+                want.append((i, j))
+                todo += [(a, i), (j, b)]
+        assert garbled.improbable_runs(np.array(scores, float)) == sorted(want)
+
+
 def test_one_form():
     n = lookalikes.Normalizer(model(CLEAN))
     assert n.normalize("thе оld bridgе") == "the old bridge"
     assert n.normalize("ｏｌｄ ﬁne é​") == "old fine é"
-    for same in ("Таблица на листе", "x² ½ № ™ “q” — a", "plain", "日本語（テスト）。"):
+    assert n.normalize("օn а mар") == "on a map" and n.normalize("Ꭺ map") == "A map"
+    for same in ("Հայերեն տեքստ", "Таблица на листе", "x² ½ № ™ “q” — a", "plain", "日本語（テスト）。"):
         assert n.normalize(same) == same
 
 
@@ -327,6 +415,12 @@ def test_misreadings():
     assert [lexicon.repair(w) for w in ("seasori", "tliird", "coiincil", "papcr", "season", "Korland", "KX-416")] == ["season", "third", "council", "paper", None, None, None]
 
 
+def test_rare_words_are_repaired():
+    words = {"vineyard": 14, "Korland": 14, "vine": 14}
+    lexicon = scans.Lexicon(list(words), list(words.values()), 1_000_000)
+    assert [lexicon.repair(w) for w in ("vineyord", "Korlond", "vinc", "vineyard")] == ["vineyard", None, None, None]
+
+
 def test_forms_misread_often_in_proportion():
     words = {"Summary": 2880, "Siimmary": 110, "Summory": 100, "práctica": 317, "práctico": 58, "Karten": 187, "Kanten": 8, "ejercicio": 900}
     lexicon = scans.Lexicon(list(words), list(words.values()), 1_000_000, {("ejercicio", "práctico"): 30, ("guía", "práctica"): 90})
