@@ -6,7 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Accented vowels that count as letters and vowels.
-ACCENTED_VOWELS = "àáâãäåèéêëìíîïòóôõöùúûüÀÁÂÃÄÅÈÉÊËÌÍÎÏÒÓÔÕÖÙÚÛÜ"
+SMALL_VOWELS = "àáâãäåāăąǎȁȃȧạảấầẩẫậắằẳẵặèéêëēĕėęěȅȇẹẻẽếềểễệìíîïĩīĭįǐȉȋỉịòóôõöøōŏőǒȍȏȯọỏốồổỗộơớờởỡợùúûüũūŭůűųǔǖǘǚǜȕȗụủưứừửữự"
+ACCENTED_VOWELS = SMALL_VOWELS + "".join(c for c in SMALL_VOWELS.upper() if c not in SMALL_VOWELS)
 
 
 def collapse_whitespace(c: Column) -> Column:
@@ -110,6 +111,27 @@ def toc_page(c: Column) -> Column:
     return F.when(c.rlike(r"\s[0-9]{1,4}$") & c.rlike(TOC) & (F.char_length(F.regexp_replace(body, r"[^\p{L}]", "")) >= 8), F.regexp_extract(c, TOC, 2).cast("int"))
 
 
+def toc_roman(c: Column) -> Column:
+    """Whether a line of at least 5 letters ends in a blank and a roman number of 2 to 6 letters."""
+    tail = r"^(.*?)[\s.]*\s[\s.]*[ivxlcdmIVXLCDM]{2,6}$"
+    letters = F.char_length(F.regexp_replace(F.regexp_extract(F.trim(c), tail, 1), r"[^\p{L}]", ""))
+    return F.coalesce(F.trim(c).rlike(r"\s[ivxlcdmIVXLCDM.\s]*[ivxlcdmIVXLCDM]{2,6}$") & F.trim(c).rlike(tail) & (letters >= 5), F.lit(False))
+
+
+#: Titles of pages of contents.
+TOC_TITLES = ("contents", "table of contents", "table of content", "index", "list of figures", "list of tables", "table of figures", "toc")
+#: Fixed pattern: how a line that says where something comes from begins.
+ATTRIBUTION = r"(?i)^(source|sources|note|notes|credit|photo|image courtesy|courtesy|quelle|quellen|fuente|fuentes|crédit|crédits)\s*(:|of\b|by\b)"
+
+
+def is_toc_title(c: Column) -> Column:
+    return F.lower(F.regexp_replace(F.trim(c), ":+$", "")).isin(*TOC_TITLES)
+
+
+def is_attribution(c: Column) -> Column:
+    return F.trim(c).rlike(ATTRIBUTION)
+
+
 def list_marker(c: Column) -> Column:
     """'bullet', 'ordered' or null."""
     return F.when(c.rlike(BULLET), "bullet").when(c.rlike(NUMBERED), "ordered")

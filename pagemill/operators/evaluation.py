@@ -23,8 +23,19 @@ def pass_rates(results: DataFrame, key: str) -> DataFrame:
     return known.rollup(key).agg(F.sum("total_questions").alias("questions"), F.round(F.sum(F.col("llm_judge_pass_rate") * F.col("total_questions")) / F.nullif(F.sum("total_questions"), F.lit(0)), 4).alias("rate"))
 
 
+def provider_cells(results: DataFrame, rows: str, column: str, value: str) -> DataFrame:
+    """(`rows`, `column`, runs, mean): the cells of a table with the mean of a value, 'TOTAL' for all rows, 'AVG' for all columns.
+
+    A cube with one row for each cell; it grows with the cells that occur, whatever the number of columns. Null keys are left
+    out, null and NaN values count as runs without a value.
+    """
+    known = results.filter(F.col(rows).isNotNull() & F.col(column).isNotNull()).withColumn("_v", F.nanvl(F.col(value), F.lit(None).cast("double")))
+    cells = known.cube(rows, column).agg(F.count("*").alias("runs"), F.round(F.avg("_v"), 9).alias("mean")).filter(F.col("runs") > 0)
+    return cells.withColumn(rows, F.coalesce(rows, F.lit("TOTAL"))).withColumn(column, F.coalesce(column, F.lit("AVG")))
+
+
 def provider_table(results: DataFrame, rows: str, column: str, value: str, columns: Sequence[str]) -> DataFrame:
-    """Rows by a fixed list of columns with the mean of a value, and a TOTAL row: a pivot over a roll-up."""
+    """The same as a table of a fixed list of columns, with a TOTAL row."""
     known = results.withColumn("_v", F.nanvl(F.col(value), F.lit(None).cast("double")))
     cells = [F.round(F.avg(F.when(F.col(column) == c, F.col("_v"))), 9).alias(c) for c in columns]
     return known.filter(F.col(rows).isNotNull()).rollup(rows).agg(*cells).withColumn(rows, F.coalesce(rows, F.lit("TOTAL")))
@@ -33,7 +44,7 @@ def provider_table(results: DataFrame, rows: str, column: str, value: str, colum
 def recognition_failures(outcomes: DataFrame) -> DataFrame:
     """(doc_id, tasks, failed, fatal, message): fatal if all tasks failed and one on a sparse page; the first message counts."""
     failed = F.col("error").isNotNull()
-    sums = outcomes.groupBy("doc_id").agg(F.count("*").alias("tasks"), F.count_if(failed).alias("failed"), F.max(failed & F.col("sparse")).alias("on_sparse"), F.min_by("error", F.when(failed, F.col("seq"))).alias("first"))
+    sums = outcomes.groupBy("doc_id").agg(F.count("*").alias("tasks"), F.count_if(failed).alias("failed"), F.max(failed & F.col("sparse")).alias("on_sparse"), F.min(F.when(failed, F.struct("seq", "error")))["error"].alias("first"))
     fatal = (F.col("failed") == F.col("tasks")) & F.col("on_sparse")
     return sums.select("doc_id", "tasks", "failed", fatal.alias("fatal"), F.when(fatal, F.col("first")).alias("message"))
 

@@ -156,12 +156,16 @@ def font_modes(lines: DataFrame) -> DataFrame:
     return bold.join(mode("font_size", "dominant_size"), ["doc_id", "page"], "left").join(mode("font_name", "dominant_font"), ["doc_id", "page"], "left")
 
 
-def toc_pages(lines: DataFrame) -> DataFrame:
-    """Pages that list contents: four entries and more, of which 70 % do not go back."""
+def toc_pages(lines: DataFrame, most: float = 0.7) -> DataFrame:
+    """Pages that list contents (doc_id, page, entries, forward_share): four entries and more, three of them with arabic page
+    numbers, of which 70 % do not go back."""
     w = Window.partitionBy("doc_id", "page").orderBy("seq")
-    entries = lines.withColumn("target", T.toc_page(F.col("text"))).filter(F.col("target").isNotNull())
-    forward = (F.col("target") >= F.lag("target").over(w)).cast("double")
-    return entries.withColumn("forward", forward).groupBy("doc_id", "page").agg(F.count("*").alias("entries"), F.round(F.avg("forward"), 4).alias("forward_share"))
+    c = F.col("text")
+    entries = lines.withColumn("target", T.toc_page(c)).filter(F.col("target").isNotNull() | T.toc_roman(c))
+    arabic = F.last("target", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    forward = (F.col("target") >= arabic).cast("double")
+    pages = entries.withColumn("forward", forward).groupBy("doc_id", "page").agg(F.count("*").alias("entries"), F.count("target").alias("arabic"), F.avg("forward").alias("share"))
+    return pages.filter((F.col("entries") >= 4) & (F.col("arabic") >= 3) & (F.col("share") >= most)).select("doc_id", "page", "entries", F.round("share", 4).alias("forward_share"))
 
 
 def relative_indents(lines: DataFrame) -> DataFrame:

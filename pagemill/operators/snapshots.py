@@ -2,7 +2,8 @@
 
 Only hashes travel: each row becomes a 128-bit key hash and a 128-bit hash of the compared columns, equal rows are merged
 before the shuffle, and the rows of a hash bucket meet as numpy arrays that are sorted and searched once for each pair of
-consecutive snapshots. Full values are fetched afterwards, for the keys that differ.
+consecutive snapshots. There are as many buckets as the number of rows asks for. Full values are fetched afterwards, for the
+keys that differ only: where these are few, their hashes go to the rows and no other row moves.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.runtime import map_arrow
+from pagemill.runtime import map_arrow, written
 
 _SCHEMA = "snap int, k1 bigint, k2 bigint, change_type string"
 
@@ -84,7 +85,29 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 )
 
 
-def snapshot_changes(df: DataFrame, snapshot: str, keys: Sequence[str], compared: Sequence[str]) -> DataFrame:
+#: Rows of a bucket, and changes up to which their hashes are broadcast (about 40 bytes each).
+BUCKET, FEW = 2_000_000, 1_000_000
+
+
+def _changes(df: DataFrame, snapshot: str, keys: Sequence[str], compared: Sequence[str], bucket: int) -> tuple[DataFrame, DataFrame]:
+    """The rows with their hashes, and the changes (snap, k1, k2, change_type) as a written table."""
+    k1, k2 = _hash128(df, keys)
+    r1, r2 = _hash128(df, compared)
+    base = df.filter(df[snapshot].isNotNull()).withColumns({"_snap": df[snapshot].cast("int"), "_k1": k1, "_k2": k2})
+    compact = base.select(F.col("_snap").alias("snap"), F.col("_k1").alias("k1"), F.col("_k2").alias("k2"), r1.alias("r1"), r2.alias("r2")).distinct()
+    size, first, last = df.agg(F.count("*"), F.min(snapshot), F.max(snapshot)).first()
+    found = map_arrow(compact.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-size // bucket)), "k1"), _compare, _SCHEMA)
+    return base, written(found.filter((F.col("snap") > first) & (F.col("snap") <= last)) if size else found.limit(0))
+
+
+def _met(changes: DataFrame, base: DataFrame, few: int) -> DataFrame:
+    """The rows of changed keys in the snapshot of the change ('new') and in the one before ('old')."""
+    asked = changes.select("k1", "k2", F.col("snap").alias("later"), "change_type", F.explode(F.array(F.col("snap"), F.col("snap") - 1)).alias("at"))
+    own = F.broadcast(asked) if changes.count() <= few else asked
+    return base.join(own, (base["_k1"] == asked["k1"]) & (base["_k2"] == asked["k2"]) & (base["_snap"] == asked["at"]))
+
+
+def snapshot_changes(df: DataFrame, snapshot: str, keys: Sequence[str], compared: Sequence[str], bucket: int = BUCKET, few: int = FEW) -> DataFrame:
     """Changes from each snapshot to the next: (`snapshot`, *`keys`, change_type 'added' | 'removed' | 'changed').
 
     `snapshot` is an integer column; n is compared with n - 1 for each n after the first that occurs up to the last. A
@@ -93,14 +116,19 @@ def snapshot_changes(df: DataFrame, snapshot: str, keys: Sequence[str], compared
     an empty one. Rows with a null snapshot belong to none and are left out. Other columns are not read. An empty table
     gives no rows.
     """
-    k1, k2 = _hash128(df, keys)
-    r1, r2 = _hash128(df, compared)
-    named = [df[c].alias(f"key_{i}") for i, c in enumerate(keys)]
-    base = df.filter(df[snapshot].isNotNull()).select(df[snapshot].cast("int").alias("snap"), k1.alias("k1"), k2.alias("k2"), r1.alias("r1"), r2.alias("r2"), *named)
-    compact = base.select("snap", "k1", "k2", "r1", "r2").distinct()
-    ends = base.agg(F.min("snap").alias("first"), F.max("snap").alias("last"))  # one row
-    changes = map_arrow(compact.repartition("k1"), _compare, _SCHEMA)
-    changes = changes.join(F.broadcast(ends), (F.col("snap") > F.col("first")) & (F.col("snap") <= F.col("last"))).drop("first", "last")
-    values = base.select("k1", "k2", *[f"key_{i}" for i in range(len(keys))]).distinct()
-    out = changes.join(values, ["k1", "k2"])
-    return out.select(F.col("snap").alias(snapshot), *[F.col(f"key_{i}").alias(c) for i, c in enumerate(keys)], "change_type")
+    base, changes = _changes(df.select(snapshot, *keys, *compared), snapshot, keys, compared, bucket)
+    met = _met(changes, base.select("_snap", "_k1", "_k2", *keys), few)
+    return met.select(F.col("later").alias(snapshot), *keys, "change_type").distinct()
+
+
+def snapshot_values(df: DataFrame, snapshot: str, keys: Sequence[str], compared: Sequence[str], bucket: int = BUCKET, few: int = FEW) -> DataFrame:
+    """The changes of `snapshot_changes` with old_ and new_ values of the compared columns.
+
+    The old values of an added key and the new ones of a removed key are null; of several different rows of a key in one
+    snapshot the least counts.
+    """
+    base, changes = _changes(df.select(snapshot, *keys, *compared), snapshot, keys, compared, bucket)
+    met = _met(changes, base.select("_snap", "_k1", "_k2", *keys, *compared), few)
+    row = F.struct(*[F.col(c) for c in compared])
+    sides = met.groupBy("later", *keys, "change_type").agg(*[F.min(F.when(F.col("at") == F.col("later") - back, row)).alias(side) for side, back in (("new", 0), ("old", 1))])
+    return sides.select(F.col("later").alias(snapshot), *keys, "change_type", *[F.col(f"{side}.{c}").alias(f"{side}_{c}") for side in ("old", "new") for c in compared])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagemill.operators.snapshots import snapshot_changes
+from pagemill.operators.snapshots import snapshot_changes, snapshot_values
 from pagemill.runtime import table
 
 
@@ -12,6 +12,10 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return snapshot_changes(table(spark, sf_dir, "regression"), "snap", ["document", "page"], ["output_text"])
 
 
+def p5_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return snapshot_values(table(spark, sf_dir, "regression"), "snap", ["document", "page"], ["output_text"])
+
+
 P5_SQL = """
 WITH r AS (SELECT DISTINCT snap, document, page, output_text FROM regression),
 b AS (SELECT min(snap) AS lo, max(snap) AS hi FROM r),
@@ -23,5 +27,7 @@ WHERE coalesce(n.snap, o.snap) > lo AND coalesce(n.snap, o.snap) <= hi
   AND (n.snap IS NULL OR o.snap IS NULL OR n.output_text IS DISTINCT FROM o.output_text)
 """
 
-QUERIES = {"p5_found": p5_found}
-SQL = {"p5_found": P5_SQL}
+VALUES_SQL = P5_SQL.replace("END AS change_type\n", "END AS change_type, o.output_text AS old_output_text, n.output_text AS new_output_text\n", 1)
+
+QUERIES = {"p5_found": p5_found, "p5_values": p5_values}
+SQL = {"p5_found": P5_SQL, "p5_values": VALUES_SQL}

@@ -12,9 +12,10 @@ from pagemill.operators import folds
 from pagemill.operators import layout as L
 from pagemill.operators import render as R
 from pagemill.operators import spatial as J
+from pagemill.plans import derived as D
 from pagemill.plans import sql as S
 from pagemill.runtime import table, written
-from pagemill.sources.tables import document_lines, fixture, items
+from pagemill.sources.tables import document_lines, items
 
 QUERIES, SQL = {}, {}
 
@@ -30,94 +31,145 @@ def query(sql: str | None = None):
 
 
 IT = f"WITH {S.ITEMS}"
+KEYS = ["doc_id", "page", "seq"]
 
 
-@query(f"""{IT}, u AS (SELECT *, coalesce(text, '') t FROM it WHERE width > 0 AND height > 0 AND abs(coalesce(rotation, 0) - round(coalesce(rotation, 0) / 90) * 90) <= 2),
-  gone AS (SELECT DISTINCT a.doc_id, a.page, a.seq FROM u a JOIN u b ON a.doc_id = b.doc_id AND a.page = b.page AND a.seq < b.seq
-    WHERE greatest(0, least(a.x + a.width, b.x + b.width) - greatest(a.x, b.x)) * greatest(0, least(a.y + a.height, b.y + b.height) - greatest(a.y, b.y)) > 0.5 * least(a.width * a.height, b.width * b.height)
+def on(a: str, b: str) -> str:
+    return f"{a}.doc_id = {b}.doc_id AND {a}.page = {b}.page"
+
+
+_OVER = "greatest(0, least(a.x + a.width, b.x + b.width) - greatest(a.x, b.x)) * greatest(0, least(a.y + a.height, b.y + b.height) - greatest(a.y, b.y))"
+
+
+@query(f"""{D.sql("it2")}, u AS (SELECT *, coalesce(text, '') t FROM it2 WHERE width > 0 AND height > 0 AND abs(coalesce(rotation, 0) - round(coalesce(rotation, 0) / 90) * 90) <= 2),
+  gone AS (SELECT DISTINCT a.doc_id, a.page, a.seq FROM u a JOIN u b ON {on("a", "b")} AND a.seq < b.seq WHERE {_OVER} > 0.5 * least(a.width * a.height, b.width * b.height)
     AND (greatest(a.height, b.height) <= 2.5 * least(a.height, b.height) OR abs((a.y + a.height / 2) - (b.y + b.height / 2)) < least(a.height, b.height))
     AND (a.t = b.t OR greatest(a.width * a.height, b.width * b.height) <= 5 * least(a.width * a.height, b.width * b.height)))
-  SELECT doc_id, page, seq FROM it WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE g.doc_id = it.doc_id AND g.page = it.page AND g.seq = it.seq)""")
+  SELECT doc_id, page, seq FROM it2 WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE {on("g", "it2")} AND g.seq = it2.seq)""")
 def overlap_dedup(spark, d):
-    return J.overlap_dedup(items(spark, d)).select("doc_id", "page", "seq")
+    return J.overlap_dedup(D.derived(spark, d, "it2")).select(*KEYS)
 
 
-_BOXES = "(1, 1, 'alpha', 10.0D, 10.0D, 50.0D, 10.0D), (1, 2, 'beta', 70.0D, 10.0D, 40.0D, 10.0D), (1, 3, 'gamma', 10.0D, 40.0D, 100.0D, 12.0D), (2, 1, 'delta', 10.0D, 10.0D, 30.0D, 9.0D), (2, 2, ' ', 60.0D, 10.0D, 30.0D, 9.0D)"
-_BOX_COLUMNS = ["page", "seq", "text", "x", "y", "width", "height"]
-_LINKS = "(1, 1, 0.0D, 8.0D, 65.0D, 22.0D, 'https://a.example'), (1, 2, 0.0D, 0.0D, 200.0D, 60.0D, 'https://tall.example'), (2, 1, 0.0D, 5.0D, 45.0D, 20.0D, 'https://b.example')"
-_SEGMENTS = "(1, 1, 10.0D, 58.0D, 15.0D, 0.8D), (1, 2, 70.0D, 112.0D, 21.0D, 0.5D), (1, 3, 10.0D, 40.0D, 46.0D, 1.0D), (2, 1, 8.0D, 42.0D, 14.0D, 3.0D), (2, 2, 10.0D, 40.0D, 19.5D, 0.5D)"
-_RESULTS = "(1, 1, 'alpha', 11.0D, 11.0D, 48.0D, 8.0D), (1, 2, 'far', 300.0D, 10.0D, 40.0D, 10.0D), (1, 3, 'wide', 10.0D, 41.0D, 160.0D, 10.0D), (2, 1, 'x', 59.0D, 30.0D, 10.0D, 9.0D)"
+@query(f"""{D.sql("links")}, c AS (SELECT it.doc_id, it.page, it.seq, it.height, l.pos, l.uri, y2 - y1 lh FROM it JOIN links l ON {on("it", "l")} AND x + width / 2 BETWEEN x1 AND x2 AND y + height / 2 BETWEEN y1 AND y2),
+  m AS (SELECT doc_id, page, pos, (list_sort(list(height)))[CAST(floor(count(*) / 2) AS BIGINT) + 1] typical FROM c GROUP BY 1, 2, 3),
+  f AS (SELECT c.doc_id, c.page, c.seq, min_by(uri, c.pos) uri FROM c JOIN m ON {on("c", "m")} AND c.pos = m.pos WHERE lh <= 1.8 * typical GROUP BY 1, 2, 3)
+  SELECT it.doc_id, it.page, it.seq, f.uri FROM it LEFT JOIN f ON {on("it", "f")} AND it.seq = f.seq""")
+def link_assign(spark, d):
+    return J.assign_links(items(spark, d), D.derived(spark, d, "links")).select(*KEYS, "uri")
 
 
-def _v(values: str) -> str:
-    return values.replace("0D", "0::DOUBLE").replace("5D", "5::DOUBLE").replace("8D", "8::DOUBLE")
+@query(f"""{D.sql("segments")} SELECT DISTINCT it.doc_id, it.page, it.seq FROM it JOIN segments s ON {on("it", "s")} WHERE thickness <= 2 AND sy >= y + 0.2 * height AND sy <= y + 0.65 * height
+  AND greatest(0, least(x + width, x2) - greatest(x, x1)) >= 0.6 * width AND trim(text, ' ') <> '' AND NOT coalesce(math, false)""")
+def strike_assign(spark, d):
+    return J.struck(items(spark, d), D.derived(spark, d, "segments")).select(*KEYS)
 
 
-_B = f"b AS (SELECT * FROM (VALUES {_v(_BOXES)}) t(page, seq, text, x, y, width, height))"
-_S = f"s AS (SELECT * FROM (VALUES {_v(_SEGMENTS)}) t(page, pos, x1, x2, sy, thickness))"
-_R = f"r AS (SELECT * FROM (VALUES {_v(_RESULTS)}) t(page, seq, text, x, y, width, height))"
+_UNION = "SELECT {k}, sum(greatest(0, e - greatest(a, coalesce(upto, -1e18)))) AS length FROM (SELECT *, max(e) OVER (PARTITION BY {k} ORDER BY a, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) upto FROM m) GROUP BY {k}"
 
 
-@query(f"""WITH {_B}, l AS (SELECT * FROM (VALUES {_v(_LINKS)}) t(page, pos, "left", top, "right", bottom, uri)),
-  c AS (SELECT b.page, b.seq, b.height, l.pos, l.uri, l.bottom - l.top lh FROM b JOIN l ON b.page = l.page AND b.x + b.width / 2 BETWEEN l."left" AND l."right" AND b.y + b.height / 2 BETWEEN l.top AND l.bottom),
-  m AS (SELECT page, pos, (list_sort(list(height)))[CAST(floor(count(*) / 2) AS BIGINT) + 1] typical FROM c GROUP BY 1, 2),
-  f AS (SELECT c.page, c.seq, min_by(uri, c.pos) uri FROM c JOIN m ON c.page = m.page AND c.pos = m.pos WHERE lh <= 1.8 * typical GROUP BY 1, 2)
-  SELECT b.page, b.seq, f.uri FROM b LEFT JOIN f ON b.page = f.page AND b.seq = f.seq""")
-def link_assign(spark, d):
-    links = fixture(spark, _LINKS, ["page", "pos", "left", "top", "right", "bottom", "uri"])
-    return J.assign_links(fixture(spark, _BOXES, _BOX_COLUMNS), links).select("page", "seq", "uri")
+@query(f"""{D.sql("segments")}, m AS (SELECT it.doc_id, it.page, it.seq, it.width, s.pos, x1, x2, greatest(x, x1) a, least(x + width, x2) e FROM it JOIN segments s ON {on("it", "s")}
+  WHERE x2 - x1 >= 2 AND x2 - x1 > 4 * thickness AND sy >= y + 0.8 * height AND sy <= y + height + greatest(0.25 * height, 2) AND least(x + width, x2) > greatest(x, x1) AND ((coalesce(rotation, 0) % 360) + 360) % 360 < 1),
+  c AS ({_UNION.format(k="doc_id, page, pos, x1, x2")}) SELECT DISTINCT m.doc_id, m.page, m.seq FROM m JOIN c ON {on("m", "c")} AND m.pos = c.pos WHERE length >= 0.7 * (c.x2 - c.x1) AND e - a >= 0.5 * width""")
+def underline_assign(spark, d):
+    return J.underlined(items(spark, d), D.derived(spark, d, "segments")).select(*KEYS)
 
 
-@query(f"""WITH {_B}, {_S} SELECT DISTINCT b.page, b.seq FROM b JOIN s ON b.page = s.page WHERE thickness <= 2 AND sy >= y + 0.2 * height AND sy <= y + 0.65 * height
-  AND greatest(0, least(x + width, x2) - greatest(x, x1)) >= 0.6 * width AND trim(text) <> ''""")
-def strike_assign(spark, d):
-    return J.struck(fixture(spark, _BOXES, _BOX_COLUMNS), fixture(spark, _SEGMENTS, ["page", "pos", "x1", "x2", "sy", "thickness"])).select("page", "seq")
+def _recognised(spark, d):
+    return D.derived(spark, d, "recognised"), D.derived(spark, d, "native")
 
 
-@query(f"""WITH {_B}, {_S}, m AS (SELECT b.page, b.seq, b.width, s.pos, x1, x2, greatest(x, x1) a, least(x + width, x2) e FROM b JOIN s ON b.page = s.page
-  WHERE x2 - x1 >= 2 AND x2 - x1 > 4 * thickness AND sy >= y + 0.8 * height AND sy <= y + height + greatest(0.25 * height, 2) AND least(x + width, x2) > greatest(x, x1)),
-  c AS (SELECT page, pos FROM m GROUP BY page, pos, x1, x2 HAVING sum(e - a) >= 0.7 * (x2 - x1)) SELECT DISTINCT m.page, m.seq FROM m JOIN c ON m.page = c.page AND m.pos = c.pos WHERE e - a >= 0.5 * width""")
-def underline_assign(spark, d):
-    return J.underlined(fixture(spark, _BOXES, _BOX_COLUMNS), fixture(spark, _SEGMENTS, ["page", "pos", "x1", "x2", "sy", "thickness"])).select("page", "seq")
+_RN = D.sql("recognised", "native")
 
 
-@query(f"""WITH {_B}, {_R} SELECT page, seq FROM r WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.page = r.page AND r.x + 2 < b.x + b.width AND r.x + r.width - 2 > b.x AND r.y + 2 < b.y + b.height AND r.y + r.height - 2 > b.y)""")
+@query(f"""{_RN} SELECT doc_id, page, seq FROM recognised r WHERE NOT EXISTS (SELECT 1 FROM native b WHERE {on("b", "r")} AND r.x < b.x + b.width + 2 AND r.x + r.width > b.x - 2 AND r.y < b.y + b.height + 2 AND r.y + r.height > b.y - 2)""")
 def ocr_anti_join(spark, d):
-    return J.without_native(fixture(spark, _RESULTS, _BOX_COLUMNS), fixture(spark, _BOXES, _BOX_COLUMNS)).select("page", "seq")
+    return J.without_native(*_recognised(spark, d)).select(*KEYS)
 
 
-@query(f"""WITH {_B}, {_R} SELECT r.page, r.seq, round(coalesce(sum(CASE WHEN abs((r.y + r.height / 2) - (b.y + b.height / 2)) < 0.5 * least(r.height, b.height) THEN greatest(0, least(r.x + r.width, b.x + b.width) - greatest(r.x, b.x)) END), 0) / r.width, 4) AS covered
-  FROM r LEFT JOIN b ON r.page = b.page GROUP BY r.page, r.seq, r.width""")
+@query(f"""{_RN}, m AS (SELECT r.doc_id, r.page, r.seq, greatest(r.x, b.x) a, least(r.x + r.width, b.x + b.width) e FROM recognised r JOIN native b ON {on("b", "r")}
+    WHERE least(r.y + r.height, b.y + b.height) - greatest(r.y, b.y) > 0.5 * least(r.height, b.height) AND least(r.x + r.width, b.x + b.width) > greatest(r.x, b.x)), c AS ({_UNION.format(k="doc_id, page, seq")})
+  SELECT r.doc_id, r.page, r.seq, CASE WHEN width <= 0 THEN 1.0 ELSE round(coalesce(length, 0) / width, 4) END AS covered FROM recognised r LEFT JOIN c ON {on("c", "r")} AND c.seq = r.seq""")
 def ocr_coverage(spark, d):
-    return J.width_covered(fixture(spark, _RESULTS, _BOX_COLUMNS), fixture(spark, _BOXES, _BOX_COLUMNS)).select("page", "seq", "covered")
+    return J.width_covered(*_recognised(spark, d)).select(*KEYS, "covered")
 
 
-_TRACKS = "(1, 1, 0.0D, 60.0D), (1, 2, 65.0D, 115.0D), (2, 1, 5.0D, 20.0D), (2, 2, 80.0D, 95.0D)"
+@query(f"""{_RN} SELECT b.doc_id, b.page, b.seq, r.seq AS area FROM native b JOIN recognised r ON {on("b", "r")} AND b.x + b.width / 2 BETWEEN r.x AND r.x + r.width AND b.y + b.height / 2 BETWEEN r.y AND r.y + r.height""")
+def centre_containment(spark, d):
+    found, native = _recognised(spark, d)
+    areas = found.select("doc_id", "page", F.col("seq").alias("area"), F.col("x").alias("ax"), F.col("y").alias("ay"), F.col("width").alias("aw"), F.col("height").alias("ah"))
+    return J.centred_in(native, areas).select(*KEYS, "area")
 
 
-@query(f"""WITH {_B}, t AS (SELECT * FROM (VALUES {_v(_TRACKS)}) t(page, track, lo, hi)), m AS (SELECT b.page, b.seq, track, CASE WHEN x + width / 2 >= lo AND x + width / 2 < hi THEN 0 WHEN abs(x - lo) <= 6 THEN 1 WHEN abs(x + width - hi) <= 6 THEN 2 END p,
-  CASE WHEN x + width / 2 >= lo AND x + width / 2 < hi THEN 0 WHEN abs(x - lo) <= 6 THEN abs(x - lo) ELSE abs(x + width - hi) END dist FROM b JOIN t ON b.page = t.page)
-  SELECT b.page, b.seq, (SELECT track FROM m WHERE m.page = b.page AND m.seq = b.seq AND p IS NOT NULL ORDER BY p, dist, track LIMIT 1) AS track FROM b""")
+@query(f"""{IT}, v AS (SELECT doc_id, page, x v, count(*) n FROM it WHERE x IS NOT NULL GROUP BY 1, 2, 3),
+  s AS (SELECT *, sum(st) OVER (PARTITION BY doc_id, page ORDER BY v) c FROM (SELECT *, CASE WHEN coalesce(v - lag(v) OVER (PARTITION BY doc_id, page ORDER BY v) > 6, true) THEN 1 ELSE 0 END st FROM v)),
+  k AS (SELECT doc_id, page, round(avg(v), 3) - 6.0 AS lo FROM s GROUP BY doc_id, page, c), t AS (SELECT *, row_number() OVER w AS track, coalesce(lead(lo) OVER w, 612.0) AS hi FROM k WINDOW w AS (PARTITION BY doc_id, page ORDER BY lo)),
+  m AS (SELECT it.doc_id, it.page, it.seq, track, CASE WHEN x + width / 2 >= lo AND x + width / 2 < hi THEN 0 WHEN abs(x - lo) <= 6 THEN 1 WHEN abs(x + width - hi) <= 6 THEN 2 END p,
+    CASE WHEN x + width / 2 >= lo AND x + width / 2 < hi THEN 0 WHEN abs(x - lo) <= 6 THEN abs(x - lo) ELSE abs(x + width - hi) END dist FROM it JOIN t ON {on("it", "t")}),
+  b AS (SELECT doc_id, page, seq, min_by(track, (p, dist, track)) AS track FROM m WHERE p IS NOT NULL GROUP BY 1, 2, 3)
+  SELECT it.doc_id, it.page, it.seq, CAST(b.track AS INT) AS track FROM it LEFT JOIN b ON {on("it", "b")} AND it.seq = b.seq""")
 def cell_tracks(spark, d):
-    return J.nearest_track(fixture(spark, _BOXES, _BOX_COLUMNS), fixture(spark, _TRACKS, ["page", "track", "lo", "hi"])).select("page", "seq", "track")
+    """Tracks of a page reach from each cluster of item starts to the next, the last one to the right edge."""
+    own = written(items(spark, d).select(*KEYS, "x", "width"))
+    w = Window.partitionBy("doc_id", "page").orderBy("center")
+    lo = F.col("center") - 6.0
+    tracks = L.cluster_positions(own, "x", 6.0).select("doc_id", "page", F.row_number().over(w).alias("track"), lo.alias("lo"), F.coalesce(F.lead(lo).over(w), F.lit(612.0)).alias("hi"))
+    return J.nearest_track(own, tracks).select(*KEYS, "track")
+
 
+@query(f"""{D.sql("horizontals", "verticals")}, p AS (SELECT *, lead(y) OVER w y2, lead(x1) OVER w n1, lead(x2) OVER w n2 FROM horizontals WINDOW w AS (PARTITION BY doc_id, page ORDER BY y, x1)),
+  b AS (SELECT doc_id, page, y AS top, y2 AS bottom, greatest(x1, n1) b1, least(x2, n2) b2 FROM p WHERE y2 - y BETWEEN 10 AND 396 AND greatest(0, least(x2, n2) - greatest(x1, n1)) >= 0.6 * least(x2 - x1, n2 - n1))
+  SELECT doc_id, page, top, bottom FROM b WHERE NOT EXISTS (SELECT 1 FROM verticals v WHERE {on("v", "b")} AND vx BETWEEN b1 AND b2 AND v1 < bottom AND v2 > top)""")
+def rule_bands(spark, d):
+    return J.rule_bands(D.derived(spark, d, "horizontals"), D.derived(spark, d, "verticals"))
 
-_RULES = "(1, 100.0D, 50.0D, 500.0D), (1, 130.0D, 50.0D, 480.0D), (1, 135.0D, 50.0D, 480.0D), (1, 700.0D, 60.0D, 500.0D), (2, 50.0D, 0.0D, 100.0D), (2, 90.0D, 80.0D, 300.0D)"
 
+_REACH = """ r AS (SELECT doc_id, page, seq, seq AS other FROM nodes UNION SELECT r.doc_id, r.page, r.seq, e.b FROM r JOIN e ON e.doc_id = r.doc_id AND e.page = r.page AND e.a = r.other)"""
 
-@query(f"""WITH r AS (SELECT * FROM (VALUES {_v(_RULES)}) t(page, y, x1, x2)), p AS (SELECT *, lead(y) OVER w y2, lead(x1) OVER w n1, lead(x2) OVER w n2 FROM r WINDOW w AS (PARTITION BY page ORDER BY y, x1))
-  SELECT page, y AS top, y2 AS bottom FROM p WHERE y2 - y BETWEEN 10 AND 396 AND greatest(0, least(x2, n2) - greatest(x1, n1)) >= 0.6 * least(x2 - x1, n2 - n1)""")
-def rule_bands(spark, d):
-    return J.rule_bands(fixture(spark, _RULES, ["page", "y", "x1", "x2"]))
 
+@query(f"""{D.sql("horizontals", "verticals").replace("WITH", "WITH RECURSIVE", 1)}, e0 AS (SELECT h.doc_id, h.page, h.rule * 2 a, v.rule * 2 + 1 b FROM horizontals h JOIN verticals v ON {on("h", "v")} AND vx BETWEEN x1 - 3 AND x2 + 3 AND h.y BETWEEN v1 - 3 AND v2 + 3),
+  e AS (SELECT doc_id, page, a, b FROM e0 UNION SELECT doc_id, page, b, a FROM e0), nodes AS (SELECT doc_id, page, rule * 2 AS seq FROM horizontals UNION SELECT doc_id, page, rule * 2 + 1 FROM verticals),{_REACH}
+  SELECT doc_id, page, CASE WHEN seq % 2 = 0 THEN 'h' ELSE 'v' END AS axis, CAST(floor(seq / 2) AS INT) AS rule, min(other) AS component FROM r GROUP BY doc_id, page, seq""")
+def rule_grids(spark, d):
+    return J.rule_grids(D.derived(spark, d, "horizontals"), D.derived(spark, d, "verticals"))
 
-_EDGES = "(1, 2), (2, 3), (5, 6), (8, 9), (9, 10), (10, 8), (3, 11)"
-_NODES = "(1), (2), (3), (4), (5), (6), (8), (9), (10), (11)"
 
+_EDGE = "greatest(a.x - (b.x + b.width), b.x - (a.x + a.width)) <= 10 AND greatest(a.y - (b.y + b.height), b.y - (a.y + a.height)) <= 10"
 
-@query("SELECT * FROM (VALUES (1, 1), (2, 1), (3, 1), (4, 4), (5, 5), (6, 5), (8, 8), (9, 8), (10, 8), (11, 1)) t(node, label)")
+
+@query(f"""{D.sql("shapes").replace("WITH", "WITH RECURSIVE", 1)}, nodes AS (SELECT * FROM shapes WHERE x IS NOT NULL AND y IS NOT NULL), e AS (SELECT a.doc_id, a.page, a.seq a, b.seq b FROM nodes a JOIN nodes b ON {on("a", "b")} AND a.seq <> b.seq AND {_EDGE}),{_REACH}
+  SELECT doc_id, page, seq, min(other) AS component FROM r GROUP BY doc_id, page, seq""")
 def figure_components(spark, d):
-    return J.components(fixture(spark, _NODES, ["node"]), fixture(spark, _EDGES, ["a", "b"]))
+    own = D.derived(spark, d, "shapes").filter("x IS NOT NULL AND y IS NOT NULL")
+    edges = J.pairs(own, J.native_boxes(own), J.box(), J.box(*J.OTHER), 10.0).filter("seq < n_seq").select(*KEYS, "n_seq")
+    return J.page_components(own, edges)
+
+
+@query()
+def figure_clusters(spark, d):
+    return J.figure_clusters(D.derived(spark, d, "shapes"), items(spark, d).filter("seq % 4 = 1"))
+
+
+@query(f"""{D.sql("shapes")}, f AS (SELECT doc_id, page, seq AS figure, x fx, y fy, width fw, height * 2 fh FROM shapes) SELECT DISTINCT it.doc_id, it.page, it.seq FROM it JOIN f ON {on("it", "f")}
+  WHERE greatest(0, least(x + width, fx + fw) - greatest(x, fx)) * greatest(0, least(y + height, fy + fh) - greatest(y, fy)) >= 0.5 * width * height AND width * height > 0 AND fh >= 3 * height""")
+def lines_in_figures(spark, d):
+    figures = D.derived(spark, d, "shapes").select("doc_id", "page", F.col("seq").alias("figure"), F.col("x").alias("fx"), F.col("y").alias("fy"), F.col("width").alias("fw"), (F.col("height") * 2).alias("fh"))
+    return J.lines_in_figures(items(spark, d), figures).select(*KEYS)
+
+
+@query(f"""{D.sql("paths")}, c AS (SELECT p.doc_id, p.page, p.path, sum(greatest(0, least(px + pw, x + width) - greatest(px, x)) * greatest(0, least(py + ph, y + height) - greatest(py, y))) o FROM paths p JOIN it ON {on("p", "it")}
+    WHERE px <= x + greatest(width, 0) AND px + pw >= x AND py <= y + greatest(height, 0) AND py + ph >= y GROUP BY 1, 2, 3)
+  SELECT p.doc_id, p.page, round(sum(greatest(0, pw * ph - coalesce(o, 0))), 3) AS uncovered FROM paths p LEFT JOIN c ON {on("p", "c")} AND p.path = c.path WHERE pw * ph > 0 GROUP BY 1, 2""")
+def uncovered_vector_area(spark, d):
+    return J.uncovered_area(D.derived(spark, d, "paths"), items(spark, d))
+
+
+@query("""WITH RECURSIVE n AS (SELECT DISTINCT doc_id node FROM documents WHERE doc_id IS NOT NULL), e0 AS (SELECT a.node a, b.node b FROM n a JOIN n b ON b.node = a.node + 7 WHERE a.node % 5 <> 0),
+  e AS (SELECT a, b FROM e0 UNION SELECT b, a FROM e0), r AS (SELECT node, node other FROM n UNION SELECT r.node, e.b FROM r JOIN e ON e.a = r.other) SELECT node, min(other) AS label FROM r GROUP BY node""")
+def graph_components(spark, d):
+    """Chains of documents whose numbers differ by seven, broken at each multiple of five."""
+    nodes = table(spark, d, "documents").filter("doc_id IS NOT NULL").select(F.col("doc_id").alias("node")).distinct()
+    later = nodes.select(F.col("node").alias("b"), (F.col("node") - 7).alias("a"))
+    return J.components(nodes, nodes.select(F.col("node").alias("a")).filter("a % 5 <> 0").join(later, "a"))
 
 
 @query("""SELECT doc_id, 1 AS page, doc_id AS seq, CASE WHEN doc_id <> f THEN '1/' || f END AS duplicate_of FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY source, text) f FROM documents WHERE text IS NOT NULL)""")
@@ -143,33 +195,32 @@ def qa_rollup(spark, d):
     return E.pass_rates(table(spark, d, "qa_eval_results").select("eval_id", "provider", "total_questions", "llm_judge_pass_rate").distinct(), "provider")
 
 
-@query(f"""WITH r AS (SELECT DISTINCT eval_id, file, provider, {_LAT} v FROM qa_eval_results WHERE file IS NOT NULL AND provider IS NOT NULL),
-  u AS (SELECT file, provider, v FROM r UNION ALL SELECT 'TOTAL', provider, v FROM r)
-  SELECT * FROM (PIVOT u ON provider USING round(avg(v), 9) GROUP BY file)""")
+@query(f"""WITH r AS (SELECT DISTINCT eval_id, file, provider, {_LAT} v FROM qa_eval_results WHERE file IS NOT NULL AND provider IS NOT NULL)
+  SELECT file, provider, count(*) AS runs, round(avg(v), 9) AS mean FROM (SELECT file, provider, v FROM r UNION ALL SELECT 'TOTAL', provider, v FROM r UNION ALL SELECT file, 'AVG', v FROM r UNION ALL SELECT 'TOTAL', 'AVG', v FROM r) GROUP BY 1, 2""")
 def provider_pivot(spark, d):
-    """The columns are the providers of the data, a list that is read first and must stay below a thousand."""
-    runs = table(spark, d, "qa_eval_results").select("eval_id", "file", "provider", "parse_latency_seconds").filter("provider IS NOT NULL").distinct()
-    providers = sorted(r.provider for r in runs.select("provider").distinct().limit(1001).collect())
-    if len(providers) > 1000:
-        raise ValueError("too many providers for one table")
-    return E.provider_table(runs, "file", "provider", "parse_latency_seconds", providers)
+    """Files by providers with totals on both sides, one row for each cell: no list of providers is needed beforehand."""
+    runs = table(spark, d, "qa_eval_results").select("eval_id", "file", "provider", "parse_latency_seconds").distinct()
+    return E.provider_cells(runs, "file", "provider", "parse_latency_seconds")
 
 
-_OUTCOMES = "(1, 1, 'timeout', true), (1, 2, 'refused', false), (2, 1, NULL, true), (2, 2, 'timeout', true), (3, 1, 'bad image', false), (4, 2, 'late', true), (4, 1, 'early', false)"
+_OUT = "o AS (SELECT DISTINCT doc_id, seq, CASE WHEN seq % 2 = 0 OR doc_id % 3 = 0 THEN concat('late ', CAST(seq AS VARCHAR(20))) END AS error, page % 2 = 1 AS sparse FROM text_items)"
 
 
-@query(f"""SELECT doc_id, count(*) AS tasks, count(error) AS failed, count(error) = count(*) AND bool_or(error IS NOT NULL AND sparse) AS fatal,
-  CASE WHEN count(error) = count(*) AND bool_or(error IS NOT NULL AND sparse) THEN min_by(error, CASE WHEN error IS NOT NULL THEN seq END) END AS message FROM (VALUES {_OUTCOMES}) t(doc_id, seq, error, sparse) GROUP BY doc_id""")
+@query(f"""WITH {_OUT} SELECT doc_id, count(*) AS tasks, count(error) AS failed, count(error) = count(*) AND bool_or(error IS NOT NULL AND sparse) AS fatal,
+  CASE WHEN count(error) = count(*) AND bool_or(error IS NOT NULL AND sparse) THEN min(CASE WHEN error IS NOT NULL THEN (seq, error) END)[2] END AS message FROM o GROUP BY doc_id""")
 def ocr_failure_policy(spark, d):
-    return E.recognition_failures(fixture(spark, _OUTCOMES, ["doc_id", "seq", "error", "sparse"]))
+    outcomes = spark.sql(f"WITH {_OUT.replace('FROM text_items', 'FROM {text_items}')} SELECT * FROM o", text_items=table(spark, d, "text_items"))
+    return E.recognition_failures(outcomes)
 
 
-_BODIES = """(1, '{"results": [{"text": "a", "confidence": 0.9, "bbox": [0, 1, 2, 3]}, {"text": "b", "confidence": 0.05, "bbox": []}]}'), (2, '{"lines": [{"text": "c", "confidence": 0.5, "bbox": [1, 1, 4, 4]}]}'), (3, 'broken'), (4, '{}')"""
-
-
-@query("SELECT * FROM (VALUES (1, 'a', 0.9::DOUBLE, [0.0::DOUBLE, 1.0, 2.0, 3.0]), (2, 'c', 0.5, [1.0, 1.0, 4.0, 4.0])) t(id, text, confidence, bbox)")
+@query(f"""{D.sql("recognised")} SELECT seq % 2 AS shape, doc_id, page, seq, text, confidence, [x, y, x + width, y + height] AS bbox FROM recognised WHERE confidence > 0.1 AND text IS NOT NULL""")
 def ocr_responses(spark, d):
-    return E.parse_recognition(fixture(spark, _BODIES, ["id", "body"]))
+    """Boxes written as the bodies of both response shapes of a recognition service, and read again."""
+    found = D.derived(spark, d, "recognised").filter("text IS NOT NULL")
+    one = F.struct("text", "confidence", F.array("x", "y", F.col("x") + F.col("width"), F.col("y") + F.col("height")).alias("bbox"))
+    body = F.when(F.col("seq") % 2 == 0, F.to_json(F.struct(F.array(one).alias("results")))).otherwise(F.to_json(F.struct(F.array(one).alias("lines"))))
+    keyed = found.select(F.struct((F.col("seq") % 2).alias("shape"), *KEYS).alias("id"), body.alias("body"))
+    return E.parse_recognition(keyed).select("id.*", "text", "confidence", "bbox")
 
 
 @query("""WITH t AS (SELECT DISTINCT regexp_replace(regexp_extract(file, '([^/]+)$', 1), '\\.[^.]+$', '') stem FROM qa_pairs)
@@ -190,67 +241,37 @@ def json_round_trip(spark, d):
     return rows.select("doc_id", "page", "seq", "j.text", "j.confidence", "j.x")
 
 
-_BLOCKS = "(1, 1, 1, 'rule', '', NULL, NULL), (1, 1, 2, 'heading', 'A *bold* start', 2, NULL), (1, 1, 3, 'list', 'one', 0, '-'), (1, 1, 4, 'list', 'two', 1, '1.'), (1, 1, 5, 'rule', '', NULL, NULL), (1, 1, 6, 'rule', '', NULL, NULL), (1, 1, 7, 'paragraph', 'snake_case and _lead', NULL, NULL), (1, 1, 8, 'rule', '', NULL, NULL), (2, 1, 1, 'code', 'x = 1', NULL, NULL)"
-
-
-@query(r"""SELECT * FROM (VALUES (1, 1, '## A \*bold\* start' || chr(10) || chr(10) || '- one' || chr(10) || '  1. two' || chr(10) || chr(10) || '---' || chr(10) || chr(10) || 'snake_case and \_lead'),
-  (2, 1, '```' || chr(10) || 'x = 1' || chr(10) || '```')) t(doc_id, page, markdown)""")
-def markdown_render(spark, d):
-    return R.markdown_pages(fixture(spark, _BLOCKS, ["doc_id", "page", "block", "kind", "text", "level", "marker"]))
-
-
-@query("""SELECT 1 AS "table", '| Name | Rain |' || chr(10) || '| --- | --- |' || chr(10) || '| a\\|b | 12 |' AS markdown""")
-def table_render(spark, d):
-    return R.pipe_table(fixture(spark, "(1, 1, 1, 'Name'), (1, 1, 2, 'Rain'), (1, 2, 1, 'a|b'), (1, 2, 2, '12')", ["table", "row", "col", "text"]))
+_M = "(1.0 + seq % 5) AS a, 0.5 * (seq % 3) AS b, 0.25 * (page % 4) AS c, 2.0 + page % 3 AS d"
+_HALF, _DET = "(a * a + b * b + c * c + d * d) / 2", "(a * d - b * c)"
 
 
-@query("""SELECT * FROM (VALUES (1.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, 1.0::DOUBLE, 1.0::DOUBLE), (2, 0, 0, 3, 3), (0, 2, -2, 0, 2), (3, 4, 0, 0, 5)) t(a, b, c, d, scale)""")
+@query(f"""{IT}, m AS (SELECT DISTINCT {_M} FROM it), n AS (SELECT CAST(a AS DOUBLE) a, CAST(b AS DOUBLE) b, CAST(c AS DOUBLE) c, CAST(d AS DOUBLE) d FROM m)
+  SELECT a, b, c, d, round(sqrt({_HALF} + sqrt(greatest(0, {_HALF} * {_HALF} - {_DET} * {_DET}))), 6) AS scale FROM n""")
 def matrix_scales(spark, d):
-    m = fixture(spark, "(1.0D, 0.0D, 0.0D, 1.0D), (2.0D, 0.0D, 0.0D, 3.0D), (0.0D, 2.0D, -2.0D, 0.0D), (3.0D, 4.0D, 0.0D, 0.0D)", ["a", "b", "c", "d"])
+    m = items(spark, d).selectExpr(*_M.split(", ")).selectExpr(*[f"CAST({c} AS DOUBLE) {c}" for c in "abcd"]).distinct()
     return m.withColumn("scale", F.round(G.matrix_scale(*[F.col(c) for c in "abcd"]), 6))
 
 
-@query("""SELECT * FROM (VALUES ('costs $5 to $10 a*b', 'costs $5 to $10 a\\*b', ''), ('snake_case and x_1', 'snake_case and x_1', ''), ('_lead and trail_', '\\_lead and trail\\_', ''),
-  ('def f(self): print(self.x)', 'def f(self): print(self.x)', 'python'), ('#include <x> int main() { std::cout; }', '#include <x> int main() { std::cout; }', 'cpp')) t(line, escaped, lang)""")
-def inline_markdown(spark, d):
-    v = "('costs $5 to $10 a*b'), ('snake_case and x_1'), ('_lead and trail_'), ('def f(self): print(self.x)'), ('#include <x> int main() { std::cout; }')"
-    return fixture(spark, v, ["line"]).select("line", T.escape_markdown(F.col("line")).alias("escaped"), T.code_language(F.col("line")).alias("lang"))
+_SIGNS = {k: "(" + " + ".join(f"CAST(contains(text, '{w}') AS INT)" for w in own) + ")" for k, own in {"json": ('{"', '":', "[{"), "cpp": ("#include", "std::", "int main", "->"), "python": ("def ", "import ", "self.", "print(")}.items()}
 
 
-def _recognised(spark, d):
-    """Items with and without a confidence: what was recognised, and what the file itself holds."""
-    own = items(spark, d)
-    return own.filter("confidence IS NOT NULL"), own.filter("confidence IS NULL")
+_STARRED = r"regexp_replace(text, '([*\\])', '\\\1', 'g')"
+_INSIDE = r"regexp_replace({}, '([A-Za-z0-9])_([A-Za-z0-9])', '\1' || chr(2) || '\2', 'g')"
+_MARKED = f"replace(replace({_INSIDE.format(_INSIDE.format(_STARRED))}, '_', chr(1)), chr(2), '_')"
+_JSON, _CPP, _PYTHON = _SIGNS["json"], _SIGNS["cpp"], _SIGNS["python"]
 
 
-@query()
-def ocr_anti_join_whole(spark, d):
-    return J.without_native(*_recognised(spark, d)).select("doc_id", "page", "seq")
-
-
-@query()
-def ocr_coverage_whole(spark, d):
-    return J.width_covered(*_recognised(spark, d)).select("doc_id", "page", "seq", "covered")
-
-
-@query()
-def cell_tracks_whole(spark, d):
-    """Tracks of a page reach from each cluster of item starts to the next, the last one to the right edge."""
-    own = written(items(spark, d).select("doc_id", "page", "seq", "x", "width"))
-    w = Window.partitionBy("doc_id", "page").orderBy("center")
-    lo = F.col("center") - 6.0
-    tracks = L.cluster_positions(own, "x", 6.0).select("doc_id", "page", F.row_number().over(w).alias("track"), lo.alias("lo"), F.coalesce(F.lead(lo).over(w), F.lit(612.0)).alias("hi"))
-    return J.nearest_track(own, tracks).select("doc_id", "page", "seq", "track")
-
-
-@query()
-def inline_markdown_whole(spark, d):
+@query(f"""{IT} SELECT doc_id, page, seq, {_MARKED} AS marked, CASE WHEN {_JSON} >= 2 AND {_JSON} >= {_CPP} AND {_JSON} >= {_PYTHON} THEN 'json' WHEN {_CPP} >= 2 AND {_CPP} >= {_PYTHON} THEN 'cpp'
+  WHEN {_PYTHON} >= 2 THEN 'python' ELSE '' END AS lang FROM it WHERE text IS NOT NULL""")
+def inline_markdown(spark, d):
+    """Escaped underscores are shown as U+0001, as the checking engine has no pattern that looks behind."""
     c = F.col("text")
-    return items(spark, d).filter(c.isNotNull()).select("doc_id", "page", "seq", T.escape_markdown(c).alias("escaped"), T.code_language(c).alias("lang"))
+    marked = F.regexp_replace(T.escape_markdown(c), r"\_", "")
+    return items(spark, d).filter(c.isNotNull()).select(*KEYS, marked.alias("marked"), T.code_language(c).alias("lang"))
 
 
 @query()
-def markdown_render_whole(spark, d):
+def markdown_render(spark, d):
     """Pages of the blocks that classify_blocks makes; a heading has the level of its font size in the document."""
     own = items(spark, d).withColumn("font_size", F.nanvl("font_size", F.lit(None)))
     own = written(own.select("doc_id", "page", "seq", "text", "rotation", "font_name", "font_size"))
@@ -264,7 +285,7 @@ def markdown_render_whole(spark, d):
 
 
 @query()
-def table_render_whole(spark, d):
+def table_render(spark, d):
     """Each page as one table of its rows, those of a single cell too."""
     own = items(spark, d).withColumn("font_size", F.nanvl("font_size", F.lit(None)))
     return R.pipe_table(R.row_cells(L.split_cells(own)), ["doc_id", "page"])

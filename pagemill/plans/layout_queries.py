@@ -8,8 +8,9 @@ from pagemill.functions import geometry as G
 from pagemill.functions import text as T
 from pagemill.operators import layout as L
 from pagemill.operators import triage as R
+from pagemill.plans import derived as D
 from pagemill.plans import sql as S
-from pagemill.sources.tables import document_lines, fixture, input_kind, items
+from pagemill.sources.tables import EXTENSIONS, document_lines, input_kind, items
 from pagemill.runtime import table
 
 QUERIES, SQL = {}, {}
@@ -106,9 +107,6 @@ def dehyphenated_pairs(spark, d):
     return lines.select("doc_id", "page", "seq", T.dehyphenate_join(F.col("text"), F.col("r")).alias("joined"))
 
 
-_MARKERS = "('• item one'),('– We pioneer'),('-5'),('-foo'),('2023 was a year'),('1.5x growth'),('12) twelve'),('3. three'),('Chapter 4 Methods'),('2.1.3 Scope'),('Figure 12: Rain'),('Introduction ..... 17'),('Sec 9 x')"
-
-
 def _sql_line_shapes(source: str, column: str) -> str:
     bullet, numbered = r"^\s*([•◦▪‣∙·*–-])\s+(\S.*)$", r"^\s*([0-9]{1,3}[.)])\s+(\S.*)$"
     toc = r"^(.*[^0-9\s].*?)[\s.]*\s([0-9]{1,4})$"
@@ -124,46 +122,29 @@ def _shapes(df, column):
     return df.select(c.alias("line"), T.list_marker(c).alias("marker"), T.list_body(c).alias("body"), T.section_number(c).alias("section"), T.is_caption(c).alias("caption"), T.toc_page(c).alias("toc_page"))
 
 
-@query(_sql_line_shapes(f"(VALUES {_MARKERS}) t(line)", "line"))
-def line_shapes(spark, d):
-    return _shapes(fixture(spark, _MARKERS, ["line"]), "line")
+_LINES = "l AS (SELECT DISTINCT unnest(string_split_regex(text, '\r\n|\r|\n')) AS line FROM documents WHERE text IS NOT NULL)"
 
 
-@query(f"{LN} " + _sql_line_shapes("(SELECT DISTINCT line FROM ln WHERE line NOT LIKE '%' || chr(13) || '%' AND length(line) < 120) u", "line"))
+@query(f"WITH {_LINES} " + _sql_line_shapes("l", "line"))
 def document_line_shapes(spark, d):
-    lines = document_lines(spark, d).filter(~F.contains("line", F.lit("\r")) & (F.char_length("line") < 120)).select("line").distinct()
-    return _shapes(lines, "line")
-
-
-@query()
-def document_line_shapes_whole(spark, d):
-    """Every line of the documents, of any length and with any line end; document_line_shapes is the part that its SQL states."""
+    """Every line of the documents, of any length and with any line end."""
     return _shapes(document_lines(spark, d, r"\r\n|\r|\n").select("line").distinct(), "line")
 
 
-_CELLS = "('44520]'),('|123'),('(note)'),('|hello|'),('(78,939)|'),('78,939)'),('|||'),('12%'),('p. 4'),('(3.1)'),('Total:'),('---'),('==='),('•'),('N/A|')"
-
-
-@query(f"""SELECT cell, CASE WHEN regexp_matches(core, '^[0-9,.% +*/-]*[0-9][0-9,.% +*/-]*$|^N/A$|^Z$|^-$') THEN CASE WHEN o LIKE '(%' AND o LIKE '%)' THEN '(' || core || ')' ELSE core END ELSE s END AS cleaned,
+@query(f"""{IT} SELECT doc_id, page, seq, CASE WHEN regexp_matches(core, '^[0-9,.% +*/-]*[0-9][0-9,.% +*/-]*$|^N/A$|^Z$|^-$') THEN CASE WHEN o LIKE '(%' AND o LIKE '%)' THEN '(' || core || ')' ELSE core END ELSE s END AS cleaned,
   CASE WHEN regexp_matches(s, '^[-+(]?[$€£]?[0-9][0-9.,]*%?\\)?$') THEN 'number' WHEN regexp_matches(s, '^(p|pp|page|S)\\.? ?[0-9]+$') THEN 'page-ref' WHEN regexp_matches(s, '^[•◦▪‣∙·*–-]$') THEN 'bullet'
     WHEN regexp_matches(s, '^\\([0-9]+(\\.[0-9]+)*\\)$') THEN 'equation' WHEN regexp_matches(s, ':$') THEN 'label' ELSE 'text' END AS shape,
   CASE WHEN regexp_matches(s, '^[-_=*~─━—–.•]+$') THEN CASE WHEN length(s) >= 3 THEN 'rule' ELSE 'drop' END END AS divider
-  FROM (SELECT cell, trim(cell) s, regexp_replace(regexp_replace(trim(cell), '^[|\\[\\]{{}}\\s]+', ''), '[|\\[\\]{{}}\\s]+$', '') o,
-    regexp_replace(regexp_replace(regexp_replace(regexp_replace(trim(cell), '^[|\\[\\]{{}}\\s]+', ''), '[|\\[\\]{{}}\\s]+$', ''), '^[|\\[\\](){{}}\\s]+', ''), '[|\\[\\](){{}}\\s]+$', '') core FROM (VALUES {_CELLS}) t(cell))""")
+  FROM (SELECT doc_id, page, seq, cell, trim(cell, ' ') s, regexp_replace(regexp_replace(trim(cell, ' '), '^[|\\[\\]{{}}\\s]+', ''), '[|\\[\\]{{}}\\s]+$', '') o,
+    regexp_replace(regexp_replace(regexp_replace(regexp_replace(trim(cell, ' '), '^[|\\[\\]{{}}\\s]+', ''), '[|\\[\\]{{}}\\s]+$', ''), '^[|\\[\\](){{}}\\s]+', ''), '[|\\[\\](){{}}\\s]+$', '') core FROM (SELECT doc_id, page, seq, text AS cell FROM it WHERE text IS NOT NULL)) q""")
 def cell_cleanup(spark, d):
-    c = F.col("cell")
-    return fixture(spark, _CELLS, ["cell"]).select(c, T.clean_recognised(c).alias("cleaned"), T.value_shape(c).alias("shape"), T.divider_kind(c).alias("divider"))
-
-
-@query()
-def cell_cleanup_whole(spark, d):
     c = F.col("text")
     return items(spark, d).filter(c.isNotNull()).select("doc_id", "page", "seq", T.clean_recognised(c).alias("cleaned"), T.value_shape(c).alias("shape"), T.divider_kind(c).alias("divider"))
 
 
-@query("SELECT doc_id, length(regexp_replace(regexp_replace(text, '```[a-z]*|-----', '', 'g'), '\\s', '', 'g')) AS content_chars FROM documents WHERE text IS NOT NULL AND strpos(text, chr(11)) = 0")
+@query(r"SELECT doc_id, length(regexp_replace(regexp_replace(text, '```[a-z]*|-----', '', 'g'), '[\s\x{000B}]', '', 'g')) AS content_chars FROM documents WHERE text IS NOT NULL")
 def content_lengths(spark, d):
-    return table(spark, d, "documents").filter(F.col("text").isNotNull() & ~F.contains("text", F.lit("\x0b"))).select("doc_id", T.content_length(F.col("text")).alias("content_chars"))
+    return table(spark, d, "documents").filter(F.col("text").isNotNull()).select("doc_id", T.content_length(F.col("text")).alias("content_chars"))
 
 
 @query(f"""{IT} SELECT font_name, font_weight, font_flags, count(*) n, coalesce(font_weight, 0) >= 600 OR (coalesce(font_flags, 0) & 262144) <> 0 OR regexp_matches(lower(coalesce(font_name, '')), 'bold|black|heavy') AS bold,
@@ -174,13 +155,15 @@ def font_predicates(spark, d):
     return counted.select("*", T.font_style(F.col("font_name"), F.col("font_weight"), F.col("font_flags")).alias("s")).select("font_name", "font_weight", "font_flags", "n", "s.bold", "s.italic", "s.mono", "s.symbol", "s.subset")
 
 
-_SPECS = "('3'),('1,1,2'),(' 1 , 2 - 4 '),('2-2'),('5-3'),('abc'),('1-4294967295'),('1-60000,60001-120000'),('1-5,10,15-20')"
+_SPEC = "CASE doc_id % 7 WHEN 0 THEN concat(CAST(page_count + 1 AS VARCHAR(9)), '-2') WHEN 1 THEN 'x' WHEN 2 THEN '1-4294967295' WHEN 3 THEN concat(' 1 , ', CAST(page_count AS VARCHAR(9)), ' - ', CAST(page_count + 2 AS VARCHAR(9))) ELSE concat('3,1-', CAST(page_count AS VARCHAR(9)), ',2') END"
 
 
-@query("""SELECT * FROM (VALUES ('3', [3]), ('1,1,2', [1, 2]), (' 1 , 2 - 4 ', [1, 2, 3, 4]), ('2-2', [2]), ('5-3', NULL), ('abc', NULL), ('1-4294967295', NULL),
-  ('1-60000,60001-120000', NULL), ('1-5,10,15-20', [1, 2, 3, 4, 5, 10, 15, 16, 17, 18, 19, 20])) t(spec, pages)""")
+@query(f"""WITH s AS (SELECT doc_id, page_count n, {_SPEC} AS spec FROM documents WHERE page_count >= 1)
+  SELECT doc_id, spec, CASE WHEN doc_id % 7 IN (1, 2) THEN NULL WHEN doc_id % 7 = 0 THEN CASE WHEN n + 1 <= 2 THEN range(n + 1, 3) END WHEN doc_id % 7 = 3 THEN list_sort(list_distinct(list_concat([1::BIGINT], range(n, n + 3))))
+    ELSE list_sort(list_distinct(list_concat([3::BIGINT, 2::BIGINT], range(1, n + 1)))) END AS pages FROM s""")
 def page_selection(spark, d):
-    return L.target_pages(fixture(spark, _SPECS, ["spec"]))
+    specs = table(spark, d, "documents").filter("page_count >= 1").selectExpr("doc_id", f"{_SPEC} AS spec")
+    return L.target_pages(specs)
 
 
 @query(f"{IT}, p AS (SELECT DISTINCT doc_id, page FROM it) SELECT doc_id, page FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY page) r FROM p) WHERE r <= 3")
@@ -193,20 +176,14 @@ def crop_filter(spark, d):
     return L.crop(items(spark, d), 0.1, 0.1, 0.1, 0.1).select("doc_id", "page", "seq")
 
 
-@query(f"{IT} SELECT doc_id, page, seq FROM it WHERE abs(coalesce(rotation, 0) - round(coalesce(rotation, 0) / 90) * 90) <= 2")
+@query(f"{D.sql('it2')} SELECT doc_id, page, seq FROM it2 WHERE abs(coalesce(rotation, 0) - round(coalesce(rotation, 0) / 90) * 90) <= 2")
 def diagonal_filter(spark, d):
-    return L.drop_diagonal(items(spark, d)).select("doc_id", "page", "seq")
+    return L.drop_diagonal(D.derived(spark, d, "it2")).select("doc_id", "page", "seq")
 
 
-@query("""SELECT v AS rotation, CASE WHEN abs(((v % 360) + 360) % 360 - round((((v % 360) + 360) % 360) / 90) * 90) <= 2 THEN (round((((v % 360) + 360) % 360) / 90) * 90) % 360 ELSE ((v % 360) + 360) % 360 END AS canonical
-  FROM (VALUES (0.0::DOUBLE), (91.5), (-89.0), (359.0), (45.0), (-400.0), (720.5)) t(v)""")
+@query(f"""{D.sql('it2')}, p AS (SELECT *, ((rotation % 360) + 360) % 360 pm FROM it2) SELECT doc_id, page, seq, round(CASE WHEN abs(pm - round(pm / 90) * 90) <= 2 THEN (round(pm / 90) * 90) % 360 ELSE pm END, 6) AS canonical FROM p""")
 def rotations(spark, d):
-    return fixture(spark, "(0.0D),(91.5D),(-89.0D),(359.0D),(45.0D),(-400.0D),(720.5D)", ["rotation"]).select("rotation", G.canonical_rotation(F.col("rotation")).alias("canonical"))
-
-
-@query()
-def rotations_whole(spark, d):
-    return items(spark, d).select("doc_id", "page", "seq", "rotation", G.canonical_rotation(F.col("rotation")).alias("canonical"))
+    return D.derived(spark, d, "it2").select("doc_id", "page", "seq", F.round(G.canonical_rotation(F.col("rotation")), 6).alias("canonical"))
 
 
 _BODY = f"""{IT}, w AS (SELECT doc_id, CAST(round(font_size * 100) AS BIGINT) k, sum(greatest(length(text), 1)) w FROM it WHERE font_size IS NOT NULL AND NOT isnan(font_size) AND text IS NOT NULL GROUP BY 1, 2),
@@ -302,12 +279,20 @@ def line_modes(spark, d):
     return L.font_modes(_sized(spark, d))
 
 
-@query(rf"""{IT}, e AS (SELECT *, CAST(regexp_extract(text, '^(.*[^0-9\s].*?)[\s.]*\s([0-9]{{1,4}})$', 2) AS INTEGER) tgt FROM it WHERE regexp_matches(text, '^(.*[^0-9\s].*?)[\s.]*\s([0-9]{{1,4}})$')
-  AND length(regexp_replace(regexp_extract(text, '^(.*[^0-9\s].*?)[\s.]*\s([0-9]{{1,4}})$', 1), '[^\p{{L}}]', '', 'g')) >= 8),
-  f AS (SELECT *, CASE WHEN tgt >= lag(tgt) OVER (PARTITION BY doc_id, page ORDER BY seq) THEN 1.0 WHEN tgt < lag(tgt) OVER (PARTITION BY doc_id, page ORDER BY seq) THEN 0.0 END fw FROM e)
-  SELECT doc_id, page, count(*) AS entries, round(avg(fw), 4) AS forward_share FROM f GROUP BY 1, 2""")
+_TOC_SQL = r"""l AS (SELECT *, regexp_matches(text, '^(.*[^0-9\s].*?)[\s.]*\s([0-9]{1,4})$') AND length(regexp_replace(regexp_extract(text, '^(.*[^0-9\s].*?)[\s.]*\s([0-9]{1,4})$', 1), '[^\p{L}]', '', 'g')) >= 8 ar,
+    trim(text, ' ') tt FROM src WHERE text IS NOT NULL),
+  e AS (SELECT *, CASE WHEN ar THEN CAST(regexp_extract(text, '^(.*[^0-9\s].*?)[\s.]*\s([0-9]{1,4})$', 2) AS INTEGER) END tgt FROM l WHERE ar OR (regexp_matches(tt, '^(.*?)[\s.]*\s[\s.]*[ivxlcdmIVXLCDM]{2,6}$')
+    AND length(regexp_replace(regexp_extract(tt, '^(.*?)[\s.]*\s[\s.]*[ivxlcdmIVXLCDM]{2,6}$', 1), '[^\p{L}]', '', 'g')) >= 5)),
+  b AS (SELECT *, last_value(tgt IGNORE NULLS) OVER (PARTITION BY doc_id, page ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) pt FROM e),
+  f AS (SELECT doc_id, page, count(*) AS entries, count(tgt) AS arabic, avg(CASE WHEN tgt >= pt THEN 1.0 WHEN tgt < pt THEN 0.0 END) AS share FROM b GROUP BY 1, 2)"""
+_TOC_LINES = "src AS (SELECT doc_id, page, seq, CASE WHEN doc_id % 2 = 0 AND seq % 9 = 4 THEN concat(text, ' ... xiv') WHEN doc_id % 2 = 0 THEN concat(text, ' .... ', CAST(CASE WHEN seq % 6 = 0 THEN 3 ELSE seq + 5 END AS VARCHAR(9))) ELSE text END AS text FROM it)"
+
+
+@query(f"{IT}, {_TOC_LINES}, {_TOC_SQL} SELECT doc_id, page, entries, round(share, 4) AS forward_share FROM f WHERE entries >= 4 AND arabic >= 3 AND share >= 0.7")
 def toc_pages(spark, d):
-    return L.toc_pages(items(spark, d))
+    """Over items that have page numbers put behind them in every second document, as the data have no contents."""
+    source = spark.sql(f"{IT.replace('FROM text_items', 'FROM {text_items}')}, {_TOC_LINES} SELECT * FROM src", text_items=table(spark, d, "text_items"))
+    return L.toc_pages(source)
 
 
 @query(f"{IT} SELECT doc_id, page, seq, round(greatest(0, x - min(x) OVER (PARTITION BY doc_id, page)), 4) AS indent FROM it")
@@ -315,9 +300,17 @@ def leaf_indents(spark, d):
     return L.relative_indents(items(spark, d)).select("doc_id", "page", "seq", F.round("indent", 4).alias("indent"))
 
 
-@query("""SELECT CASE lower(regexp_extract(file_name, '\\.([^.\\\\/]+)$', 1)) WHEN 'pdf' THEN 'pdf' END AS kind, document_type, count(*) AS files FROM documents GROUP BY 1, 2""")
+_ENDINGS = [e for own in EXTENSIONS.values() for e in own]
+_KINDS = " ".join(f"WHEN e IN ({', '.join(repr(x) for x in own)}) THEN '{k}'" for k, own in EXTENSIONS.items())
+#: File names with every known ending, and some unknown ones, spread over the documents.
+_NAMES = f"concat(file_name, CASE WHEN doc_id % 3 = 0 THEN '' ELSE concat('.', element_at(array({', '.join(repr(e.upper() if i % 4 == 0 else e) for i, e in enumerate([*_ENDINGS, 'exe', 'zip']))}), CAST(1 + doc_id % {len(_ENDINGS) + 2} AS INT))) END)"
+_NAMES_SQL = _NAMES.replace("element_at(array(", "list_extract(list_value(")
+
+
+@query(f"""SELECT CASE {_KINDS} END AS kind, count(*) AS files FROM (SELECT lower(regexp_extract({_NAMES_SQL}, '\\.([^.\\\\/]+)$', 1)) e FROM documents WHERE file_name IS NOT NULL) GROUP BY 1""")
 def input_kinds(spark, d):
-    return table(spark, d, "documents").groupBy(input_kind("file_name").alias("kind"), "document_type").agg(F.count("*").alias("files"))
+    names = table(spark, d, "documents").filter("file_name IS NOT NULL").selectExpr(f"{_NAMES} AS name")
+    return names.groupBy(input_kind("name").alias("kind")).agg(F.count("*").alias("files"))
 
 
 @query("SELECT doc_id, CAST(unnest(range(1, page_count + 1)) AS INTEGER) AS page FROM documents WHERE page_count >= 1")

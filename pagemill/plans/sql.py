@@ -48,7 +48,7 @@ def chrome(c: str) -> str:
 #: Distinct items with double geometry.
 ITEMS = """it AS (SELECT DISTINCT doc_id, page, seq, text, CAST(x AS DOUBLE) x, CAST(y AS DOUBLE) y, CAST(width AS DOUBLE) width,
   CAST(height AS DOUBLE) height, CAST(rotation AS DOUBLE) rotation, font_name, CAST(font_size AS DOUBLE) font_size, font_weight, font_flags,
-  has_unicode_map_error, CAST(confidence AS DOUBLE) confidence, link, strike, underline, mcid FROM text_items)"""
+  has_unicode_map_error, CAST(confidence AS DOUBLE) confidence, link, strike, underline, mcid, math FROM text_items)"""
 #: Lines of the documents.
 LINES = """ln AS (SELECT doc_id, CAST(i AS INTEGER) line_no, l[i] AS line FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) i
   FROM (SELECT doc_id, string_split(text, chr(10)) l FROM documents WHERE text IS NOT NULL)))"""

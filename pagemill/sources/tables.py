@@ -2,21 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagemill.runtime import table
 
 _GEOMETRY = ("x", "y", "width", "height", "rotation", "font_size", "confidence")
-_KEPT = ("doc_id", "page", "seq", "text", "x", "y", "width", "height", "rotation", "font_name", "font_size", "font_weight", "font_flags", "has_unicode_map_error", "confidence", "link", "strike", "underline", "mcid")
+_KEPT = ("doc_id", "page", "seq", "text", "x", "y", "width", "height", "rotation", "font_name", "font_size", "font_weight", "font_flags", "has_unicode_map_error", "confidence", "link", "strike", "underline", "mcid", "math")
 
 
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Items of page text, repeated rows once."""
+    """Items of page text, repeated rows once.
+
+    They are brought together by page first: the comparison of rows, windows over a page and groups of it share that exchange.
+    """
     columns = [F.col(c).cast("double").alias(c) if c in _GEOMETRY else F.col(c) for c in _KEPT]
-    return table(spark, sf_dir, "text_items").select(*columns).distinct()
+    return table(spark, sf_dir, "text_items").select(*columns).repartition("doc_id", "page").distinct()
 
 
 def document_lines(spark: SparkSession, sf_dir: str, ends: str = "\n") -> DataFrame:
@@ -25,18 +26,13 @@ def document_lines(spark: SparkSession, sf_dir: str, ends: str = "\n") -> DataFr
     return docs.select("doc_id", F.posexplode(F.split("text", ends)).alias("at", "line")).select("doc_id", (F.col("at") + 1).alias("line_no"), "line")
 
 
-def fixture(spark: SparkSession, values: str, columns: Sequence[str]) -> DataFrame:
-    """A few rows written inline; `values` reads the same in the checking SQL."""
-    return spark.sql(f"SELECT * FROM VALUES {values} AS t({', '.join(columns)})")
-
-
 #: Extensions by kind of input.
 EXTENSIONS = {
-    "office": ("doc", "docx", "docm", "dot", "dotx", "odt", "ott", "rtf", "pages"),
-    "presentation": ("ppt", "pptx", "pptm", "odp", "key"),
-    "spreadsheet": ("xls", "xlsx", "xlsm", "ods", "csv", "tsv", "numbers"),
-    "image": ("jpg", "jpeg", "png", "gif", "bmp", "tif", "tiff", "webp", "svg"),
-    "text": ("txt", "md", "markdown", "json", "xml", "html", "htm", "log", "yaml", "yml"),
+    "office": ("doc", "docx", "docm", "dot", "dotm", "dotx", "odt", "ott", "rtf", "pages"),
+    "presentation": ("ppt", "pptx", "pptm", "pot", "potm", "potx", "odp", "otp", "key"),
+    "spreadsheet": ("xls", "xlsx", "xlsm", "xlsb", "ods", "ots", "csv", "tsv", "numbers"),
+    "image": ("jpg", "jpeg", "png", "gif", "bmp", "tiff", "tif", "webp", "svg"),
+    "text": ("txt", "md", "markdown", "log"),
     "pdf": ("pdf",),
 }
 
@@ -63,7 +59,31 @@ def sniff(content: str):
     return kind
 
 
-def scan_folder(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:
-    """Files of a folder and those below it: (path, content), read where they are needed."""
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-    return (reader.option("pathGlobFilter", pattern) if pattern else reader).load(path).select("path", "length", "content")
+#: What happens to an input of each kind: text has no pages to draw.
+ROUTES = {"pdf": "open", "office": "convert", "presentation": "convert", "spreadsheet": "convert", "image": "wrap", "text": "reject"}
+
+
+def resolve_inputs(files: DataFrame) -> DataFrame:
+    """Files (path, content) with `kind` and `route`: 'open', 'convert', 'wrap' (a picture becomes a page), 'reject' or 'unknown'.
+
+    The first bytes decide between a PDF and the rest; else the extension does, and for a name without a known one again the
+    first bytes. Null contents go by their name, null names by their bytes.
+    """
+    head = sniff("content")
+    by_bytes = F.when(head == "pdf", "pdf").when(head.isin("png", "jpeg", "gif", "tiff", "bmp"), "image").when(head.isin("zip", "ole"), "office")
+    kind = F.when(head == "pdf", "pdf").otherwise(F.coalesce(input_kind("path"), by_bytes))
+    route = F.lit("unknown")
+    for k, r in ROUTES.items():
+        route = F.when(F.col("kind") == k, r).otherwise(route)
+    return files.withColumn("kind", kind).withColumn("route", route)
+
+
+def from_bytes(spark: SparkSession, contents: dict[str, bytes]) -> DataFrame:
+    """Documents that are at hand as bytes (a standard input, a message) as files (path, length, content)."""
+    return spark.createDataFrame([(k, len(v), bytearray(v)) for k, v in contents.items()], "path string, length bigint, content binary")
+
+
+def scan_folder(spark: SparkSession, path: str, pattern: str | None = None, recursive: bool = True) -> DataFrame:
+    """Files of a folder (and those below it) in the order of their paths: (path, length, content), read where they are needed."""
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
+    return (reader.option("pathGlobFilter", pattern) if pattern else reader).load(path).select("path", "length", "content").orderBy("path")

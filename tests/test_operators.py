@@ -2,12 +2,13 @@ from __future__ import annotations
 
 from collections import defaultdict
 
+import pytest
 from pyspark.sql import functions as F
 
 from pagemill.operators import evaluation, folds, layout, spatial
-from pagemill.operators.snapshots import snapshot_changes
+from pagemill.operators.snapshots import snapshot_changes, snapshot_values
 from pagemill.sources import plugins
-from pagemill.sources.tables import fixture, sniff
+from pagemill.sources.tables import sniff
 from pagemill.streaming import batches
 
 ROW = "doc_id long, text string"
@@ -41,13 +42,20 @@ def test_snapshot_changes_against_brute_force(spark):
     assert len(got) == len({tuple(r) for r in got})
 
 
+@pytest.mark.parametrize("few", [0, 1000])
+def test_snapshot_values(spark, few):
+    rows = [(1, "a", 1, "x", ""), (1, "b", 1, None, ""), (1, "c", 2, "gone", ""), (2, "a", 1, "y", ""), (2, "a", 1, "w", ""), (2, "b", 1, "", ""), (2, None, 0, "new", "")]
+    got = {tuple(r) for r in snapshot_values(spark.createDataFrame(rows, SCHEMA), "snap", ["document", "page"], ["output_text"], bucket=2, few=few).collect()}
+    assert got == {(2, "a", 1, "changed", "x", "w"), (2, "b", 1, "changed", None, ""), (2, "c", 2, "removed", "gone", None), (2, None, 0, "added", None, "new")}
+
+
 def test_snapshot_changes_of_nothing(spark):
     assert snapshot_changes(spark.createDataFrame([], SCHEMA), "snap", ["document", "page"], ["output_text"]).count() == 0
 
 
 def test_page_selection(spark):
-    got = {r.spec: r.pages for r in layout.target_pages(fixture(spark, "('1-3,2'), ('0'), ('9-1'), ('')", ["spec"])).collect()}
-    assert got == {"1-3,2": [1, 2, 3], "0": None, "9-1": None, "": None}
+    got = {r.spec: r.pages for r in layout.target_pages(spark.createDataFrame([("1-3,2",), ("0",), ("9-1",), ("",), ("7 - 8,3",)], "spec string")).collect()}
+    assert got == {"1-3,2": [1, 2, 3], "0": None, "9-1": None, "": None, "7 - 8,3": [3, 7, 8]}
 
 
 def test_shapes_of_long_lines_and_any_line_end(spark, tmp_path):
@@ -67,7 +75,7 @@ def test_shapes_of_long_lines_and_any_line_end(spark, tmp_path):
         marker = "bullet" if bullet else "ordered" if ordered else None
         return x, marker, (bullet or ordered)[2] if marker else None, section[1] if section else "", bool(re.search(T.CAPTION, x)), int(toc[2]) if letters >= 8 else None
 
-    got = [tuple(r) for r in QUERIES["document_line_shapes_whole"](spark, str(tmp_path)).collect()]
+    got = [tuple(r) for r in QUERIES["document_line_shapes"](spark, str(tmp_path)).collect()]
     assert sorted(got, key=str) == sorted(map(shape, lines), key=str)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 import re
 from collections import defaultdict
 
@@ -34,84 +35,40 @@ def test_boxes_of_different_documents_do_not_meet(spark):
     results = spark.createDataFrame([(1, 1, 1, "a", 10.0, 10.0, 50.0, 10.0), (2, 1, 1, "b", 200.0, 10.0, 50.0, 10.0), (2, 2, 1, "z", 0.0, 0.0, 0.0, 5.0)], BOX)
     native = spark.createDataFrame([(2, 1, 9, "c", 10.0, 10.0, 50.0, 10.0), (1, 2, 9, "d", 200.0, 10.0, 50.0, 10.0)], BOX)
     assert {(r.doc_id, r.page) for r in spatial.without_native(results, native).collect()} == {(1, 1), (2, 1), (2, 2)}
-    assert {(r.doc_id, r.page): r.covered for r in spatial.width_covered(results, native).collect()} == {(1, 1): 0.0, (2, 1): 0.0, (2, 2): None}
+    assert {(r.doc_id, r.page): r.covered for r in spatial.width_covered(results, native).collect()} == {(1, 1): 0.0, (2, 1): 0.0, (2, 2): 1.0}
     tracks = spark.createDataFrame([(2, 1, 7, 0.0, 60.0)], "doc_id long, page int, track int, lo double, hi double")
     assert {(r.doc_id, r.page): r.track for r in spatial.nearest_track(native, tracks).collect()} == {(2, 1): 7, (1, 2): None}
-    links = spark.createDataFrame([(1, 1, 1, 0.0, 0.0, 300.0, 25.0, "u")], "doc_id long, page int, pos int, left double, top double, right double, bottom double, uri string")
-    assert {(r.doc_id, r.page): r.uri for r in spatial.assign_links(results, links).collect()} == {(1, 1): None, (2, 1): None, (2, 2): None}
+    links = spark.createDataFrame([(1, 1, 1, 0.0, 0.0, 300.0, 15.0, "u")], "doc_id long, page int, pos int, x1 double, y1 double, x2 double, y2 double, uri string")
+    assert {(r.doc_id, r.page): r.uri for r in spatial.assign_links(results, links).collect()} == {(1, 1): "u", (2, 1): None, (2, 2): None}
     lines = spark.createDataFrame([(1, 1, 1, 0.0, 300.0, 14.0, 0.5)], "doc_id long, page int, pos int, x1 double, x2 double, sy double, thickness double")
-    assert {r.doc_id for r in spatial.struck(results, lines).collect()} == {1}
+    plain = results.selectExpr("*", "false AS math", "0.0D AS rotation")
+    assert {r.doc_id for r in spatial.struck(plain, lines).collect()} == {1}
     under = spark.createDataFrame([(1, 1, 1, 10.0, 60.0, 20.0, 0.5)], lines.schema)
-    assert {r.doc_id for r in spatial.underlined(results, under).collect()} == {1}
+    assert {r.doc_id for r in spatial.underlined(plain, under).collect()} == {1}
     rules = spark.createDataFrame([(1, 1, 100.0, 0.0, 50.0), (2, 1, 120.0, 0.0, 50.0), (1, 1, 140.0, 0.0, 50.0)], "doc_id long, page int, y double, x1 double, x2 double")
     assert [tuple(r) for r in spatial.rule_bands(rules).collect()] == [(1, 1, 100.0, 140.0)]
 
 
-def test_recognised_boxes(spark, own):
-    native = defaultdict(list)
-    for r in own:
-        if r.confidence is None and boxed(r):
-            native[r.doc_id, r.page].append(r)
-    alone, covered = [], {}
-    for r in own:
-        if r.confidence is None:
-            continue
-        touch, spans = False, []
-        for n in native[r.doc_id, r.page] if boxed(r) else []:
-            touch |= r.x + 2 < n.x + n.width and r.x + r.width - 2 > n.x and r.y + 2 < n.y + n.height and r.y + r.height - 2 > n.y
-            a, b = max(r.x, n.x), min(r.x + r.width, n.x + n.width)
-            if abs(r.y + r.height / 2 - n.y - n.height / 2) < 0.5 * min(r.height, n.height) and b > a:
-                spans.append((a, b))
-        total, upto = 0.0, -1e18
-        for a, b in sorted(spans):
-            total += max(0.0, b - max(a, upto))
-            upto = max(upto, b)
-        if not touch:
-            alone.append((r.doc_id, r.page, r.seq))
-        covered[r.doc_id, r.page, r.seq] = total / r.width if r.width else None
-    assert len(covered) > 100 and sorted(rows_of(spark, "ocr_anti_join_whole")) == sorted(alone)
-    got = {k[:3]: k[3] for k in rows_of(spark, "ocr_coverage_whole")}
-    assert got.keys() == covered.keys() and all(got[k] == (v if v is None else pytest.approx(v, abs=1e-4)) for k, v in covered.items())
-
-
-def test_tracks_of_items(spark, own):
-    centers = defaultdict(list)
-    for r in layout.cluster_positions(items(spark, SF), "x", 6.0).collect():
-        centers[r.doc_id, r.page].append(r.center)
-    want = {}
-    for r in own:
-        lows = [c - 6.0 for c in sorted(centers[r.doc_id, r.page])]
-        options = []
-        for i, (lo, hi) in enumerate(zip(lows, [*lows[1:], 612.0]), 1) if None not in (r.x, r.width) else ():
-            if lo <= r.x + r.width / 2 < hi:
-                options.append((0, 0.0, i))
-            elif abs(r.x - lo) <= 6:
-                options.append((1, abs(r.x - lo), i))
-            elif abs(r.x + r.width - hi) <= 6:
-                options.append((2, abs(r.x + r.width - hi), i))
-        want[r.doc_id, r.page, r.seq] = min(options)[2] if options else None
-    assert {k[:3]: k[3] for k in rows_of(spark, "cell_tracks_whole")} == want
-
-
-def test_every_item_is_turned_and_cleaned(spark, own):
-    got = {k[:3]: k[4] for k in rows_of(spark, "rotations_whole")}
-    assert got.keys() == {(r.doc_id, r.page, r.seq) for r in own}
-    for r in own:
-        turned = None if r.rotation is None else r.rotation % 360
-        near = turned is not None and min((abs(turned - q), q % 360) for q in (0, 90, 180, 270, 360))
-        want = turned if turned is None or near[0] > 2 else near[1]
-        assert got[r.doc_id, r.page, r.seq] == (want if want is None else pytest.approx(want))
-    texts = {(r.doc_id, r.page, r.seq): r.text for r in own if r.text is not None}
-    escaped = {k[:3]: k[3] for k in rows_of(spark, "inline_markdown_whole")}
-    assert escaped == {k: re.sub(r"(?<![A-Za-z0-9])_|_(?![A-Za-z0-9])", r"\\_", re.sub(r"([*\\])", r"\\\1", t)) for k, t in texts.items()}
-    assert {k[:3] for k in rows_of(spark, "cell_cleanup_whole")} == texts.keys()
+@pytest.mark.parametrize("reach", [0.0, 10.0])
+def test_pairs_of_boxes_against_brute_force(spark, reach):
+    rng = random.Random(int(reach))
+    boxes = [(d, 1, s, "t", rng.uniform(-900, 5200), rng.uniform(-50, 900), rng.choice([0.0, 5.0, 70.0, 700.0, -3.0]), rng.uniform(0, 150)) for d in (1, 2) for s in range(60)]
+    boxes.append((1, 1, 99, None, None, 5.0, 5.0, 5.0))
+    df = spark.createDataFrame(boxes, BOX)
+    got = [(r.doc_id, r.seq, r.n_seq) for r in spatial.pairs(df, spatial.native_boxes(df), spatial.box(), spatial.box(*spatial.OTHER), reach).collect()]
+    own = [b for b in boxes if None not in b[4:]]
+    want = [
+        (a[0], a[2], b[2]) for a in own for b in own if a[0] == b[0]
+        and max(a[4] - reach, b[4]) <= min(a[4] + max(a[6], 0) + reach, b[4] + max(b[6], 0)) and max(a[5] - reach, b[5]) <= min(a[5] + a[7] + reach, b[5] + b[7])
+    ]
+    assert sorted(got) == sorted(want) and len(want) > len(own)
 
 
 def test_pages_as_markdown(spark, own):
     blocks = defaultdict(list)
     for r in folds.classify_blocks(items(spark, SF)).collect():
         blocks[r.doc_id, r.page].append((r.block, r.kind, r.text))
-    got = {k[:2]: k[2] for k in rows_of(spark, "markdown_render_whole")}
+    got = {k[:2]: k[2] for k in rows_of(spark, "markdown_render")}
     assert got.keys() == {k for k, b in blocks.items() if any(kind != "rule" for _, kind, _ in b)}
     for k, page in got.items():
         kinds = [(kind, t) for _, kind, t in sorted(blocks[k])]
@@ -138,7 +95,7 @@ def drawn(found):
 
 def test_tables_of_rows(spark):
     want = drawn(layout.split_cells(items(spark, SF)).collect())
-    assert len(want) > 50 and {k[:2]: k[2] for k in rows_of(spark, "table_render_whole")} == want
+    assert len(want) > 50 and {k[:2]: k[2] for k in rows_of(spark, "table_render")} == want
     rows = [(d, 1, s, t, x, y, 20.0, 9.0, 9.0) for d in (1, 2) for s, (t, x, y) in enumerate([("Name", 0.0, 0.0), ("Rain", 90.0, 0.0), ("a|b", 0.0, 20.0), ("x", 22.0, 20.0), (None, 44.0, 20.0), ("12", 90.0, 20.0)])]
     cells = layout.split_cells(spark.createDataFrame(rows, BOX + ", font_size double"))
     got = {r.doc_id: r.markdown for r in render.pipe_table(render.row_cells(cells), ["doc_id", "page"]).collect()}
