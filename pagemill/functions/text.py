@@ -20,12 +20,18 @@ def normalize_for_repetition(c: Column) -> Column:
     return F.regexp_replace(F.lower(collapse_whitespace(c)), "[0-9]+", "#")
 
 
+def _kept(c: Column, ascii_: str, beyond: str) -> Column:
+    """Characters of a class; texts of ASCII alone are asked for its ASCII part, which is much cheaper."""
+    plain = F.octet_length(c) == F.char_length(c)
+    return F.char_length(F.when(plain, F.regexp_replace(c, f"[^{ascii_}]", "")).otherwise(F.regexp_replace(c, f"[^{ascii_}{beyond}]", "")))
+
+
 def letter_count(c: Column) -> Column:
-    return F.char_length(F.regexp_replace(c, f"[^A-Za-z{ACCENTED_VOWELS}]", ""))
+    return _kept(c, "A-Za-z", ACCENTED_VOWELS)
 
 
 def vowel_count(c: Column) -> Column:
-    return F.char_length(F.regexp_replace(c, f"[^AEIOUaeiou{ACCENTED_VOWELS}]", ""))
+    return _kept(c, "AEIOUaeiou", ACCENTED_VOWELS)
 
 
 def control_count(c: Column) -> Column:
@@ -49,6 +55,80 @@ def rtl_count(c: Column) -> Column:
     return F.regexp_count(c, F.lit(r"[\x{0590}-\x{08FF}\x{FB1D}-\x{FDFF}\x{FE70}-\x{FEFC}]"))
 
 
+#: Ranges of scripts whose letters stand side by side without capitals, as a character class.
+COMPLEX = r"\x{0590}-\x{06FF}\x{0750}-\x{077F}\x{08A0}-\x{0EFF}\x{1000}-\x{109F}\x{1780}-\x{17FF}\x{FB1D}-\x{FDFF}\x{FE70}-\x{FEFF}"
+#: Signs that broken font maps put between letters.
+SYMBOLS = "$¥©«»@¢£¤¦§¨ª¬®¯¶¸º¼½¾¿"
+#: Letters of scripts that a word does not mix, by name; Latin, East Asian and all other letters are left out.
+SCRIPTS = {
+    "greek": r"\x{0370}-\x{03FF}\x{1F00}-\x{1FFF}\x{2C80}-\x{2CFF}", "cyrillic": r"\x{0400}-\x{052F}\x{1C80}-\x{1C8F}\x{2DE0}-\x{2DFF}\x{A640}-\x{A69F}", "armenian": r"\x{0530}-\x{058F}",
+    "hebrew": r"\x{0590}-\x{05FF}\x{FB1D}-\x{FB4F}", "arabic": r"\x{0600}-\x{06FF}\x{0750}-\x{077F}\x{0860}-\x{08FF}\x{FB50}-\x{FDFF}\x{FE70}-\x{FEFF}", "indic": r"\x{0900}-\x{0DFF}",
+    "thai": r"\x{0E00}-\x{0E7F}", "lao": r"\x{0E80}-\x{0EFF}", "tibetan": r"\x{0F00}-\x{0FFF}", "burmese": r"\x{1000}-\x{109F}", "georgian": r"\x{10A0}-\x{10FF}", "ethiopic": r"\x{1200}-\x{139F}", "khmer": r"\x{1780}-\x{17FF}",
+}
+
+
+def complex_count(c: Column) -> Column:
+    return F.regexp_count(c, F.lit(f"[{COMPLEX}]"))
+
+
+def script_intrusions(c: Column) -> Column:
+    """Printable ASCII characters wedged between letters of a complex script; neighbours may share one."""
+    return F.when(c.rlike(f"[{COMPLEX}]"), F.regexp_count(c, F.lit(f"(?<=[{COMPLEX}])[!-~](?=[{COMPLEX}])"))).otherwise(F.when(c.isNotNull(), 0))
+
+
+def symbol_intrusions(c: Column) -> Column:
+    """Signs wedged between letters."""
+    return F.when(c.rlike(f"[{SYMBOLS}]"), F.regexp_count(c, F.lit(rf"(?<=\p{{L}})[{SYMBOLS}](?=\p{{L}})"))).otherwise(F.when(c.isNotNull(), 0))
+
+
+def all_letters(c: Column) -> Column:
+    return F.char_length(F.regexp_replace(c, r"[^\p{L}]", ""))
+
+
+def tokens(c: Column) -> Column:
+    """Blank-free tokens of a text, control characters taken as blanks."""
+    return F.filter(F.split(F.regexp_replace(c, r"\p{Cc}", " "), r"(?U)\s+"), lambda t: t != "")
+
+
+def judged_tokens(c: Column) -> Column:
+    """Tokens without signs at their ends that have three characters and two letters; formulas (with $ or a backslash) are none."""
+    bare = F.transform(F.filter(tokens(c), lambda t: ~t.rlike(r"[$\\]")), lambda t: F.regexp_replace(t, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", ""))
+    return F.filter(bare, lambda t: (F.char_length(t) >= 3) & t.rlike(r"\p{L}.*\p{L}"))
+
+
+def malformed(t: Column) -> Column:
+    """Whether a token has capitals inside small letters twice or before a short end, ';' or '=' between letters, letters of two
+    scripts, or an accented Latin letter beside one of another script."""
+    flips = ~t.rlike("[_./@]") & ((F.regexp_count(t, F.lit(r"(?<=\p{Ll})\p{Lu}(?=\p{Ll})")) >= 2) | t.rlike(r"\p{Ll}\p{Lu}\p{Ll}{1,2}(?!\p{Ll})"))
+    count = F.lit(0)
+    for own in SCRIPTS.values():
+        count = count + t.rlike(f"[{own}]").cast("int")
+    other = "".join(SCRIPTS.values())
+    accented = r"\x{00C0}-\x{00D6}\x{00D8}-\x{00F6}\x{00F8}-\x{024F}"
+    mixed = t.rlike(f"[{other}]") & ((count >= 2) | t.rlike(f"[{accented}][{other}]|[{other}][{accented}]"))
+    return flips | t.rlike(r"\p{L}[;=]\p{L}") | mixed
+
+
+def malformed_count(c: Column) -> Column:
+    """How many judged tokens of a text are malformed. Texts without any sign of one are not taken apart."""
+    sign = rf"\p{{Ll}}\p{{Lu}}\p{{Ll}}|\p{{L}}[;=]\p{{L}}|[{''.join(SCRIPTS.values())}]"
+    return F.when(c.rlike(sign), F.size(F.filter(judged_tokens(c), malformed))).otherwise(0)
+
+
+#: Parts and beginnings of the names of fonts for signs and formulas.
+SYMBOL_PARTS = "wingding|webding|dingbat|symbol|zapf|math|sym|greekwith"
+SYMBOL_STARTS = "cmex|cmsy|cmmi|msam|msbm|rtxm|rtxs|txex|txsy|xyatip|xydash|eufm|esint|stmary|wasy"
+
+
+def base_font(c: Column) -> Column:
+    """A font's name without the tag of its subset."""
+    return F.regexp_replace(c, r"^[^+]*\+", "")
+
+
+def is_symbol_font(c: Column) -> Column:
+    return F.coalesce(F.lower(base_font(c)).rlike(f"{SYMBOL_PARTS}|^({SYMBOL_STARTS})"), F.lit(False))
+
+
 #: Fixed patterns: what single lines of running chrome look like.
 CHROME = (
     r"https?://|www\.|doi\.org|©|^copyright |^\(c\) ",

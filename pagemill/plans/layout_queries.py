@@ -30,37 +30,144 @@ IT, LN = f"WITH {S.ITEMS}", f"WITH {S.LINES}"
 _t = "coalesce(text, '')"
 _BAD = f"(coalesce(has_unicode_map_error, false) OR coalesce({S.letters('text')} >= 10 AND {S.vowels('text')} * 10 < {S.letters('text')}, false))"
 
-_TRIAGE = f"""{IT}, p AS (SELECT doc_id, page, CAST(coalesce(sum(CASE WHEN NOT {_BAD} THEN strlen(text) END), 0) AS BIGINT) text_length,
-  round(coalesce(sum(CASE WHEN NOT {_BAD} THEN width * height END), 0) / (612.0 * 792.0), 4) coverage,
-  sum(CASE WHEN coalesce(has_unicode_map_error, false) THEN {S.visible(_t)} ELSE 0 END) um, sum({S.visible(_t)}) vi, sum({S.letters(_t)}) le, sum({S.vowels(_t)}) vo
-  FROM it GROUP BY doc_id, page), q AS (SELECT *, concat_ws(',', CASE WHEN text_length < 20 THEN 'no-text' WHEN text_length < 500 AND coverage < 0.15 THEN 'sparse-text' END,
-  CASE WHEN (um >= 30 AND um * 100 >= vi * 15) OR (le >= 30 AND vo * 5 < le) THEN 'garbled' END) reasons FROM p)"""
 
-
-@query(f"{_TRIAGE} SELECT doc_id, page, text_length, coverage, reasons, reasons <> '' AS needs_ocr FROM q")
+def _scopes(source: str) -> str:
+    """Pieces of SQL for the detectors on pages and fonts of a table of items: sc has the scopes, ms the misread fonts, gp the pages."""
+    plain = f"NOT (coalesce(math, false) OR {S.symbol_font('font_name')})"
+    sums = {
+        "letters": S.letters(_t), "vowels": S.vowels(_t), "script": S.matches(_t, f"[{T.COMPLEX}]"), "script_odd": S.between(_t, T.COMPLEX, "[!-~]"), "alphabetic": f"length(regexp_replace({_t}, '[^\\p{{L}}]', '', 'g'))",
+        "symbols": S.between(f"translate({_t}, 'ªº', '¬¬')", "\\p{L}", f"[{T.SYMBOLS}]"), "controls": f"CASE WHEN {plain} THEN {S.matches(_t, S.CONTROL)} ELSE 0 END", "visible": f"CASE WHEN {plain} THEN {S.visible(_t)} ELSE 0 END",
+        "judged": f"CASE WHEN {plain} THEN len({S.judged(_t)}) ELSE 0 END", "malformed": f"CASE WHEN {plain} THEN {S.malformed(S.judged(_t))} ELSE 0 END",
+    }
+    tests = "(script_odd >= 5 AND script_odd * 1000 >= script * 15) OR (symbols >= 20 AND symbols * 100 >= alphabetic * 3) OR (controls >= 5 AND controls * 50 >= visible + controls) OR (malformed >= 10 AND malformed * 5 >= judged)"
+    edges = "[.,;:()\\[\\]{}''\"!?«»“”‘’]+"
+    toks = f"list_filter(list_transform(string_split_regex(text, '{S._SPACE}'), lambda t: regexp_replace(t, '^{edges}|{edges}$', '', 'g')), lambda t: length(t) >= 3 AND NOT starts_with(t, 'http') AND NOT regexp_matches(t, '[_@\\\\$/]'))"
+    lat = "\\p{Latin}\\p{Greek}\\p{Cyrillic}"
+    return f"""ga AS (SELECT doc_id, page, coalesce(font_name, '(none)') font_name, {', '.join(f'{v} {k}' for k, v in sums.items())} FROM {source}),
+  gs AS (SELECT doc_id, page, font_name, {', '.join(f'CAST(sum({k}) AS BIGINT) {k}' for k in sums)} FROM ga GROUP BY GROUPING SETS ((doc_id, page), (doc_id, page, font_name))),
+  gw AS (SELECT *, max(CASE WHEN font_name IS NULL THEN (letters >= 30 AND vowels * 5 < letters) OR {tests} END) OVER w AS own_page, max(CASE WHEN font_name IS NULL THEN letters END) OVER w AS page_letters FROM gs WINDOW w AS (PARTITION BY doc_id, page)),
+  sc AS (SELECT doc_id, page, font_name, {', '.join(sums)}, CASE WHEN font_name IS NULL THEN own_page ELSE NOT own_page AND ((letters >= 30 AND vowels * 5 < letters AND letters >= ceil(page_letters * 15 / 100)) OR {tests}) END AS garbled FROM gw),
+  mt AS (SELECT doc_id, page, coalesce(regexp_replace(font_name, '^[^+]*\\+', ''), '(none)') base, unnest({toks}) t FROM {source} WHERE text IS NOT NULL AND {plain}),
+  mw AS (SELECT *, lower(regexp_replace(t, '[^\\p{{L}}]', '', 'g')) word FROM mt),
+  mm AS (SELECT doc_id, page, base, word, word AS tail, unnest(regexp_extract_all(regexp_replace(t, '([{lat}])', '\\1\\1', 'g'), '[{lat}]([!%*])[{lat}]', 1)) ch FROM mw
+    UNION ALL SELECT doc_id, page, base, word, regexp_extract(t, '.\\p{{Ll}}(\\p{{Lu}}\\p{{Ll}}{{1,2}})$', 1), substring(regexp_extract(t, '.\\p{{Ll}}(\\p{{Lu}}\\p{{Ll}}{{1,2}})$', 1), 1, 1) FROM mw WHERE regexp_matches(t, '.\\p{{Ll}}\\p{{Lu}}\\p{{Ll}}{{1,2}}$') AND NOT regexp_matches(t, '[0-9]')),
+  ms AS (SELECT DISTINCT doc_id, page, base FROM (SELECT doc_id, page, base, ch FROM mm GROUP BY 1, 2, 3, 4 HAVING count(DISTINCT word) >= 3 AND count(DISTINCT tail) >= 2)),
+  gp AS (SELECT doc_id, page, bool_or(garbled) OR (doc_id, page) IN (SELECT (doc_id, page) FROM ms) AS garbled FROM sc GROUP BY doc_id, page)"""
+
+
+#: Items of which some fonts and pages are made unreadable in every way that the detectors know.
+_BROKEN = """broken AS (SELECT * REPLACE (CASE WHEN text IS NULL THEN NULL WHEN doc_id % 11 = 1 THEN regexp_replace(text, '[aeiouAEIOU]', 'x', 'g') WHEN doc_id % 11 = 2 AND seq % 2 = 0 THEN regexp_replace(text, '([a-z])([a-z])', '\\1¤\\2', 'g')
+  WHEN doc_id % 11 = 3 THEN concat(text, chr(1), chr(2)) WHEN doc_id % 11 = 4 THEN regexp_replace(text, '([a-z])([a-z])([a-z])', '\\1;\\3Ab\\2', 'g') WHEN doc_id % 11 = 5 THEN regexp_replace(text, 't([a-z])', '!\\1', 'g')
+  WHEN doc_id % 11 = 6 THEN regexp_replace(text, '([a-z])([a-z])', 'ب\\1م', 'g') WHEN doc_id % 11 = 7 THEN regexp_replace(text, '([a-z]{3})([a-z])([a-z]{2})( |$)', '\\1K\\3\\4', 'g') ELSE text END AS text,
+  CASE WHEN seq % 3 = 0 THEN concat('ABCDEF+', coalesce(font_name, 'Body')) WHEN seq % 17 = 0 THEN 'Wingdings' ELSE font_name END AS font_name, coalesce(math, false) OR seq % 19 = 0 AS math, coalesce(has_unicode_map_error, false) OR doc_id % 11 = 8 AS has_unicode_map_error) FROM it)"""
+
+
+def _broken(spark, d):
+    """The same rows by Spark's functions."""
+    t, k, n = F.col("text"), F.col("doc_id") % 11, F.col("seq")
+    sub = lambda pattern, new: F.regexp_replace(t, pattern, new)
+    text = (
+        F.when(k == 1, sub("[aeiouAEIOU]", "x")).when((k == 2) & (n % 2 == 0), sub("([a-z])([a-z])", "$1¤$2")).when(k == 3, F.concat(t, F.lit("\x01\x02"))).when(k == 4, sub("([a-z])([a-z])([a-z])", "$1;$3Ab$2"))
+        .when(k == 5, sub("t([a-z])", "!$1")).when(k == 6, sub("([a-z])([a-z])", "ب$1م")).when(k == 7, sub("([a-z]{3})([a-z])([a-z]{2})( |$)", "$1K$3$4")).otherwise(t)
+    )
+    font = F.when(n % 3 == 0, F.concat(F.lit("ABCDEF+"), F.coalesce("font_name", F.lit("Body")))).when(n % 17 == 0, "Wingdings").otherwise(F.col("font_name"))
+    unmapped = F.coalesce("has_unicode_map_error", F.lit(False)) | (k == 8)
+    return items(spark, d).withColumns({"text": text, "font_name": font, "math": F.coalesce("math", F.lit(False)) | (n % 19 == 0), "has_unicode_map_error": unmapped})
+
+
+_SUMS = f"""tp AS (SELECT doc_id, page, CAST(coalesce(sum(CASE WHEN NOT {_BAD} THEN strlen(text) END), 0) AS BIGINT) text_length, round(coalesce(sum(CASE WHEN NOT {_BAD} THEN width * height END), 0) / (612.0 * 792.0), 4) coverage,
+  sum(CASE WHEN coalesce(has_unicode_map_error, false) THEN {S.visible(_t)} ELSE 0 END) um, sum({S.visible(_t)}) vi FROM src GROUP BY doc_id, page),
+  im AS (SELECT doc_id, page, count_if(NOT fp) image_blocks, round(least(coalesce(sum(CASE WHEN NOT fp THEN sh END), 0), 1), 4) image_coverage, round(least(coalesce(max(CASE WHEN NOT fp THEN sh END), 0), 1), 4) largest_coverage, bool_or(fp) full_page
+    FROM (SELECT *, width > 0.9 * 612 AND height > 0.9 * 792 fp, width * height / (612.0 * 792.0) sh FROM images WHERE width >= 25 AND height >= 25) GROUP BY 1, 2)"""
+_ALL = f"""{D.sql("images", "facts", "paths")}, src AS (SELECT * FROM it), {_scopes("src")}, {_SUMS},
+  j AS (SELECT tp.*, coalesce(gp.garbled, false) OR (um >= 30 AND um * 100 >= vi * 15) gb, coalesce(CAST(image_blocks AS INT), 0) image_blocks, coalesce(image_coverage, 0.0) image_coverage, coalesce(largest_coverage, 0.0) largest_coverage, coalesce(full_page, false) full_page,
+    annotation_text, invisible_share, hidden_share FROM tp LEFT JOIN gp USING (doc_id, page) LEFT JOIN im USING (doc_id, page) LEFT JOIN facts USING (doc_id, page)),
+  r AS (SELECT *, list_filter([CASE WHEN text_length < 20 THEN CASE WHEN full_page THEN 'scanned' ELSE 'no-text' END WHEN text_length < 2000 AND coverage < 0.15 AND (full_page OR text_length < 500) THEN 'sparse-text' END,
+    CASE WHEN text_length < 20 AND annotation_text THEN 'annotation-text' END, CASE WHEN image_blocks > 0 THEN 'embedded-images' END, CASE WHEN gb THEN 'garbled' END,
+    CASE WHEN full_page AND text_length >= 20 AND (invisible_share >= 0.9 OR hidden_share >= 0.9) THEN 'invisible-text-layer' END], lambda x: x IS NOT NULL) rs FROM j),
+  pc AS (SELECT p.doc_id, p.page, p.path, sum(greatest(0, least(px + pw, x + width) - greatest(px, x)) * greatest(0, least(py + ph, y + height) - greatest(py, y))) o FROM paths p JOIN it ON p.doc_id = it.doc_id AND p.page = it.page
+    WHERE px <= x + greatest(width, 0) AND px + pw >= x AND py <= y + greatest(height, 0) AND py + ph >= y GROUP BY 1, 2, 3),
+  ua AS (SELECT p.doc_id, p.page, round(sum(greatest(0, pw * ph - coalesce(o, 0))), 3) u FROM paths p LEFT JOIN pc USING (doc_id, page, path) WHERE pw * ph > 0 GROUP BY 1, 2),
+  z AS (SELECT r.*, CASE WHEN len(rs) = 0 THEN coalesce(u, 0.0) END AS uncovered FROM r LEFT JOIN ua USING (doc_id, page)),
+  verdict AS (SELECT doc_id, page, text_length, coverage, image_blocks, image_coverage, largest_coverage, full_page, uncovered, CASE WHEN uncovered >= 400 THEN 'vector-text' ELSE array_to_string(rs, ',') END AS reasons FROM z)"""
+
+
+def _triage(spark, d):
+    return R.page_complexity(items(spark, d), *[D.derived(spark, d, n) for n in ("images", "facts", "paths")])
+
+
+@query(f"{_ALL} SELECT *, reasons <> '' AS needs_ocr FROM verdict")
 def page_triage(spark, d):
-    return R.page_complexity(items(spark, d))
+    return _triage(spark, d)
 
 
-@query(f"{_TRIAGE} SELECT reasons, count(*) AS pages FROM q GROUP BY reasons")
+@query(f"{_ALL} SELECT reason, count(*) AS pages FROM (SELECT unnest(string_split(reasons, ',')) reason FROM verdict) GROUP BY reason")
 def triage_verdicts(spark, d):
-    return R.page_complexity(items(spark, d)).groupBy("reasons").agg(F.count("*").alias("pages"))
+    return _triage(spark, d).select(F.explode(F.split("reasons", ",")).alias("reason")).groupBy("reason").agg(F.count("*").alias("pages"))
+
+
+@query(f"""{D.sql("images")}, src AS (SELECT * FROM it), {_scopes("src")}, {_SUMS}, fc AS (SELECT doc_id, page, round(least(sum(greatest(width, 0) * greatest(height, 0)) / (612.0 * 792.0), 1), 4) fg, count(*) n FROM images GROUP BY 1, 2),
+  tb AS (SELECT doc_id, page, CAST(count(*) AS INT) tables FROM it WHERE seq % 12 = 5 GROUP BY 1, 2), cl AS (SELECT doc_id, page, CAST(1 + (doc_id + page) % 3 AS INT) AS columns FROM it GROUP BY 1, 2)
+  SELECT tp.doc_id, tp.page, text_length, coverage, array_to_string(list_filter([CASE WHEN text_length < 20 THEN CASE WHEN coalesce(full_page, false) THEN 'scanned' ELSE 'no-text' END WHEN text_length < 2000 AND coverage < 0.15 THEN 'sparse-text' END,
+    CASE WHEN coalesce(image_blocks, 0) > 0 THEN 'embedded-images' END, CASE WHEN coalesce(gp.garbled, false) OR (um >= 30 AND um * 100 >= vi * 15) THEN 'garbled' END], lambda x: x IS NOT NULL), ',') AS reasons,
+  array_to_string(list_filter([CASE WHEN columns >= 2 THEN 'multi-column' END, CASE WHEN coalesce(tables, 0) > 0 THEN 'table-likely' END, CASE WHEN coalesce(fg, 0) >= 0.2 THEN 'dense-graphics' END], lambda x: x IS NOT NULL), ',') AS layout_reasons, coalesce(CAST(n AS INT), 0) AS figures
+  FROM tp LEFT JOIN gp USING (doc_id, page) LEFT JOIN im USING (doc_id, page) LEFT JOIN fc USING (doc_id, page) LEFT JOIN tb USING (doc_id, page) LEFT JOIN cl USING (doc_id, page)""")
+def native_triage(spark, d):
+    own = items(spark, d)
+    tables = own.filter("seq % 12 = 5").groupBy("doc_id", "page").agg(F.count("*").cast("int").alias("tables"))
+    columns = own.select("doc_id", "page").distinct().withColumn("columns", (1 + (F.col("doc_id") + F.col("page")) % 3).cast("int"))
+    return R.native_page_complexity(own, D.derived(spark, d, "images"), tables, columns)
 
 
-_SCOPES = f"""{IT}, g AS (SELECT doc_id, page, coalesce(font_name, '(none)') font_name, {S.letters(_t)} l, {S.vowels(_t)} v, {S.matches(_t, S.CONTROL)} c, {S.visible(_t)} n FROM it),
-  sc AS (SELECT doc_id, page, font_name, CAST(sum(l) AS BIGINT) letters, CAST(sum(v) AS BIGINT) vowels, CAST(sum(c) AS BIGINT) controls, CAST(sum(n) AS BIGINT) visible,
-  (sum(l) >= 30 AND sum(v) * 5 < sum(l)) OR (sum(c) >= 5 AND sum(c) * 50 >= sum(n) + sum(c)) AS garbled FROM g GROUP BY GROUPING SETS ((doc_id, page), (doc_id, page, font_name)))"""
+@query(f"""{IT}, src AS (SELECT * FROM it), {_SUMS.split("im AS (")[0].rstrip(", " + chr(10))} SELECT doc_id, page, text_length < 20 OR coverage < 0.15 AS sparse FROM tp""")
+def sparse_pages(spark, d):
+    return R.sparse_pages(items(spark, d))
 
 
-@query(f"{_SCOPES} SELECT * FROM sc")
+@query(f"{IT}, {_BROKEN}, {_scopes('broken')} SELECT * FROM sc")
 def garbled_by_font(spark, d):
-    return R.garbled_scopes(items(spark, d))
+    return R.garbled_scopes(_broken(spark, d))
+
+
+@query(f"{IT}, {_BROKEN}, {_scopes('broken')} SELECT * FROM ms")
+def misread_fonts(spark, d):
+    return R.misread_fonts(_broken(spark, d))
 
 
-@query(f"""{_SCOPES} SELECT doc_id, page, seq FROM it WHERE NOT EXISTS (SELECT 1 FROM sc WHERE garbled AND sc.doc_id = it.doc_id AND sc.page = it.page
-  AND (sc.font_name IS NULL OR sc.font_name = coalesce(it.font_name, '(none)')))""")
+@query(f"""{IT}, {_BROKEN}, {_scopes('broken')}, b2 AS (SELECT *, coalesce(regexp_replace(font_name, '^[^+]*\\+', ''), '(none)') base FROM broken) SELECT b2.doc_id, b2.page, b2.seq FROM b2
+  WHERE NOT EXISTS (SELECT 1 FROM sc WHERE garbled AND sc.doc_id = b2.doc_id AND sc.page = b2.page AND (sc.font_name IS NULL OR sc.font_name = coalesce(b2.font_name, '(none)')))
+  AND NOT EXISTS (SELECT 1 FROM ms WHERE ms.doc_id = b2.doc_id AND ms.page = b2.page AND ms.base = b2.base)""")
 def garbled_dropped(spark, d):
-    return R.drop_garbled(items(spark, d)).select("doc_id", "page", "seq")
+    return R.drop_garbled(_broken(spark, d)).select("doc_id", "page", "seq")
+
+
+_GLYPHS = "gl AS (SELECT doc_id, page, seq, i, substr(text, i, 1) AS text, CASE WHEN (doc_id + page) % 3 = 0 THEN CASE WHEN i % 9 = 0 THEN 3 ELSE 0 END WHEN (doc_id + page) % 3 = 1 THEN CASE WHEN seq % 2 = 0 THEN 3 ELSE 0 END ELSE 0 END AS mode FROM (SELECT *, unnest(range(1, length(text) + 1)) i FROM it WHERE text IS NOT NULL))"
+_SOLID = "sh AS (SELECT doc_id, page, count_if(mode = 3) h, count(*) n FROM gl WHERE NOT regexp_matches(text, '^[\\p{Cc}\\s]*$') GROUP BY 1, 2)"
+
+
+def _glyphs(spark, d):
+    own = items(spark, d).filter("text <> ''").select("doc_id", "page", "seq", F.posexplode(F.split("text", "")).alias("i", "text")).withColumn("i", F.col("i") + 1)
+    k = (F.col("doc_id") + F.col("page")) % 3
+    return own.withColumn("mode", F.when((k == 0) & (F.col("i") % 9 == 0), 3).when((k == 1) & (F.col("seq") % 2 == 0), 3).otherwise(0))
+
+
+@query(f"{IT}, {_GLYPHS}, {_SOLID} SELECT doc_id, page, round(h / n, 4) AS invisible_share, h > 0 AND h / n < 0.3 AS skip FROM sh")
+def invisible_shares(spark, d):
+    return R.invisible_shares(_glyphs(spark, d))
+
+
+@query(f"{IT}, {_GLYPHS}, {_SOLID} SELECT doc_id, page, seq, count(*) AS glyphs FROM gl WHERE NOT (mode = 3 AND (doc_id, page) IN (SELECT (doc_id, page) FROM sh WHERE h > 0 AND h / n < 0.3)) GROUP BY 1, 2, 3")
+def invisible_dropped(spark, d):
+    return R.drop_invisible(_glyphs(spark, d)).groupBy("doc_id", "page", "seq").agg(F.count("*").alias("glyphs"))
+
+
+_OBJECTS = "ob AS (SELECT doc_id, page, seq, CASE WHEN seq % 8 = 6 AND doc_id % 2 = 0 THEN 'image' ELSE 'text' END AS kind, CASE WHEN seq % 8 = 6 THEN 590.0 ELSE width END AS width, CASE WHEN seq % 8 = 6 THEN 760.0 ELSE height END AS height FROM it)"
+
+
+@query(f"{IT}, {_OBJECTS}, f AS (SELECT *, min(CASE WHEN kind = 'image' AND width > 0.9 * 612 AND height > 0.9 * 792 THEN seq END) OVER (PARTITION BY doc_id, page) fs FROM ob) SELECT doc_id, page, round(coalesce(count_if(seq < coalesce(fs, -1)), 0) / count(*), 4) AS hidden_share FROM f WHERE kind = 'text' GROUP BY 1, 2")
+def hidden_shares(spark, d):
+    objects = spark.sql(f"{IT.replace('FROM text_items', 'FROM {text_items}')}, {_OBJECTS} SELECT * FROM ob", text_items=table(spark, d, "text_items"))
+    return R.hidden_shares(objects)
 
 
 @query(f"""{IT} SELECT font_name, CAST(sum({S.matches(_t, S.CONTROL)} + {S.matches(_t, S.PRIVATE)}) AS BIGINT) odd, CAST(sum(length({_t})) AS BIGINT) chars,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pagemill.functions.text import ACCENTED_VOWELS
+from pagemill.functions.text import ACCENTED_VOWELS, SCRIPTS, SYMBOL_PARTS, SYMBOL_STARTS
 
 _SPACE = r"[\s\x{000B}\x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
 
@@ -45,6 +45,29 @@ def chrome(c: str) -> str:
     return f"({tests} OR (strlen({s}) <= 120 AND regexp_matches({s}, '{year}') AND regexp_matches({s}, '{span}')))"
 
 
+def between(c: str, inside: str, sign: str) -> str:
+    """How often a sign stands between two characters of a class, which neighbours may share: each is doubled first."""
+    return matches(f"regexp_replace({c}, '([{inside}])', '\\1\\1', 'g')", f"[{inside}]{sign}[{inside}]")
+
+
+def judged(c: str) -> str:
+    split = f"string_split_regex(regexp_replace({c}, '\\p{{Cc}}', ' ', 'g'), '{_SPACE}')"
+    bare = f"list_transform(list_filter({split}, lambda t: t <> '' AND NOT regexp_matches(t, '[$\\\\]')), lambda t: regexp_replace(t, '^[^\\p{{L}}\\p{{N}}]+|[^\\p{{L}}\\p{{N}}]+$', '', 'g'))"
+    return f"list_filter({bare}, lambda t: length(t) >= 3 AND regexp_matches(t, '\\p{{L}}.*\\p{{L}}'))"
+
+
+def malformed(tokens: str) -> str:
+    flips = f"NOT regexp_matches(t, '[_./@]') AND ({between('t', chr(92) + 'p{Ll}', chr(92) + 'p{Lu}')} >= 2 OR regexp_matches(t, '\\p{{Ll}}\\p{{Lu}}\\p{{Ll}}{{1,2}}([^\\p{{Ll}}]|$)'))"
+    count = " + ".join(f"CAST(regexp_matches(t, '[{own}]') AS INT)" for own in SCRIPTS.values())
+    other, accented = "".join(SCRIPTS.values()), "\\x{00C0}-\\x{00D6}\\x{00D8}-\\x{00F6}\\x{00F8}-\\x{024F}"
+    mixed = f"({count} >= 2 OR regexp_matches(t, '[{accented}][{other}]|[{other}][{accented}]'))"
+    return f"len(list_filter({tokens}, lambda t: {flips} OR regexp_matches(t, '\\p{{L}}[;=]\\p{{L}}') OR {mixed}))"
+
+
+def symbol_font(c: str) -> str:
+    return f"coalesce(regexp_matches(lower(regexp_replace({c}, '^[^+]*\\+', '')), '{SYMBOL_PARTS}|^({SYMBOL_STARTS})'), false)"
+
+
 #: Distinct items with double geometry.
 ITEMS = """it AS (SELECT DISTINCT doc_id, page, seq, text, CAST(x AS DOUBLE) x, CAST(y AS DOUBLE) y, CAST(width AS DOUBLE) width,
   CAST(height AS DOUBLE) height, CAST(rotation AS DOUBLE) rotation, font_name, CAST(font_size AS DOUBLE) font_size, font_weight, font_flags,
