@@ -289,39 +289,3 @@ def table_render(spark, d):
     """Each page as one table of its rows, those of a single cell too."""
     own = items(spark, d).withColumn("font_size", F.nanvl("font_size", F.lit(None)))
     return R.pipe_table(R.row_cells(L.split_cells(own)), ["doc_id", "page"])
-
-
-@query()
-def y_band_lines(spark, d):
-    """Grouping whose band grows with its members: a fold within each page."""
-    return folds.band_lines(items(spark, d))
-
-
-@query()
-def merged_items(spark, d):
-    return folds.merge_adjacent(items(spark, d))
-
-
-@query()
-def xy_cut_order(spark, d):
-    return folds.reading_order(items(spark, d))
-
-
-@query()
-def search_phrase(spark, d):
-    return folds.search(items(spark, d), "in the first quarter")
-
-
-@query()
-def ordered_list_runs(spark, d):
-    return folds.list_runs(document_lines(spark, d))
-
-
-@query()
-def malformed_tokens(spark, d):
-    return folds.token_faults(items(spark, d))
-
-
-@query()
-def block_kinds(spark, d):
-    return folds.classify_blocks(items(spark, d))
