@@ -76,3 +76,65 @@ def row_cells(items: DataFrame) -> DataFrame:
 def write_lines(df: DataFrame, path: str) -> None:
     """JSON lines, one file for each task."""
     df.write.mode("errorifexists").json(path)
+
+
+def html_tables(cells: DataFrame, keys: Sequence[str] = ("table",)) -> DataFrame:
+    """HTML of tables whose cells (*`keys`, row, col, text, colspan, rowspan, is_header) can span others; null spans are 1."""
+    t = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.coalesce("text", F.lit("")), "&", "&amp;"), "<", "&lt;"), ">", "&gt;")
+    tag = F.when(F.coalesce("is_header", F.lit(False)), "th").otherwise("td")
+    span = lambda c: F.when(F.coalesce(F.col(c), F.lit(1)) > 1, F.concat(F.lit(f' {c}="'), F.col(c).cast("string"), F.lit('"'))).otherwise("")
+    cell = F.concat(F.lit("<"), tag, span("colspan"), span("rowspan"), F.lit(">"), t, F.lit("</"), tag, F.lit(">"))
+    rows = cells.groupBy(*keys, "row").agg(F.array_sort(F.collect_list(F.struct("col", cell.alias("t")))).alias("c"))
+    line = F.concat(F.lit("<tr>"), F.array_join(F.transform("c", lambda s: s["t"]), ""), F.lit("</tr>"))
+    return rows.groupBy(*keys).agg(F.concat(F.lit("<table>\n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row", line.alias("t")))), lambda s: s["t"]), "\n"), F.lit("\n</table>")).alias("html"))
+
+
+def document_json(items: DataFrame, metadata: bool = False) -> DataFrame:
+    """(doc_id, page, json): an object for each page with its number, text and items; absent fields are left out, a missing confidence is
+    1.0, rotation and font come with `metadata` only. A document is its pages' objects in order: these stay rows, as a document can
+    be of any size."""
+    fields = ["text", "x", "y", "width", "height", F.coalesce(F.nanvl("confidence", F.lit(None)), F.lit(1.0)).alias("confidence")]
+    fields += ["rotation", "font_name"] if metadata else []
+    own = F.transform(F.array_sort(F.collect_list(F.struct("seq", F.struct(*fields).alias("item")))), lambda s: s["item"])
+    pages = items.groupBy("doc_id", "page").agg(own.alias("text_items")).withColumn("text", F.array_join(F.transform("text_items", lambda i: F.coalesce(i["text"], F.lit(""))), "\n"))
+    return pages.select("doc_id", "page", F.to_json(F.struct(F.col("page").alias("page_number"), "text", "text_items"), {"ignoreNullFields": "true"}).alias("json"))
+
+
+def document_markdown(pages: DataFrame, separator: str = "-----") -> DataFrame:
+    """(doc_id, page, markdown) with the separator line before each page of a document but its first: written one after the other they
+    are the document. `pages` have doc_id, page, markdown and text; a page without blocks is its text in a fence."""
+    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("page"))
+    own = F.when(F.coalesce("markdown", F.lit("")) != "", F.col("markdown")).otherwise(F.concat(F.lit("```\n"), F.coalesce("text", F.lit("")), F.lit("\n```")))
+    return pages.withColumn("nth", nth).select("doc_id", "page", F.concat(F.when(F.col("nth") > 1, f"\n\n{separator}\n\n").otherwise(""), own).alias("markdown"))
+
+
+def write_images(images: DataFrame, folder: str) -> DataFrame:
+    """Writes the canonical pictures of (doc_id, page, seq, content) as one table of files in the shared folder and gives the reference of
+    every picture: (doc_id, page, seq, target); a duplicate points at the file of its canonical one."""
+    from pagemill.operators.spatial import canonical_images
+
+    named = canonical_images(images)
+    own = F.concat_ws("/", F.col("page").cast("string"), F.col("seq").cast("string"))
+    targets = named.withColumn("target", F.concat_ws("/", F.col("doc_id").cast("string"), F.coalesce("duplicate_of", own)))
+    firsts = targets.filter(F.col("duplicate_of").isNull()).select("doc_id", "page", "seq", "target")
+    images.join(firsts, ["doc_id", "page", "seq"]).select("target", "content").write.mode("errorifexists").parquet(folder)
+    return targets.select("doc_id", "page", "seq", "target")
+
+
+def rewritten(pages: DataFrame, targets: DataFrame) -> DataFrame:
+    """Pages (doc_id, page, markdown) whose references ![...](image:page/seq) point at the pictures' targets."""
+    refs = targets.select("doc_id", "page", F.struct(F.concat(F.lit("(image:"), F.col("page").cast("string"), F.lit("/"), F.col("seq").cast("string"), F.lit(")")).alias("old"), F.concat(F.lit("("), F.col("target"), F.lit(")")).alias("new")).alias("r"))
+    own = refs.groupBy("doc_id", "page").agg(F.collect_list("r").alias("refs"))
+    met = pages.join(own, ["doc_id", "page"], "left")
+    return met.withColumn("markdown", F.aggregate(F.coalesce("refs", F.array().cast("array<struct<old:string,new:string>>")), F.col("markdown"), lambda t, r: F.replace(t, r["old"], r["new"]))).drop("refs")
+
+
+def batch_report(results: DataFrame) -> DataFrame:
+    """(files, failed, ok) of parsed files (path, error): one row, ok only if none failed."""
+    return results.groupBy().agg(F.countDistinct("path").alias("files"), F.count_if(F.col("error").isNotNull()).alias("failed"), (F.count_if(F.col("error").isNotNull()) == 0).alias("ok"))
+
+
+def output_paths(files: DataFrame, source: str, target: str, extension: str) -> DataFrame:
+    """Files with `out`: their path below `source` under `target`, with the new extension."""
+    inner = F.substring(F.col("path"), F.length(F.lit(source.rstrip("/"))) + 2, 1 << 20)
+    return files.withColumn("out", F.concat(F.lit(target.rstrip("/") + "/"), F.regexp_replace(inner, r"\.[^./]*$", ""), F.lit("." + extension)))

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagemill.plans import data_queries, fold_queries, join_queries, layout_queries, page_queries
+from pagemill.plans import data_queries, fold_queries, join_queries, layout_queries, page_queries, source_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = (data_queries, layout_queries, join_queries, page_queries, fold_queries)
+MODULES = (data_queries, layout_queries, join_queries, page_queries, fold_queries, source_queries)
 
 
 def queries() -> dict[str, Query]:

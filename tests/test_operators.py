@@ -88,20 +88,14 @@ def test_components(spark):
 ITEMS = "doc_id long, page int, seq int, text string, x double, y double, width double, height double, font_size double"
 
 
-def test_search_runs_over_items(spark):
-    items = spark.createDataFrame([(1, 1, 1, "0°C", 0.0, 0.0, 20.0, 12.0, 12.0), (1, 1, 2, "to", 30.0, 0.0, 12.0, 12.0, 12.0), (1, 1, 3, "70°C", 52.0, 0.0, 24.0, 12.0, 12.0), (1, 2, 1, None, 0.0, 0.0, 1.0, 1.0, 12.0)], ITEMS)
-    (hit,) = folds.search(items, "0°C to 70°C").collect()
-    assert (hit.x, hit.width) == (0.0, 76.0)
-    assert folds.search(items, " ").count() == 0
-
-
 def test_band_takes_members_in(spark):
     items = spark.createDataFrame([(1, 1, i, "t", 10.0 * i, y, 5.0, 10.0, 10.0) for i, y in enumerate([0.0, 4.0, 8.0, 30.0])], ITEMS)
     assert [r.line for r in folds.band_lines(items).orderBy("seq").collect()] == [1, 1, 2, 3]
 
 
 def test_list_runs(spark):
-    lines = spark.createDataFrame([(1, i, t) for i, t in enumerate(["1. one", "a) x", "b) y", "2. two", "9. stray", "text"], 1)], "doc_id long, line_no int, line string")
+    texts = [("1. one", 0.0), ("a) x", 9.0), ("b) y", 9.0), ("2. two", 0.0), ("9. stray", 0.0), ("text", 0.0), ("3. far aside", 50.0)]
+    lines = spark.createDataFrame([(1, 1, i, t, x) for i, (t, x) in enumerate(texts, 1)], "doc_id long, page int, line_no int, line string, x double")
     assert sorted((r.line_no, r.value) for r in folds.list_runs(lines).collect()) == [(1, 1), (2, 1), (3, 2), (4, 2)]
 
 
