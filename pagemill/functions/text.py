@@ -21,9 +21,11 @@ def normalize_for_repetition(c: Column) -> Column:
 
 
 def _kept(c: Column, ascii_: str, beyond: str) -> Column:
-    """Characters of a class; texts of ASCII alone are asked for its ASCII part, which is much cheaper."""
-    plain = F.octet_length(c) == F.char_length(c)
-    return F.char_length(F.when(plain, F.regexp_replace(c, f"[^{ascii_}]", "")).otherwise(F.regexp_replace(c, f"[^{ascii_}{beyond}]", "")))
+    """Characters of a class: those of ASCII, and of what is left of a text without ASCII those of a class of hundreds, which is asked for
+    few characters so."""
+    own = F.char_length(F.regexp_replace(c, f"[^{ascii_}]", ""))
+    other = F.char_length(F.regexp_replace(F.regexp_replace(c, r"[\x00-\x7f]+", ""), f"[^{beyond}]", ""))
+    return own + F.when(F.octet_length(c) == F.char_length(c), 0).otherwise(other)
 
 
 def letter_count(c: Column) -> Column:
@@ -85,9 +87,19 @@ def all_letters(c: Column) -> Column:
     return F.char_length(F.regexp_replace(c, r"[^\p{L}]", ""))
 
 
+#: Characters beside the blank that end a token.
+ODD_BLANKS = r"[\p{Cc}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+
+
 def tokens(c: Column) -> Column:
     """Blank-free tokens of a text, control characters taken as blanks."""
-    return F.filter(F.split(F.regexp_replace(c, r"\p{Cc}", " "), r"(?U)\s+"), lambda t: t != "")
+    return F.filter(F.split(F.when(c.rlike(ODD_BLANKS), F.regexp_replace(c, ODD_BLANKS, " ")).otherwise(c), " "), lambda t: t != "")
+
+
+def judged_count(c: Column) -> Column:
+    """How many `judged_tokens` a text has, by one pattern without taking it apart."""
+    plain = F.when(c.rlike(ODD_BLANKS), F.regexp_replace(c, ODD_BLANKS, " ")).otherwise(c)
+    return F.regexp_count(plain, F.lit(r"(?<![^ ])(?![^ ]*[$\\])(?=[^ ]*\p{L}[^ ]*\p{L})[^\p{L}\p{N} ]*[\p{L}\p{N}][^ ]+[\p{L}\p{N}][^\p{L}\p{N} ]*(?![^ ])"))
 
 
 def judged_tokens(c: Column) -> Column:

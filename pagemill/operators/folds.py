@@ -233,7 +233,7 @@ def token_faults(items: DataFrame) -> DataFrame:
     letters. Column expressions and one partial aggregation."""
     t = F.coalesce("text", F.lit(""))
     misread = F.size(F.filter(T.tokens(t), lambda w: w.rlike(r"\p{L}[!%*]\p{L}")))
-    counts = items.select(*PAGE, F.size(T.judged_tokens(t)).alias("judged"), T.malformed_count(t).alias("malformed"), misread.alias("misread"))
+    counts = items.select(*PAGE, T.judged_count(t).alias("judged"), T.malformed_count(t).alias("malformed"), misread.alias("misread"))
     return counts.groupBy(*PAGE).agg(*[F.sum(c).alias(c) for c in ("judged", "malformed", "misread")])
 
 

@@ -85,8 +85,8 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 )
 
 
-#: Rows of a bucket, and changes up to which their hashes are broadcast (about 40 bytes each).
-BUCKET, FEW = 2_000_000, 1_000_000
+#: Rows of a bucket, and changes up to which their hashes are broadcast (two rows of about 140 bytes each: 56 MB at most).
+BUCKET, FEW = 2_000_000, 200_000
 
 
 def _changes(df: DataFrame, snapshot: str, keys: Sequence[str], compared: Sequence[str], bucket: int) -> tuple[DataFrame, DataFrame]:

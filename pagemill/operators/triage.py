@@ -65,6 +65,7 @@ def page_complexity(items: DataFrame, images: DataFrame | None = None, facts: Da
     `paths` add their reasons where given; the area of paths that text does not cover is looked at only where there is no
     other reason, and null elsewhere. Null texts count nothing, null boxes cover nothing.
     """
+    items = written(items.select(*PAGE, "seq", "text", "x", "y", "width", "height", "font_name", "math", "has_unicode_map_error"))  # read five times
     pages = native_text(items).join(garbled_pages(items), PAGE, "left")
     none = {"image_blocks": F.lit(0), "image_coverage": F.lit(0.0), "largest_coverage": F.lit(0.0), "full_page": F.lit(False)}
     pages = pages.join(image_facts(images), PAGE, "left") if images is not None else pages.withColumns({k: F.lit(None) for k in none})
@@ -202,7 +203,7 @@ def garbled_scopes(items: DataFrame) -> DataFrame:
     plain = ~(F.coalesce("math", F.lit(False)) | T.is_symbol_font(F.col("font_name")))
     own = {"letters": T.letter_count(t), "vowels": T.vowel_count(t), "script": T.complex_count(t), "script_odd": T.script_intrusions(t), "alphabetic": T.all_letters(t), "symbols": T.symbol_intrusions(t)}
     own |= {k: F.when(plain, v).otherwise(0) for k, v in {"controls": T.control_count(t), "visible": T.visible_count(t)}.items()}
-    prepared = items.select(*PAGE, F.coalesce("font_name", F.lit("(none)")).alias("font_name"), *[v.alias(k) for k, v in own.items()], F.when(plain, F.size(T.judged_tokens(t))).otherwise(0).alias("judged"), F.when(plain, T.malformed_count(t)).otherwise(0).alias("malformed"))
+    prepared = items.select(*PAGE, F.coalesce("font_name", F.lit("(none)")).alias("font_name"), *[v.alias(k) for k, v in own.items()], F.when(plain, T.judged_count(t)).otherwise(0).alias("judged"), F.when(plain, T.malformed_count(t)).otherwise(0).alias("malformed"))
     names = [*own, "judged", "malformed"]
     sums = prepared.groupingSets([PAGE, [*PAGE, "font_name"]], *PAGE, "font_name").agg(*[F.sum(n).alias(n) for n in names])
     whole = Window.partitionBy(*PAGE)
