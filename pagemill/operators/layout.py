@@ -170,3 +170,29 @@ def toc_pages(lines: DataFrame, most: float = 0.7) -> DataFrame:
 
 def relative_indents(lines: DataFrame) -> DataFrame:
     return lines.withColumn("indent", F.greatest(F.lit(0.0), F.col("x") - F.min("x").over(Window.partitionBy("doc_id", "page"))))
+
+
+def page_batches(pages: DataFrame, size: int = 25) -> DataFrame:
+    """Pages (doc_id, page) with the number of their batch of so many pages of the document, from 1: what a session works on at once."""
+    nth = F.dense_rank().over(Window.partitionBy("doc_id").orderBy("page"))
+    return pages.withColumn("batch", F.floor((nth - 1) / size).cast("int") + 1)
+
+
+def attached(pages: DataFrame, stats: DataFrame) -> DataFrame:
+    """Pages with their statistics (doc_id, page, ...); those without keep nulls."""
+    return pages.join(stats, ["doc_id", "page"], "left")
+
+
+#: Columns of an item by the feature that a caller asks for.
+FEATURES = {
+    "metadata": ("rotation", "font_name", "font_size", "font_weight", "font_flags"), "colour": ("fill_color", "stroke_color"), "codes": ("char_codes", "font_is_buggy", "has_unicode_map_error"),
+    "marks": ("link", "strike", "underline", "sup", "sub", "math"), "tags": ("mcid",), "confidence": ("confidence",),
+}
+
+
+def with_features(items: DataFrame, *features: str) -> DataFrame:
+    """Items with their place and text and the columns of the features asked for; no other column is read."""
+    unknown = set(features) - FEATURES.keys()
+    if unknown:
+        raise ValueError(f"unknown features: {', '.join(sorted(unknown))}")
+    return items.select("doc_id", "page", "seq", "text", "x", "y", "width", "height", *[c for f in FEATURES if f in features for c in FEATURES[f]])

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from pagemill.functions import bidi as B
 from pagemill.functions import text as T
 from pagemill.operators import headings as H
+from pagemill.operators import layout as L
 from pagemill.operators import recognition as O
-from pagemill.operators import triage as R
 from pagemill.plans import derived as D
 from pagemill.plans import sql as S
 from pagemill.runtime import table
@@ -195,3 +195,20 @@ def joined_pieces(spark, d):
     own = items(spark, d).filter("text IS NOT NULL").select("doc_id", "page", F.floor(F.col("seq") / 4).cast("int").alias("line"), "seq", F.expr(_MIXED).alias("p"))
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("seq", "p"))), lambda s: s["p"])
     return own.groupBy("doc_id", "page", "line").agg(ordered.alias("ps")).select("doc_id", "page", "line", B.joined(F.col("ps")).alias("text"))
+
+
+@query(f"{IT}, p AS (SELECT DISTINCT doc_id, page FROM it) SELECT doc_id, page, CAST(floor((dense_rank() OVER (PARTITION BY doc_id ORDER BY page) - 1) / 4) AS INT) + 1 AS batch FROM p")
+def page_batches(spark, d):
+    return L.page_batches(items(spark, d).select("doc_id", "page").distinct(), 4)
+
+
+@query(f"{IT}, p AS (SELECT doc_id, unnest(range(1, page_count + 1)) AS page FROM documents WHERE page_count >= 1), s AS (SELECT doc_id, page, count(*) n FROM it GROUP BY 1, 2) SELECT p.doc_id, CAST(p.page AS INT) AS page, n FROM p LEFT JOIN s ON s.doc_id = p.doc_id AND s.page = p.page")
+def attached_stats(spark, d):
+    pages = table(spark, d, "documents").filter("page_count >= 1").select("doc_id", F.explode(F.sequence(F.lit(1), "page_count")).alias("page"))
+    return L.attached(pages, items(spark, d).groupBy("doc_id", "page").agg(F.count("*").alias("n")))
+
+
+@query("SELECT doc_id, page, seq, text, x, y, width, height, fill_color, stroke_color, mcid, count(*) AS n FROM text_items GROUP BY ALL")
+def chosen_features(spark, d):
+    own = L.with_features(table(spark, d, "text_items"), "tags", "colour")
+    return own.groupBy(*own.columns).agg(F.count("*").alias("n"))

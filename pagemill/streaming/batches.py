@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 from pyspark.sql.types import StructType
 
+from pagemill.operators.projection import grid_pages
 from pagemill.runtime import ship_code
 
 
@@ -59,3 +60,15 @@ def merge_outcomes(outcomes: DataFrame) -> DataFrame:
 def pages_by_window(events: DataFrame, minutes: int = 60, late: str = "2 hours") -> DataFrame:
     """Pages delivered in each window of event time, rows later than `late` left out."""
     return events.withWatermark("delivered_at", late).groupBy(F.window("delivered_at", f"{minutes} minutes"), "snap").agg(F.count("*").alias("pages"))
+
+
+def page_previews(stream: DataFrame, callback: Callable[[dict], None], checkpoint: str):
+    """Calls a function with the text grid of every page of each micro-batch, on the executors, as soon as the batch is there.
+
+    A batch that is run again calls again: the callback must bear that.
+    """
+
+    def show(df: DataFrame, epoch: int) -> None:
+        grid_pages(df).foreach(lambda r: callback(r.asDict()))
+
+    return stream.writeStream.foreachBatch(show).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -158,3 +158,23 @@ def test_entry_lists_queries_with_sql():
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert "page_triage" in entry.queries() and "p5_found" in entry.queries()
+
+
+def test_previews_of_a_stream(spark, tmp_path):
+    items = spark.createDataFrame([(1, p, 1, f"page {p}", 0.0, 10.0, 40.0, 9.0, 9.0) for p in (1, 2)], ITEMS)
+    items.coalesce(1).write.parquet(str(tmp_path / "in"))
+    out = str(tmp_path / "seen")
+
+    def keep(row):
+        with open(f"{out}-{row['page']}", "w") as f:
+            f.write(row["text"])
+
+    batches.page_previews(batches.read_pages(spark, str(tmp_path / "in"), items.schema), keep, str(tmp_path / "c")).awaitTermination()
+    assert [open(f"{out}-{p}").read() for p in (1, 2)] == ["page 1", "page 2"]
+
+
+def test_features_are_chosen(spark):
+    df = spark.range(1).selectExpr("id AS doc_id", "1 AS page", "1 AS seq", "'t' AS text", "0.0 AS x", "0.0 AS y", "1.0 AS width", "1.0 AS height", "7 AS mcid", "'#000' AS fill_color", "'#fff' AS stroke_color")
+    assert layout.with_features(df, "tags").columns[-1] == "mcid" and len(layout.with_features(df).columns) == 8
+    with pytest.raises(ValueError):
+        layout.with_features(df, "smell")

@@ -155,3 +155,22 @@ def test_widgets_and_clips(spark):
     words = spark.createDataFrame([(1, 1, 1, 0.0, 0.0, 5.0, 5.0, 1), (1, 1, 2, 50.0, 0.0, 5.0, 5.0, 1), (1, 1, 3, 50.0, 0.0, 5.0, 5.0, None), (1, 1, 4, 50.0, 0.0, 5.0, 5.0, 9)], "doc_id long, page int, seq int, x double, y double, width double, height double, clip_id int")
     clips = spark.createDataFrame([(1, 1, 1, 0.0, 0.0, 10.0, 10.0)], "doc_id long, page int, clip_id int, cx0 double, cy0 double, cx1 double, cy1 double")
     assert sorted(r.seq for r in pdf.unclipped(words, clips).collect()) == [1, 3, 4]
+
+
+def test_drawn_pages(spark):
+    import numpy as np
+
+    from pagemill.sources import raster
+
+    page = np.full((120, 100, 3), 255, np.uint8)
+    page[20:60, 10:70] = (0, 0, 200)
+    page[80:84, 10:90] = 0
+    page[5, 5] = 0
+    assert (raster.read_png(raster.write_png(page)) == page).all()
+    clean = raster.despeckled(page)
+    assert (clean[5, 5] == 255).all() and (clean[20:60, 10:70] == page[20:60, 10:70]).all()
+    assert (raster.masked(page, [(10.0, 20.0, 60.0, 40.0)], (100.0, 120.0))[19:61, 9:71] == 255).all()
+    solid = raster.write_png(np.zeros((30, 30, 1), np.uint8))
+    images = spark.createDataFrame([(1, 1, bytearray(raster.write_png(page))), (1, 2, bytearray(solid)), (1, 3, bytearray(b"x")), (1, 4, None)], "doc_id long, page int, content binary")
+    got = {r.page: (r.width, r.height, r.solid, r.rectangles, r.error) for r in raster.page_rasters(images).collect()}
+    assert got[1] == (100, 120, False, [[10, 20, 60, 40]], None) and got[2] == (30, 30, True, [], None) and got[3][4] == got[4][4] == "ValueError: no PNG picture"
