@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pagemill.functions import text as T
 from pagemill.operators import spatial as J
+from pagemill.runtime import written
 
 PAGE = ["doc_id", "page"]
 #: Longest side of a drawn page in pixels.
@@ -123,6 +124,7 @@ def accepted_results(results: DataFrame, natives: DataFrame, scopes: DataFrame)
     kept native text (2 points), or, where only some fonts are garbled, covered by it to less than half of their width."""
     sure = page_boxes(results).filter(F.col("confidence") > 0.1)
     real = sure.filter(~(F.col("has_native_text") & is_rule_artifact(F.col("text"), F.col("width"), F.col("height"))))
+    real = written(real)
     partial = scopes.filter("scope = 'fonts'").select(*PAGE)
     apart = J.without_native(real.join(partial, PAGE, "left_anti"), natives)
     covered = J.width_covered(real.join(partial, PAGE, "left_semi"), natives).filter("covered < 0.5").drop("covered")
@@ -139,8 +141,8 @@ def merge_recognised(natives: DataFrame, results: DataFrame, scopes: DataFrame)
     """
     asked = results.select(*PAGE).distinct()
     untouched = natives.join(asked, PAGE, "left_anti")
-    kept = kept_natives(natives.join(asked, PAGE, "left_semi"), scopes)
-    added = accepted_results(results, kept, scopes)
+    kept = written(kept_natives(natives.join(asked, PAGE, "left_semi"), scopes))  # met three times
+    added = written(accepted_results(results, kept, scopes))
     areas = added.select(*PAGE, F.col("seq").alias("area"), F.col("x").alias("ax"), F.col("y").alias("ay"), F.col("width").alias("aw"), F.col("height").alias("ah"))
     superseded = J.centred_in(kept.filter("scope = 'fonts'"), areas).select(*PAGE, "seq").distinct()
     columns = [*PAGE, "seq", "text", "x", "y", "width", "height", "font_name"]
