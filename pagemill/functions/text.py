@@ -23,8 +23,8 @@ def normalize_for_repetition(c: Column) -> Column:
 def _kept(c: Column, ascii_: str, beyond: str) -> Column:
     """Characters of a class: those of ASCII, and of what is left of a text without ASCII those of a class of hundreds, which is asked for
     few characters so."""
-    own = F.char_length(F.regexp_replace(c, f"[^{ascii_}]", ""))
-    other = F.char_length(F.regexp_replace(F.regexp_replace(c, r"[\x00-\x7f]+", ""), f"[^{beyond}]", ""))
+    own = F.char_length(F.regexp_replace(c, f"[^{ascii_}]+", ""))
+    other = F.char_length(F.regexp_replace(F.regexp_replace(c, r"[\x00-\x7f]+", ""), f"[^{beyond}]+", ""))
     return own + F.when(F.octet_length(c) == F.char_length(c), 0).otherwise(other)
 
 
@@ -41,7 +41,7 @@ def control_count(c: Column) -> Column:
 
 
 def visible_count(c: Column) -> Column:
-    return F.char_length(F.regexp_replace(c, r"[\s\x00-\x1f\x7f-\x9f]", ""))
+    return F.char_length(F.regexp_replace(c, r"[\s\x00-\x1f\x7f-\x9f]+", ""))
 
 
 def private_use_count(c: Column) -> Column:

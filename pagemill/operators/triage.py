@@ -24,11 +24,19 @@ def unusable(text: Column, unmapped: Column) -> Column:
     return F.coalesce(unmapped, F.lit(False)) | F.coalesce((letters >= 10) & (vowels * 10 < letters), F.lit(False))
 
 
+def counted(items: DataFrame) -> DataFrame:
+    """Items with the counts of their letters, vowels and visible characters (_letters, _vowels, _visible), if they don't have them yet."""
+    if "_letters" in items.columns:
+        return items
+    t = F.coalesce("text", F.lit(""))
+    return items.withColumns({"_letters": T.letter_count(t), "_vowels": T.vowel_count(t), "_visible": T.visible_count(t)})
+
+
 def native_text(items: DataFrame, width: float = PAGE_WIDTH, height: float = PAGE_HEIGHT) -> DataFrame:
     """(doc_id, page, text_length, coverage, unmapped, visible): bytes and boxes of usable items. One partial aggregation."""
-    flagged = items.withColumn("bad", unusable(F.col("text"), F.col("has_unicode_map_error")))
-    good = ~F.col("bad")
-    visible = T.visible_count(F.coalesce("text", F.lit("")))
+    flagged = counted(items)
+    good = ~(F.coalesce("has_unicode_map_error", F.lit(False)) | ((F.col("_letters") >= 10) & (F.col("_vowels") * 10 < F.col("_letters"))))
+    visible = F.col("_visible")
     return flagged.groupBy(*PAGE).agg(
         F.coalesce(F.sum(F.when(good, F.octet_length("text"))), F.lit(0)).alias("text_length"),
         F.round(F.coalesce(F.sum(F.when(good, F.col("width") * F.col("height"))), F.lit(0.0)) / (width * height), 4).alias("coverage"),
@@ -65,7 +73,7 @@ def page_complexity(items: DataFrame, images: DataFrame | None = None, facts: Da
     `paths` add their reasons where given; the area of paths that text does not cover is looked at only where there is no
     other reason, and null elsewhere. Null texts count nothing, null boxes cover nothing.
     """
-    items = written(items.select(*PAGE, "seq", "text", "x", "y", "width", "height", "font_name", "math", "has_unicode_map_error"))  # read five times
+    items = written(counted(items.select(*PAGE, "seq", "text", "x", "y", "width", "height", "font_name", "math", "has_unicode_map_error")))  # read five times
     pages = native_text(items).join(garbled_pages(items), PAGE, "left")
     none = {"image_blocks": F.lit(0), "image_coverage": F.lit(0.0), "largest_coverage": F.lit(0.0), "full_page": F.lit(False)}
     pages = pages.join(image_facts(images), PAGE, "left") if images is not None else pages.withColumns({k: F.lit(None) for k in none})
@@ -201,9 +209,11 @@ def garbled_scopes(items: DataFrame) -> DataFrame:
     """
     t = F.coalesce("text", F.lit(""))
     plain = ~(F.coalesce("math", F.lit(False)) | T.is_symbol_font(F.col("font_name")))
-    own = {"letters": T.letter_count(t), "vowels": T.vowel_count(t), "script": T.complex_count(t), "script_odd": T.script_intrusions(t), "alphabetic": T.all_letters(t), "symbols": T.symbol_intrusions(t)}
-    own |= {k: F.when(plain, v).otherwise(0) for k, v in {"controls": T.control_count(t), "visible": T.visible_count(t)}.items()}
-    prepared = items.select(*PAGE, F.coalesce("font_name", F.lit("(none)")).alias("font_name"), *[v.alias(k) for k, v in own.items()], F.when(plain, T.judged_count(t)).otherwise(0).alias("judged"), F.when(plain, T.malformed_count(t)).otherwise(0).alias("malformed"))
+    ascii_ = F.octet_length(t) == F.char_length(t)
+    own = {"letters": F.col("_letters"), "vowels": F.col("_vowels"), "script": F.when(ascii_, 0).otherwise(T.complex_count(t)), "script_odd": F.when(ascii_, 0).otherwise(T.script_intrusions(t)),
+           "alphabetic": F.when(ascii_, F.col("_letters")).otherwise(T.all_letters(t)), "symbols": T.symbol_intrusions(t)}
+    own |= {k: F.when(plain, v).otherwise(0) for k, v in {"controls": T.control_count(t), "visible": F.col("_visible")}.items()}
+    prepared = counted(items).select(*PAGE, F.coalesce("font_name", F.lit("(none)")).alias("font_name"), *[v.alias(k) for k, v in own.items()], F.when(plain, T.judged_count(t)).otherwise(0).alias("judged"), F.when(plain, T.malformed_count(t)).otherwise(0).alias("malformed"))
     names = [*own, "judged", "malformed"]
     sums = prepared.groupingSets([PAGE, [*PAGE, "font_name"]], *PAGE, "font_name").agg(*[F.sum(n).alias(n) for n in names])
     whole = Window.partitionBy(*PAGE)
@@ -221,7 +231,8 @@ def misread_fonts(items: DataFrame) -> DataFrame:
     """(doc_id, page, base): fonts, without the tags of their subsets, in which one character stands in three different words and
     before two different ends where it can't belong: '!', '%' or '*' between letters, or a capital before one or two last
     small letters."""
-    plain = items.filter(F.col("text").isNotNull() & ~(F.coalesce("math", F.lit(False)) | T.is_symbol_font(F.col("font_name"))))
+    sign = F.col("text").rlike(r"\p{L}[!%*]\p{L}|\p{Ll}\p{Lu}\p{Ll}{1,2}(?!\p{L})")
+    plain = items.filter(sign & ~(F.coalesce("math", F.lit(False)) | T.is_symbol_font(F.col("font_name"))))
     bare = F.transform(F.split("text", r"(?U)\s+"), lambda t: F.regexp_replace(t, f"^{EDGES}|{EDGES}$", ""))
     kept = F.filter(bare, lambda t: (F.char_length(t) >= 3) & ~t.startswith("http") & ~t.rlike(r"[_@\\$/]") & t.rlike(r"\p{L}[!%*]\p{L}|\p{Ll}\p{Lu}\p{Ll}{1,2}$"))
     words = plain.select(*PAGE, F.coalesce(T.base_font(F.col("font_name")), F.lit("(none)")).alias("base"), F.explode(kept).alias("t"))
