@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from pagemill.functions import geometry as G
 from pagemill.runtime import map_groups, written
 
-#: Side of a grid cell in points, and the cells that coordinates beyond are counted to: their number has a bound.
-CELL, FIRST, LAST = 64.0, -8, 72
+#: Sides of a grid cell in points, wide and low as lines are, and the cells that coordinates beyond are counted to: a box of any size
+#: touches a bounded number.
+WIDE, TALL, FIRST, LAST = 306.0, 36.0, -8, 72
 PAGE = ("doc_id", "page")
 Box = tuple[Column, Column, Column, Column]
 
@@ -22,14 +23,18 @@ def box(*names: str) -> Box:
     return x, y, w, h
 
 
-def _cell(v: Column) -> Column:
-    return F.least(F.greatest(F.floor(v / CELL), F.lit(FIRST)), F.lit(LAST)).cast("int")
+def _cell(v: Column, side: float) -> Column:
+    return F.least(F.greatest(F.floor(v / side), F.lit(FIRST)), F.lit(LAST)).cast("int")
+
+
+def _number(x: Column, y: Column) -> Column:
+    return _cell(x, WIDE) * 1000 + _cell(y, TALL)
 
 
 def cells(x: Column, y: Column, w: Column, h: Column) -> Column:
     """Numbers of the grid cells that a box touches; null for a box with a null part. A box touches at most 81 x 81."""
     wide, high = F.greatest(w, F.lit(0.0)), F.greatest(h, F.lit(0.0))
-    columns, rows = F.sequence(_cell(x), _cell(x + wide)), F.sequence(_cell(y), _cell(y + high))
+    columns, rows = F.sequence(_cell(x, WIDE), _cell(x + wide, WIDE)), F.sequence(_cell(y, TALL), _cell(y + high, TALL))
     return F.flatten(F.transform(columns, lambda c: F.transform(rows, lambda r: c * 1000 + r)))
 
 
@@ -51,7 +56,7 @@ def pairs(a: DataFrame, b: DataFrame, own: Box, other: Box, reach: float = 0.0,
     met = spread_a.join(spread_b, [*keys, "_cell"])
     x0, y0 = F.greatest("_x", "_u"), F.greatest("_y", "_v")
     touch = (x0 <= F.least(F.col("_x") + F.col("_w"), F.col("_u") + F.col("_s"))) & (y0 <= F.least(F.col("_y") + F.col("_h"), F.col("_v") + F.col("_t")))
-    return met.filter(touch & (F.col("_cell") == _cell(x0) * 1000 + _cell(y0))).drop("_cell", *left, *right)
+    return met.filter(touch & (F.col("_cell") == _number(x0, y0))).drop("_cell", *left, *right)
 
 
 def native_boxes(items: DataFrame) -> DataFrame:
@@ -70,8 +75,10 @@ def overlap_dedup(items: DataFrame, share: float = 0.5, ratio: float = 5.0) -> D
     each other, so one anti-join is exact. Rows with null geometry or rotation stay.
     """
     boxes = items.filter((F.col("width") > 0) & (F.col("height") > 0) & (G.off_axis(F.coalesce("rotation", F.lit(0.0))) <= 2))
-    own = boxes.select(*PAGE, "seq", F.coalesce("text", F.lit("")).alias("t"), "x", "y", "width", "height")
-    later = native_boxes(boxes.select(*PAGE, "seq", "x", "y", "width", "height")).join(boxes.select(*PAGE, F.col("seq").alias("n_seq"), F.coalesce("text", F.lit("")).alias("nt")), [*PAGE, "n_seq"])
+    # texts are only compared: 128 bits of them travel
+    t = F.coalesce("text", F.lit(""))
+    own = boxes.select(*PAGE, "seq", F.struct(F.xxhash64(t).alias("a"), F.xxhash64(F.lit(7), t).alias("b")).alias("t"), "x", "y", "width", "height")
+    later = own.select(*PAGE, F.col("seq").alias("n_seq"), F.col("t").alias("nt"), F.col("x").alias("nx"), F.col("y").alias("ny"), F.col("width").alias("nw"), F.col("height").alias("nh"))
     met = pairs(own, later, box(), box(*OTHER)).filter(F.col("seq") < F.col("n_seq"))
     area_a, area_b = F.col("width") * F.col("height"), F.col("nw") * F.col("nh")
     shared = G.box_overlap(*box(), *box(*OTHER))

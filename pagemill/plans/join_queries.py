@@ -47,7 +47,8 @@ _OVER = "greatest(0, least(a.x + a.width, b.x + b.width) - greatest(a.x, b.x)) *
     AND (a.t = b.t OR greatest(a.width * a.height, b.width * b.height) <= 5 * least(a.width * a.height, b.width * b.height)))
   SELECT doc_id, page, seq FROM it2 WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE {on("g", "it2")} AND g.seq = it2.seq)""")
 def overlap_dedup(spark, d):
-    return J.overlap_dedup(D.derived(spark, d, "it2")).select(*KEYS)
+    columns = ["doc_id", "page", "seq", "text", "x", "y", "width", "height", "rotation"]
+    return J.overlap_dedup(written(D.derived(spark, d, "it2").select(*columns))).select(*KEYS)
 
 
 @query(f"""{D.sql("links")}, c AS (SELECT it.doc_id, it.page, it.seq, it.height, l.pos, l.uri, y2 - y1 lh FROM it JOIN links l ON {on("it", "l")} AND x + width / 2 BETWEEN x1 AND x2 AND y + height / 2 BETWEEN y1 AND y2),
