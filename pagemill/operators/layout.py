@@ -82,10 +82,13 @@ def chrome_keys(lines: DataFrame, height: float = PAGE_HEIGHT, share: float = 0.
 
 
 def strip_chrome(lines: DataFrame, height: float = PAGE_HEIGHT, share: float = 0.12) -> DataFrame:
-    """Lines without running headers and footers: an anti-join on document, band and normalised text."""
-    keys = chrome_keys(lines, height, share)
-    hit = _bands(lines, height, share).join(keys, ["doc_id", "band", "norm"], "left_semi").select("doc_id", "page", "seq").distinct()
-    return lines.join(hit, ["doc_id", "page", "seq"], "left_anti")
+    """Lines without running headers and footers: each meets the keys of its document and normalised text once, and goes if it stands in
+    a band of theirs. Null texts and places stay."""
+    keys = chrome_keys(lines, height, share).groupBy("doc_id", "norm").agg(F.max(F.col("band") == "h").alias("_h"), F.max(F.col("band") == "f").alias("_f"))
+    own = lines.withColumn("norm", T.normalize_for_repetition(F.col("text"))).join(keys, ["doc_id", "norm"], "left")
+    top, bottom = F.col("y") <= share * height, F.col("y") + F.col("height") >= (1 - share) * height
+    gone = (top & F.col("_h")) | (bottom & F.col("_f"))
+    return own.filter(~F.coalesce(gone, F.lit(False))).select(*lines.columns)
 
 
 def single_page_chrome(lines: DataFrame, height: float = PAGE_HEIGHT) -> DataFrame:

@@ -17,9 +17,11 @@ def page_texts(lines: DataFrame) -> DataFrame:
 
 
 def document_texts(lines: DataFrame) -> DataFrame:
-    """Text of each document: pages under a header line, apart by a blank line."""
-    pages = page_texts(lines).select("doc_id", F.struct("page", F.concat(F.lit("--- Page "), F.col("page").cast("string"), F.lit(" ---\n"), F.col("text")).alias("t")).alias("p"))
-    return pages.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("p")), lambda p: p["t"]), "\n\n").alias("text"))
+    """(doc_id, page, text): pages under a header line, apart from the one before by a blank line. One after the other they are the text of
+    the document, which can be too large for one row."""
+    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("page"))
+    head = F.concat(F.when(nth > 1, "\n\n").otherwise(""), F.lit("--- Page "), F.col("page").cast("string"), F.lit(" ---\n"))
+    return page_texts(lines).select("doc_id", "page", F.concat(head, F.col("text")).alias("text"))
 
 
 def item_json(items: DataFrame, metadata: bool = False) -> DataFrame:

@@ -230,10 +230,10 @@ def ground_truth_match(spark, d):
     return E.match_ground_truth(table(spark, d, "documents").select("doc_id", "file_name"), table(spark, d, "qa_pairs").select("file")).select("doc_id", "matched")
 
 
-@query(f"""{IT}, p AS (SELECT doc_id, page, string_agg(text, chr(10) ORDER BY seq) t FROM it WHERE text IS NOT NULL GROUP BY 1, 2)
-  SELECT doc_id, md5(string_agg('--- Page ' || page || ' ---' || chr(10) || t, chr(10) || chr(10) ORDER BY page)) AS digest FROM p GROUP BY doc_id""")
+@query(f"""{IT}, p AS (SELECT doc_id, page, string_agg(text, chr(10) ORDER BY seq) t, row_number() OVER (PARTITION BY doc_id ORDER BY page) n FROM it WHERE text IS NOT NULL GROUP BY 1, 2)
+  SELECT doc_id, page, md5(CASE WHEN n > 1 THEN chr(10) || chr(10) ELSE '' END || '--- Page ' || page || ' ---' || chr(10) || t) AS digest FROM p""")
 def text_render(spark, d):
-    return R.document_texts(items(spark, d)).select("doc_id", F.md5("text").alias("digest"))
+    return R.document_texts(items(spark, d)).select("doc_id", "page", F.md5("text").alias("digest"))
 
 
 @query(f"""{IT} SELECT doc_id, page, seq, text, coalesce(CASE WHEN isnan(confidence) THEN NULL ELSE confidence END, 1.0) AS confidence, x FROM it""")
