@@ -11,7 +11,7 @@ from pagemill.operators.triage import PAGE_HEIGHT, PAGE_WIDTH
 
 
 def target_pages(specs: DataFrame, spec: str = "spec", most: int = 100_000) -> DataFrame:
-    """Sorted distinct pages of '1-5,10' texts; null where a part is reversed, not a number or names over `most` pages."""
+    """Sorted distinct pages of texts such as '2-4,9'; null where a part is reversed, not a number or names over `most` pages."""
     parts = F.transform(F.split(F.col(spec), ","), lambda p: F.trim(p))
     good = F.forall(parts, lambda p: p.rlike(r"^[0-9]{1,9}(\s*-\s*[0-9]{1,9})?$"))
     bounds = F.transform(parts, lambda p: F.transform(F.split(p, "-"), lambda q: F.trim(q).try_cast("bigint")))

@@ -262,7 +262,7 @@ def font_predicates(spark, d):
     return counted.select("*", T.font_style(F.col("font_name"), F.col("font_weight"), F.col("font_flags")).alias("s")).select("font_name", "font_weight", "font_flags", "n", "s.bold", "s.italic", "s.mono", "s.symbol", "s.subset")
 
 
-_SPEC = "CASE doc_id % 7 WHEN 0 THEN concat(CAST(page_count + 1 AS VARCHAR(9)), '-2') WHEN 1 THEN 'x' WHEN 2 THEN '1-4294967295' WHEN 3 THEN concat(' 1 , ', CAST(page_count AS VARCHAR(9)), ' - ', CAST(page_count + 2 AS VARCHAR(9))) ELSE concat('3,1-', CAST(page_count AS VARCHAR(9)), ',2') END"
+_SPEC = "CASE doc_id % 7 WHEN 0 THEN concat(CAST(page_count + 1 AS VARCHAR(9)), '-2') WHEN 1 THEN 'x' WHEN 2 THEN '1-3000000000' WHEN 3 THEN concat(' 1 , ', CAST(page_count AS VARCHAR(9)), ' - ', CAST(page_count + 2 AS VARCHAR(9))) ELSE concat('3,1-', CAST(page_count AS VARCHAR(9)), ',2') END"
 
 
 @query(f"""WITH s AS (SELECT doc_id, page_count n, {_SPEC} AS spec FROM documents WHERE page_count >= 1)

@@ -178,7 +178,7 @@ def wrapped_headings(spark, d):
     return H.wrapped_headings(own)
 
 
-_MIXED = "concat(CASE seq % 4 WHEN 0 THEN 'المجموع ' WHEN 1 THEN 'סך הכל לתשלום ' ELSE '' END, CASE WHEN seq % 3 = 0 THEN substring(text, 1, 4) ELSE text END)"
+_MIXED = "concat(CASE seq % 4 WHEN 0 THEN 'كتاب جديد ' WHEN 1 THEN 'ספר ישן על המדף ' ELSE '' END, CASE WHEN seq % 3 = 0 THEN substring(text, 1, 4) ELSE text END)"
 _RTL_SQL, _LTR_SQL = S.matches("t", f"[{B.RTL}]"), f"length(regexp_replace(t, '[^\\p{{L}}]|[{B.RTL}]', '', 'g'))"
 
 
