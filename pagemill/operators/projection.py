@@ -28,18 +28,19 @@ def line_aggregates(items: DataFrame) -> DataFrame:
     own = items.withColumns({"n": n, "bold": F.coalesce(F.col("font_weight") >= 600, F.lit(False)) | name.rlike("bold|black|heavy"), "mono": name.rlike("mono|courier|consol")})
     keys = [*PAGE, "line"]
 
-    def mode(c: str) -> DataFrame:
-        sums = own.filter(F.col(c).isNotNull()).groupBy(*keys, c).agg(F.sum("n").alias("w"))
-        return sums.groupBy(*keys).agg(F.max(F.struct("w", c))[c].alias(f"most_{c}"))
+    def mode(c: str) -> Column:
+        """Of a line's few items the value with most characters, the larger of equal ones."""
+        known = F.filter("parts", lambda p: p[c].isNotNull())
+        weight = lambda v: F.aggregate(F.filter(known, lambda p: p[c] == v), F.lit(0).cast("bigint"), lambda n, p: n + p["n"])
+        return F.array_max(F.transform(F.array_distinct(F.transform(known, lambda p: p[c])), lambda v: F.struct(weight(v).alias("w"), v.alias("v"))))["v"]
 
     pieces = F.transform(F.array_sort(F.collect_list(F.when(F.col("text").isNotNull(), F.struct("x", "seq", "text")))), lambda s: s["text"])
     right, bottom = F.col("x") + F.col("width"), F.col("y") + F.col("height")
     lines = own.groupBy(*keys).agg(
-        pieces.alias("pieces"), F.min("x").alias("x"), F.min("y").alias("y"), F.max(right).alias("right"), F.max(bottom).alias("bottom"), F.sum("n").alias("n"),
+        pieces.alias("pieces"), F.collect_list(F.struct(F.col("n").cast("bigint").alias("n"), "font_size", "height", "font_name")).alias("parts"), F.min("x").alias("x"), F.min("y").alias("y"), F.max(right).alias("right"), F.max(bottom).alias("bottom"), F.sum("n").alias("n"),
         F.sum(F.when(F.col("bold"), F.col("n")).otherwise(0)).alias("bold"), F.sum(F.when(F.col("mono"), F.col("n")).otherwise(0)).alias("mono"), F.sum(F.when(F.col("confidence").isNotNull(), F.col("n")).otherwise(0)).alias("read"),
     )
-    for c in ("font_size", "height", "font_name"):
-        lines = lines.join(mode(c), keys, "left")
+    lines = lines.withColumns({f"most_{c}": mode(c) for c in ("font_size", "height", "font_name")})
     tiny = F.coalesce(F.col("most_font_size") <= 1.5, F.lit(True))
     return lines.select(
         *keys, B.joined(F.col("pieces")).alias("text"), "x", "y", (F.col("right") - F.col("x")).alias("width"), (F.col("bottom") - F.col("y")).alias("height"),
