@@ -11,7 +11,7 @@ from pagemill.operators import layout as L
 from pagemill.operators import recognition as O
 from pagemill.plans import derived as D
 from pagemill.plans import sql as S
-from pagemill.runtime import table
+from pagemill.runtime import table, written
 from pagemill.sources.tables import items
 
 QUERIES, SQL = {}, {}
@@ -139,7 +139,8 @@ def tag_levels(spark, d):
     AND length(n) <= greatest(length(t) * 3, 120) AND (length(n) - length(replace(n, '. ', ''))) / 2 < 2 AND NOT ((length(n) - length(replace(n, '. ', ''))) / 2 >= 1 AND length(n) > length(t) + 15) AND (starts_with(n, t) OR starts_with(t, n))),
   f AS (SELECT doc_id, page, seq, min_by(lv, pos) AS outline_level FROM m GROUP BY 1, 2, 3) SELECT it.doc_id, it.page, it.seq, outline_level FROM it LEFT JOIN f USING (doc_id, page, seq)""")
 def outline_levels(spark, d):
-    return H.outline_levels(items(spark, d), D.derived(spark, d, "outline")).select(*KEYS, "outline_level")
+    own = written(items(spark, d).select(*KEYS, "text", "y", "height"))
+    return H.outline_levels(own, D.derived(spark, d, "outline")).select(*KEYS, "outline_level")
 
 
 _SIDE = "CASE WHEN (doc_id + page) % 5 = 0 AND seq % 3 <> 0 THEN 90.0 WHEN seq % 10 = 7 THEN 270.0 ELSE rotation END"
